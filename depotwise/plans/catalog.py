@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from depotwise.plans import stock_reports
+from depotwise.plans import campaign_reports, quality_reports, stock_reports, trade_reports
 from depotwise.plans.reports import Report
 
-FAMILIES = (stock_reports,)
+FAMILIES = (stock_reports, trade_reports, campaign_reports, quality_reports)
 
 
 def reports() -> dict[str, Report]:
