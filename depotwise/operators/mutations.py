@@ -16,6 +16,7 @@ from depotwise.functions.running import running_total
 from depotwise.operators.shipping import latest_status
 from depotwise.operators.stock import ID_BLOCK, STOCK_KEY, Moment, remaining_lots
 from depotwise.policy import MULTIPLE_HUBS, SHIPMENT_LIFECYCLE
+from depotwise.session import materialise
 from depotwise.sources.domain import Domain
 
 OVERLAP_UNITS = 4096
@@ -83,6 +84,7 @@ def reverse_purchases(d: Domain, ids: DataFrame) -> Reversal:
         .groupBy("purchase_id", *STOCK_KEY)
         .agg(F.sum("quantity").alias("units"))
     )
+    lines = materialise(lines, "reversal-lines")
     asked = running_total(
         lines, STOCK_KEY, ["purchase_id"], "units", {"_ids": F.expr(f"purchase_id div {ID_BLOCK}")}, out="asked"
     )
@@ -93,6 +95,7 @@ def reverse_purchases(d: Domain, ids: DataFrame) -> Reversal:
         .groupBy("purchase_id")
         .agg(F.max(short.cast("int")).alias("refused"))
     )
+    refused = materialise(refused, "reversal-outcome")
     reversed_ids = refused.where(F.col("refused") == 0).select("purchase_id")
     deltas = lines.join(reversed_ids, "purchase_id", "left_semi").select(*STOCK_KEY, (-F.col("units")).alias("units"))
     rejected = refused.where(F.col("refused") == 1).select(
@@ -144,7 +147,8 @@ def place_orders(d: Domain, requests: DataFrame) -> OrderPlacement:
             ),
         )
     )
-    placed = _numbered(_accepted(checked), highest(d["order"], "order_id"), "order_id")
+    checked = materialise(checked, "order-requests")
+    placed = materialise(_numbered(_accepted(checked), highest(d["order"], "order_id"), "order_id"), "placed-orders")
     first_item = highest(d["order_item"], "order_item_id") - highest(d["order"], "order_id")
     first_attribution = highest(d["order_attribution"], "attribution_id") - highest(d["order"], "order_id")
     orders = placed.select("order_id", "customer_id", F.col("requested_at").alias("order_date"), F.lit("PLACED").alias("status"))
@@ -185,7 +189,10 @@ def place_purchases(d: Domain, requests: DataFrame) -> PurchasePlacement:
             ),
         )
     )
-    placed = _numbered(_accepted(checked), highest(d["purchase"], "purchase_id"), "purchase_id")
+    checked = materialise(checked, "purchase-requests")
+    placed = materialise(
+        _numbered(_accepted(checked), highest(d["purchase"], "purchase_id"), "purchase_id"), "placed-purchases"
+    )
     first_item = highest(d["purchase_item"], "purchase_item_id") - highest(d["purchase"], "purchase_id")
     purchases = placed.select(
         "purchase_id", "supplier_id", "warehouse_id", F.col("requested_at").alias("purchase_date")
@@ -241,9 +248,11 @@ def transfer_stock(d: Domain, requests: DataFrame, as_of: Moment) -> Transfers:
             (F.col("on_hand").isNull(), "no stock row"),
         ),
     )
+    formed = materialise(formed, "transfer-requests")
     drawn = running_total(_accepted(formed), source, ["request_id"], "units", ids, out="drawn").withColumn(
         "reason", first_reason((F.col("drawn") > F.col("on_hand"), "not enough stock"))
     )
+    drawn = materialise(drawn, "transfer-drawn")
     used = d["inventory"].groupBy("warehouse_id").agg(F.sum("quantity").alias("used"))
     room = d["warehouse"].join(used, "warehouse_id", "left").select(
         F.col("warehouse_id").alias("to_warehouse_id"),
@@ -259,6 +268,7 @@ def transfer_stock(d: Domain, requests: DataFrame, as_of: Moment) -> Transfers:
             ),
         )
     )
+    arriving = materialise(arriving, "transfer-arriving")
     granted = _accepted(arriving).select("request_id", *source, "to_warehouse_id", "units")
     rejected = _rejected(formed, "request_id").unionByName(_rejected(drawn, "request_id")).unionByName(
         _rejected(arriving, "request_id")
@@ -271,6 +281,7 @@ def transfer_stock(d: Domain, requests: DataFrame, as_of: Moment) -> Transfers:
         .groupBy(*source, "received_date")
         .agg(F.sum("units").alias("units"))
     )
+    lots = materialise(lots, "transfer-lots")
     held = _units_range(lots, source, ["received_date"], {"_day": F.col("received_date").cast("date")})
     pieces = (
         _by_cell(wanted)
@@ -283,6 +294,7 @@ def transfer_stock(d: Domain, requests: DataFrame, as_of: Moment) -> Transfers:
             "request_id", *source, "to_warehouse_id", "received_date", (F.col("stop") - F.col("start")).alias("units")
         )
     )
+    pieces = materialise(pieces, "transfer-pieces")
     dated = pieces.groupBy("request_id").agg(F.sum("units").alias("dated"))
     undated = (
         granted.join(dated, "request_id", "left")
@@ -398,6 +410,7 @@ def generate_links(d: Domain, campaigns: DataFrame, seed: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("taken"))
     )
     order = {"_ids": F.expr(f"campaign_id div {ID_BLOCK}")}
+    drafts = materialise(drafts, "link-drafts")
     counted = running_total(
         drafts.withColumn("one", F.lit(1)), ["base"], ["campaign_id", "platform"], "one", order, out="nth"
     ).join(taken, "base", "left")
@@ -405,6 +418,7 @@ def generate_links(d: Domain, campaigns: DataFrame, seed: str) -> DataFrame:
     coded = counted.withColumn(
         "short_code", F.when(nth == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), nth.cast("string")))
     )
+    coded = materialise(coded, "link-codes")
     numbered = number_rows(coded, ["campaign_id", "platform"], highest(d["tracking_link"], "link_id"), "link_id", order)
     return numbered.select(
         "link_id", "campaign_id", "platform", "short_code", C.product_url("product_id").alias("destination_url")
@@ -435,6 +449,7 @@ def upsert_customers(d: Domain, requests: DataFrame) -> Customers:
         fresh, ["request_id"], highest(d["customer"], "customer_id"), "customer_id",
         {"_ids": F.expr(f"request_id div {ID_BLOCK}")},
     ).select("customer_id", "name", "contact")
+    inserts = materialise(inserts, "new-customers")
     everyone = known.unionByName(inserts.select("contact", "customer_id"))
     return Customers(inserts, guests.join(everyone, "contact", "left").select("request_id", "customer_id"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning: coalesce small shuffle partitions, split skewed join partitions, switch a
 # shuffled join to a broadcast one only when the measured size allows it.
@@ -51,3 +51,12 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result once and read it back. Used where several outputs or passes
+    share an expensive step: it cuts the lineage, survives lost executors and gives the planner the
+    real size of the data."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -31,18 +31,46 @@ USER_AGENTS = (
 )
 
 
+# Declared, so that opening a table starts no job to look into its files.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 class StarTables:
     """Column-pruned readers over one directory of the test tables."""
 
+    _counts: dict[str, int] = {}
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self._frames: dict[str, DataFrame] = {}
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}.parquet"
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        if name not in self._frames:
+            self._frames[name] = self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+        return self._frames[name]
 
-    def count(self, name: str) -> Column:
-        """Row count of a table as an uncorrelated scalar subquery (no join, no driver round trip)."""
-        return self(name).agg(F.count(F.lit(1))).scalar()
+    def count(self, name: str) -> int:
+        """Rows of a (read-only) dimension table, answered from file footers once per path. As a
+        literal it folds into every expression that spreads keys over hubs or suppliers."""
+        path = self.path(name)
+        if path not in self._counts:
+            self._counts[path] = self(name).count()
+        return self._counts[path]
 
 
 def _packed_line_id() -> Column:
@@ -109,7 +137,7 @@ def star_domain(spark: SparkSession, root: str, hub: str = "region") -> Domain:
                 (F.col("r_regionkey") + 1).alias("warehouse_id"),
                 F.concat(F.lit("Hub "), F.col("r_name")).alias("name"),
                 F.col("r_name").alias("location"),
-                (suppliers * (1200 + 500 * F.col("r_regionkey"))).alias("capacity_units"),
+                (F.lit(suppliers) * (1200 + 500 * F.col("r_regionkey"))).alias("capacity_units"),
             )
         else:
             rows = t("supplier").select(
@@ -246,7 +274,7 @@ def star_domain(spark: SparkSession, root: str, hub: str = "region") -> Domain:
             F.date_add(start, 30).alias("end_date"),
         )
         unlinked = t("region").select(
-            (suppliers + F.col("r_regionkey") + 1).alias("campaign_id"),
+            (F.col("r_regionkey") + F.lit(suppliers).cast("bigint") + 1).alias("campaign_id"),
             (F.col("r_regionkey") + 1).cast("bigint").alias("product_id"),
             F.concat(F.lit("Teaser "), F.col("r_name")).alias("campaign_name"),
             F.lit(None).cast("date").alias("start_date"),
