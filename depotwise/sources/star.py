@@ -52,8 +52,8 @@ class StarTables:
 
     _counts: dict[str, int] = {}
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, streamed: tuple[str, ...] = ()):
+        self.spark, self.root, self.streamed = spark, root, streamed
         self._frames: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
@@ -61,7 +61,11 @@ class StarTables:
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._frames:
-            self._frames[name] = self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+            if name in self.streamed:
+                files = self.spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
+                self._frames[name] = files.parquet(self.root)
+            else:
+                self._frames[name] = self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
         return self._frames[name]
 
     def count(self, name: str) -> int:
@@ -69,7 +73,7 @@ class StarTables:
         literal it folds into every expression that spreads keys over hubs or suppliers."""
         path = self.path(name)
         if path not in self._counts:
-            self._counts[path] = self(name).count()
+            self._counts[path] = self.spark.read.schema(SCHEMAS[name]).parquet(path).count()
         return self._counts[path]
 
 
@@ -102,8 +106,9 @@ def clicks_of(events: DataFrame, suppliers: Column | int) -> DataFrame:
     return conform(rows, "click")
 
 
-def star_domain(spark: SparkSession, root: str, hub: str = "region") -> Domain:
-    t = StarTables(spark, root)
+def star_domain(spark: SparkSession, root: str, hub: str = "region", streamed: tuple[str, ...] = ()) -> Domain:
+    """All domain tables. Those derived from a ``streamed`` test table are streaming DataFrames."""
+    t = StarTables(spark, root, streamed)
     suppliers = t.count("supplier")
     hubs = t.count("region" if hub == "region" else "supplier")
     order_key = F.col("o_orderkey")
