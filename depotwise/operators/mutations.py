@@ -74,9 +74,9 @@ class Reversal:
 
 
 def reverse_purchases(d: Domain, ids: DataFrame) -> Reversal:
-    """Undo purchases (purchase_id). Requests draw on each stock row in id order; a purchase is
-    refused as a whole if any of its lines asks for more than is left at its turn, where refused
-    requests of the batch keep their turn."""
+    """Undo purchases (purchase_id). A purchase with a line that exceeds its stock row is refused
+    outright. The others draw on each stock row in id order, and a purchase is refused as a whole if
+    any of its lines asks for more than is left at its turn; one refused this late keeps its turn."""
     lines = (
         d["purchase_item"]
         .join(ids.select("purchase_id").distinct(), "purchase_id", "left_semi")
@@ -84,16 +84,18 @@ def reverse_purchases(d: Domain, ids: DataFrame) -> Reversal:
         .groupBy("purchase_id", *STOCK_KEY)
         .agg(F.sum("quantity").alias("units"))
     )
-    lines = materialise(lines, "reversal-lines")
+    stock = d["inventory"].select(*STOCK_KEY, F.col("quantity").alias("on_hand"))
+    on_hand = F.coalesce("on_hand", F.lit(0))
+    lines = materialise(lines.join(stock, STOCK_KEY, "left").withColumn("on_hand", on_hand), "reversal-lines")
+    hopeless = lines.where(F.col("units") > F.col("on_hand")).select("purchase_id").distinct()
     asked = running_total(
-        lines, STOCK_KEY, ["purchase_id"], "units", {"_ids": F.expr(f"purchase_id div {ID_BLOCK}")}, out="asked"
+        lines.join(hopeless, "purchase_id", "left_anti"), STOCK_KEY, ["purchase_id"], "units", {"_ids": F.expr(f"purchase_id div {ID_BLOCK}")}, out="asked"
     )
-    stock = d["inventory"].select(*STOCK_KEY, F.col("quantity").alias("on_hand"))
-    short = F.col("asked") > F.coalesce("on_hand", F.lit(0))
+    short = F.col("asked") > F.col("on_hand")
     refused = (
-        asked.join(stock, STOCK_KEY, "left")
-        .groupBy("purchase_id")
+        asked.groupBy("purchase_id")
         .agg(F.max(short.cast("int")).alias("refused"))
+        .unionByName(hopeless.withColumn("refused", F.lit(1)))
     )
     refused = materialise(refused, "reversal-outcome")
     reversed_ids = refused.where(F.col("refused") == 0).select("purchase_id")
@@ -230,7 +232,11 @@ def transfer_stock(d: Domain, requests: DataFrame, as_of: Moment) -> Transfers:
     quantity). Each move takes the oldest lots of its source and every piece keeps its arrival date;
     units without a lot start their age at ``as_of``.
 
-    Requests on one stock row are served in request order: laid end to end they cover unit positions
+    Requests that exceed their source's stock or their destination's room alone are refused outright.
+    The others take their turn in request order, and one that no longer fits at its turn is refused
+    but keeps it; it can be sent again with a later batch.
+
+    Granted requests on one stock row are served in request order: laid end to end they cover unit positions
     0, 1, 2, ... and so do the source's lots, oldest first, so a request gets the lots its range
     overlaps. The overlap is an equi-join on fixed-length stretches of positions: a huge stock row is
     spread over many tasks, and a stretch holds at most ``OVERLAP_UNITS`` lots and requests."""
@@ -246,6 +252,7 @@ def transfer_stock(d: Domain, requests: DataFrame, as_of: Moment) -> Transfers:
             (F.col("units").isNull() | (F.col("units") <= 0), "quantity not positive"),
             (F.col("from_warehouse_id") == F.col("to_warehouse_id"), "same hub"),
             (F.col("on_hand").isNull(), "no stock row"),
+            (F.col("units") > F.col("on_hand"), "not enough stock"),
         ),
     )
     formed = materialise(formed, "transfer-requests")
@@ -258,21 +265,24 @@ def transfer_stock(d: Domain, requests: DataFrame, as_of: Moment) -> Transfers:
         F.col("warehouse_id").alias("to_warehouse_id"),
         (F.col("capacity_units") - F.coalesce("used", F.lit(0))).alias("room"),
     )
-    arriving = (
-        running_total(_accepted(drawn).drop("drawn"), ["to_warehouse_id"], ["request_id"], "units", ids, out="arriving")
+    placed = (
+        _accepted(drawn)
+        .drop("drawn")
         .join(room, "to_warehouse_id", "left")
         .withColumn(
             "reason",
-            first_reason(
-                (F.col("room").isNull(), "unknown hub"), (F.col("arriving") > F.col("room"), "destination full")
-            ),
+            first_reason((F.col("room").isNull(), "unknown hub"), (F.col("units") > F.col("room"), "destination full")),
         )
     )
+    placed = materialise(placed, "transfer-placed")
+    arriving = running_total(
+        _accepted(placed), ["to_warehouse_id"], ["request_id"], "units", ids, out="arriving"
+    ).withColumn("reason", first_reason((F.col("arriving") > F.col("room"), "destination full")))
     arriving = materialise(arriving, "transfer-arriving")
     granted = _accepted(arriving).select("request_id", *source, "to_warehouse_id", "units")
-    rejected = _rejected(formed, "request_id").unionByName(_rejected(drawn, "request_id")).unionByName(
-        _rejected(arriving, "request_id")
-    )
+    rejected = _rejected(formed, "request_id")
+    for stage in (drawn, placed, arriving):
+        rejected = rejected.unionByName(_rejected(stage, "request_id"))
 
     wanted = _units_range(granted, source, ["request_id"], ids)
     lots = (

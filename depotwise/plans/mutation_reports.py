@@ -153,11 +153,13 @@ MUTATION_TABLES = {
               WHERE event_type = 'purchase') AS e) AS q""",
     "e_recent": """SELECT purchase_id, warehouse_id, product_id, sum(quantity) AS units FROM d_purchase
         JOIN d_purchase_item USING (purchase_id) WHERE purchase_date >= TIMESTAMP '2001-06-01 00:00:00' GROUP BY 1, 2, 3""",
-    "e_refused": """SELECT purchase_id, max(CASE WHEN asked > coalesce(i.quantity, 0) THEN 1 ELSE 0 END) AS refused FROM (
-        SELECT *, sum(units) OVER (PARTITION BY warehouse_id, product_id ORDER BY purchase_id) AS asked FROM e_recent) AS a
-        LEFT JOIN d_inventory AS i USING (warehouse_id, product_id) GROUP BY 1""",
+    "e_reversal": """SELECT r.*, coalesce(i.quantity, 0) AS on_hand, max(CASE WHEN units > coalesce(i.quantity, 0) THEN 1 ELSE 0 END)
+        OVER (PARTITION BY purchase_id) AS hopeless FROM e_recent AS r LEFT JOIN d_inventory AS i USING (warehouse_id, product_id)""",
+    "e_refused": """SELECT purchase_id, max(CASE WHEN hopeless = 1 OR asked > on_hand THEN 1 ELSE 0 END) AS refused FROM (
+        SELECT *, sum(CASE WHEN hopeless = 0 THEN units ELSE 0 END) OVER (PARTITION BY warehouse_id, product_id
+          ORDER BY purchase_id) AS asked FROM e_reversal) AS a GROUP BY 1""",
     "e_moves": """SELECT m.*, i.quantity AS on_hand, CASE WHEN units <= 0 THEN 'quantity not positive'
-          WHEN source = target THEN 'same hub' END AS bad FROM (
+          WHEN source = target THEN 'same hub' WHEN units > i.quantity THEN 'not enough stock' END AS bad FROM (
         SELECT inventory_id * 2 + turn AS request_id, product_id, warehouse_id AS source,
           CASE WHEN product_id % 23 = 0 THEN warehouse_id ELSE warehouse_id % 5 + 1 END AS target,
           CASE WHEN turn = 0 THEN quantity // 2 WHEN product_id % 10 = 0 THEN quantity ELSE quantity // 3 END AS units
@@ -165,7 +167,8 @@ MUTATION_TABLES = {
         JOIN d_inventory AS i ON i.warehouse_id = m.source AND i.product_id = m.product_id""",
     "e_drawn": """SELECT *, sum(units) OVER (PARTITION BY source, product_id ORDER BY request_id) > on_hand AS short
         FROM e_moves WHERE bad IS NULL""",
-    "e_arriving": """SELECT d.*, f.used + sum(units) OVER (PARTITION BY target ORDER BY request_id) > f.capacity_units AS full_up
+    "e_arriving": """SELECT d.*, units > f.capacity_units - f.used OR f.used + sum(CASE WHEN units > f.capacity_units - f.used
+          THEN 0 ELSE units END) OVER (PARTITION BY target ORDER BY request_id) > f.capacity_units AS full_up
         FROM e_drawn AS d JOIN s_fill AS f ON f.warehouse_id = d.target WHERE NOT short""",
     "e_granted": """SELECT *, sum(units) OVER (PARTITION BY source, product_id ORDER BY request_id) AS hi
         FROM e_arriving WHERE NOT full_up""",
