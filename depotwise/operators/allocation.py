@@ -30,6 +30,7 @@ REASONS = ("no stock", "insufficient stock", "split across hubs")
 RESULT = "order_item_id long, order_id long, product_id long, quantity long, hub long, refusal int"
 WHOLE_NUMBERS = ("product_id", "kind", "warehouse_id", "days", "extra", "units", "order_id", "order_item_id")
 NOWHERE = -1
+LOOKAHEAD = 4096
 
 
 class _ProductStock:
@@ -79,10 +80,13 @@ class _ProductStock:
                 lots.popleft()
         self.oldest[i] = lots[0][0] if lots else 0
 
-    def refusal(self, need: int) -> int:
-        """Position in ``REASONS``."""
+    def most(self) -> int:
+        return int(self.on_hand.max(initial=0))
+
+    def refusals(self, needs: np.ndarray) -> np.ndarray:
+        """Positions in ``REASONS`` for lines that no hub can serve."""
         total = int(self.on_hand.sum())
-        return 0 if total == 0 else 1 if total < need else 2
+        return np.where(total == 0, 0, np.where(total < needs, 1, 2))
 
 
 def _serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,13 +105,20 @@ def _serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lots, lines = start + np.searchsorted(kind[start:stop], (LOT, LINE))
             stock.load(table["warehouse_id"][start:lots], table["units"][start:lots])
             stock.add_lots(*[table[name][lots:lines] for name in ("warehouse_id", "days", "extra", "units")])
-            for n, need in enumerate(table["units"][lines:stop].tolist(), lines):
+            n = lines
+            while n < stop:
+                need = int(table["units"][n])
                 i = stock.best_hub(need)
                 if i == NOWHERE:
-                    refusals[n] = stock.refusal(need)
+                    # no state changes until a line fits again, so the lines before it go at once
+                    ahead = table["units"][n : min(n + LOOKAHEAD, stop)]
+                    misfits = int(np.argmax(ahead <= stock.most())) or len(ahead)
+                    refusals[n : n + misfits] = stock.refusals(ahead[:misfits])
+                    n += misfits
                 else:
                     hubs[n] = stock.hubs[i]
                     stock.ship(i, need)
+                    n += 1
         served = kind == LINE
         keys = {name: table[name][served] for name in ("order_item_id", "order_id", "product_id")}
         yield pd.DataFrame({**keys, "quantity": table["units"][served], "hub": hubs[served], "refusal": refusals[served]})

@@ -215,9 +215,10 @@ class Transfers:
     rejected: DataFrame
 
 
-def _units_range(df: DataFrame, keys: list[str], order: list[str], block: dict[str, Column]) -> DataFrame:
+def _units_range(df: DataFrame, keys: list[str], order: list[str], block: dict[str, Column],
+                 fine: dict[str, Column] | None = None) -> DataFrame:
     """Adds the half-open range ``[lo, hi)`` of unit positions a row covers within its key."""
-    ranged = running_total(df, keys, order, "units", block, out="hi")
+    ranged = running_total(df, keys, order, "units", block, fine, out="hi")
     return ranged.withColumn("lo", F.col("hi") - F.col("units"))
 
 
@@ -292,7 +293,8 @@ def transfer_stock(d: Domain, requests: DataFrame, as_of: Moment) -> Transfers:
         .agg(F.sum("units").alias("units"))
     )
     lots = materialise(lots, "transfer-lots")
-    held = _units_range(lots, source, ["received_date"], {"_day": F.col("received_date").cast("date")})
+    seconds = {"_second": F.date_trunc("second", "received_date")}
+    held = _units_range(lots, source, ["received_date"], {"_day": F.col("received_date").cast("date")}, seconds)
     pieces = (
         _by_cell(wanted)
         .alias("r")
@@ -312,10 +314,11 @@ def transfer_stock(d: Domain, requests: DataFrame, as_of: Moment) -> Transfers:
         .where(F.col("units") > 0)
         .select("request_id", *source, "to_warehouse_id", C.moment(as_of).alias("received_date"), "units")
     )
-    day = {"_request": F.expr(f"request_id div {ID_BLOCK}")}
+    by_request = {"_requests": F.expr(f"request_id div {ID_BLOCK}")}
+    by_day = {"_request": F.col("request_id"), "_day": F.col("received_date").cast("date")}
     numbered = number_rows(
         pieces.unionByName(undated), ["request_id", "received_date"], highest(d["stock_transfer"], "transfer_id"),
-        "transfer_id", day,
+        "transfer_id", by_request, by_day,
     )
     transfers = numbered.select(
         "transfer_id", F.col("warehouse_id").alias("from_warehouse_id"), "to_warehouse_id", "product_id",
@@ -474,7 +477,7 @@ def edit_customers(d: Domain, edits: DataFrame, deletes: DataFrame) -> CustomerE
     """Next customer table after edits (customer_id, name, contact) and deletes (customer_id).
     Customers that an order or a click still refers to cannot be deleted and are reported."""
     doomed = deletes.select("customer_id").distinct()
-    used = d["order"].select("customer_id").unionByName(d["click"].select("customer_id"))
+    used = d["order"].select("customer_id").unionByName(d["click"].select("customer_id")).distinct()
     blocked = doomed.join(used, "customer_id", "left_semi")
     gone = doomed.join(used, "customer_id", "left_anti")
     text = lambda c: F.trim(c)

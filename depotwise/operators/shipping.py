@@ -28,7 +28,8 @@ def latest_status(d: Domain, shipments: DataFrame | None = None) -> DataFrame:
 
 def pending_shipments(d: Domain, as_of: Moment) -> DataFrame:
     """Shipments without a final status and how many whole days they have been under way."""
-    done = d["shipment_status"].where(F.col("status") == SHIPMENT_LIFECYCLE[-1]).select("shipment_id")
+    # distinct combines before the shuffle, so a shipment with very many rows is one row after it
+    done = d["shipment_status"].where(F.col("status") == SHIPMENT_LIFECYCLE[-1]).select("shipment_id").distinct()
     return (
         d["shipment"]
         .join(done, "shipment_id", "left_anti")

@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from depotwise.plans import campaign_reports, live_reports, mutation_reports, quality_reports, stock_reports, trade_reports
+from depotwise.plans import (
+    campaign_reports,
+    live_reports,
+    mutation_reports,
+    quality_reports,
+    source_reports,
+    stock_reports,
+    trade_reports,
+)
 from depotwise.plans.reports import Report
 
-FAMILIES = (stock_reports, trade_reports, campaign_reports, quality_reports, mutation_reports, live_reports)
+FAMILIES = (
+    stock_reports,
+    trade_reports,
+    campaign_reports,
+    quality_reports,
+    mutation_reports,
+    live_reports,
+    source_reports,
+)
 
 
 def reports() -> dict[str, Report]:
