@@ -66,7 +66,8 @@ REPORTS = {
     ),
     "campaign_rollup": Report(
         lambda x: campaigns.campaign_rollup(x.domain),
-        """SELECT c.campaign_id, c.campaign_name, p.name AS product_name, c.start_date, c.end_date,
+        """SELECT c.campaign_id, c.campaign_name, p.name AS product_name, c.start_date::VARCHAR AS start_date,
+             c.end_date::VARCHAR AS end_date,
              coalesce(sum(w.clicks), 0)::BIGINT AS clicks, coalesce(sum(w.orders), 0)::BIGINT AS orders,
              coalesce(sum(w.weighted), 0)::DOUBLE AS revenue
            FROM d_campaign AS c JOIN d_product AS p USING (product_id) LEFT JOIN t_weighted AS w USING (campaign_id)
@@ -121,7 +122,7 @@ REPORTS = {
     ),
     "resolve_codes": Report(
         lambda x: campaigns.resolve_codes(x.domain, _arrivals(x)),
-        """SELECT v.event_id, v.code, l.link_id, l.platform, c.campaign_name,
+        """SELECT v.event_id, v.code, l.link_id::DOUBLE AS link_id, l.platform, c.campaign_name,
              CASE WHEN v.code IS NULL THEN 'no code' WHEN l.link_id IS NULL THEN 'unknown code' ELSE 'matched' END AS outcome,
              l.destination_url || CASE WHEN contains(l.destination_url, '?') THEN '&' ELSE '?' END || 'code=' || v.code
                AS continue_to
@@ -131,6 +132,7 @@ REPORTS = {
                  WHERE event_type = 'view') AS v
            LEFT JOIN d_tracking_link AS l ON l.short_code = v.code
            LEFT JOIN d_campaign AS c ON c.campaign_id = l.campaign_id""",
+        optional_ids=("link_id",),
     ),
     "dashboard_kpis": Report(
         lambda x: campaigns.dashboard_kpis(x.domain, AS_OF),

@@ -89,6 +89,6 @@ REPORTS = {
              UNION ALL SELECT to_warehouse_id, product_id, quantity FROM d_stock_transfer) AS q GROUP BY 1, 2""",
     ),
     "stream_audit_trail": Report(_audit_stream, "SELECT * FROM d_audit_log"),
-    "allocate_orders": Report(lambda x: _allocated(x).lines),
+    "allocate_orders": Report(lambda x: _allocated(x).lines, optional_ids=("warehouse_id",)),
     "allocate_orders_inventory": Report(lambda x: _allocated(x).inventory),
 }

@@ -204,8 +204,8 @@ MUTATION_TABLES = {
 }
 
 
-def _report(build, sql: str) -> Report:
-    return Report(build, sql, tables=MUTATION_TABLES)
+def _report(build, sql: str, optional_ids: tuple[str, ...] = ()) -> Report:
+    return Report(build, sql, tables=MUTATION_TABLES, optional_ids=optional_ids)
 
 
 REPORTS = {
@@ -228,7 +228,8 @@ REPORTS = {
     "place_orders": _report(
         _placed,
         """SELECT order_id, customer_id, ts AS order_date, product_id, quantity::BIGINT AS quantity,
-             price::DOUBLE AS unit_price, link_id FROM e_placed""",
+             price::DOUBLE AS unit_price, link_id::DOUBLE AS link_id FROM e_placed""",
+        optional_ids=("link_id",),
     ),
     "place_orders_rejected": _report(
         lambda x: mutations.place_orders(x.domain, order_requests(x)).rejected,

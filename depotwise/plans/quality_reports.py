@@ -143,7 +143,7 @@ REPORTS = {
     ),
     "negative_balances": Report(
         lambda x: quality.negative_balances(x.domain),
-        """SELECT warehouse_id, product_id, day, balance::BIGINT AS balance FROM (
+        """SELECT warehouse_id, product_id, day::VARCHAR AS day, balance::BIGINT AS balance FROM (
              SELECT warehouse_id, product_id, day, sum(net) OVER (PARTITION BY warehouse_id, product_id ORDER BY day) AS balance
              FROM (SELECT warehouse_id, product_id, CAST(moved_at AS DATE) AS day, sum(units) AS net
                    FROM s_moves GROUP BY 1, 2, 3) AS daily) AS running WHERE balance < 0""",

@@ -29,21 +29,26 @@ class Report:
     sql: str | None = None
     hub: str = "region"
     tables: dict[str, str] = field(default_factory=dict)
+    optional_ids: tuple[str, ...] = ()
 
     def run(self, spark: SparkSession, root: str) -> DataFrame:
-        return plain_types(self.build(Inputs(spark, root, star_domain(spark, root, self.hub))))
+        built = self.build(Inputs(spark, root, star_domain(spark, root, self.hub)))
+        return plain_types(built, self.optional_ids)
 
     def oracle(self) -> str | None:
         return None if self.sql is None else with_tables(self.sql, self.hub, self.tables)
 
 
-def plain_types(df: DataFrame) -> DataFrame:
-    """Integers as bigint and decimals as double, so that engines with other decimal rules can be
-    compared by value. Only the outermost projection does this; all sums are exact decimals."""
+def plain_types(df: DataFrame, optional_ids: tuple[str, ...] = ()) -> DataFrame:
+    """Integers as bigint, decimals and ids that may be missing as double, dates as text, so that
+    engines and clients with other decimal, date or null rules can be compared by value. Only the
+    outermost projection does this; all sums are exact decimals."""
     whole = (T.ByteType, T.ShortType, T.IntegerType)
 
     def project(f: T.StructField):
-        if isinstance(f.dataType, T.DecimalType):
+        if isinstance(f.dataType, T.DateType):
+            return F.col(f.name).cast("string").alias(f.name)
+        if isinstance(f.dataType, T.DecimalType) or f.name in optional_ids:
             return F.col(f.name).cast("double").alias(f.name)
         if isinstance(f.dataType, whole):
             return F.col(f.name).cast("bigint").alias(f.name)

@@ -99,9 +99,10 @@ REPORTS = {
     ),
     "pick_source_warehouse": Report(
         lambda x: routing.pick_source_warehouse(x.domain, _order_lines(x), AS_OF, AGE_POLICY),
-        """SELECT order_item_id, order_id, product_id, quantity::BIGINT AS quantity, warehouse_id
+        """SELECT order_item_id, order_id, product_id, quantity::BIGINT AS quantity, warehouse_id::DOUBLE AS warehouse_id
            FROM t_ranked WHERE place = 1""",
         tables={"t_ranked": RANKED},
+        optional_ids=("warehouse_id",),
     ),
     "hub_routing_preview": Report(
         lambda x: routing.hub_routing_preview(x.domain, _product_requests(x), AS_OF, AGE_POLICY),
@@ -117,12 +118,13 @@ REPORTS = {
     "routing_rejections": Report(
         _unrouted,
         """SELECT r.order_item_id, r.order_id, r.product_id, r.quantity::BIGINT AS quantity,
-             CAST(NULL AS BIGINT) AS warehouse_id,
+             CAST(NULL AS DOUBLE) AS warehouse_id,
              CASE WHEN coalesce(t.units, 0) = 0 THEN 'no stock' WHEN t.units < r.quantity THEN 'insufficient stock'
                ELSE 'split across hubs' END AS reason
            FROM t_ranked AS r LEFT JOIN (SELECT product_id, sum(quantity) AS units FROM d_inventory
              GROUP BY product_id) AS t USING (product_id) WHERE r.place = 1 AND r.warehouse_id IS NULL""",
         tables={"t_ranked": RANKED},
+        optional_ids=("warehouse_id",),
     ),
     "low_stock_by_hub": Report(
         lambda x: stock.low_stock_by_hub(x.domain),
@@ -179,7 +181,7 @@ REPORTS = {
     ),
     "movement_balance": Report(
         lambda x: stock.movement_balance(x.domain),
-        """SELECT warehouse_id, product_id, day, net::BIGINT AS net_units, sum(net) OVER (
+        """SELECT warehouse_id, product_id, day::VARCHAR AS day, net::BIGINT AS net_units, sum(net) OVER (
              PARTITION BY warehouse_id, product_id ORDER BY day)::BIGINT AS balance
            FROM (SELECT warehouse_id, product_id, CAST(moved_at AS DATE) AS day, sum(units) AS net
                  FROM s_moves GROUP BY 1, 2, 3) AS daily""",

@@ -41,7 +41,7 @@ HISTORY = """SELECT i.purchase_item_id, i.purchase_id, h.purchase_date, s.name A
 
 RECENT = "SELECT * FROM d_order ORDER BY order_date DESC, order_id DESC LIMIT 200"
 
-LISTED = """SELECT o.order_id, o.order_date, c.name AS customer_name, 0 AS part,
+LISTED = """SELECT o.order_id, o.order_date, c.name AS customer_name, 0::BIGINT AS part,
     coalesce(string_agg(p.name || ' ×' || i.quantity, ', ' ORDER BY i.order_item_id, i.product_id), '-') AS items_label,
     coalesce(sum(i.quantity * i.unit_price), 0)::DOUBLE AS total,
     coalesce(min(l.platform), 'Direct') AS source, min(s.status) AS shipment_status
@@ -103,12 +103,14 @@ REPORTS = {
     ),
     "resolve_restock": Report(
         lambda x: purchasing.resolve_restock(x.domain, _restock_links(x)),
-        """SELECT CASE WHEN product_id % 50 = 0 THEN -product_id ELSE product_id END AS product_id, asked AS asked_supplier_id,
-             CASE WHEN product_id % 50 <> 0 THEN supplier_id END AS supplier_id,
+        """SELECT CASE WHEN product_id % 50 = 0 THEN -product_id ELSE product_id END AS product_id,
+             asked::DOUBLE AS asked_supplier_id,
+             (CASE WHEN product_id % 50 <> 0 THEN supplier_id END)::DOUBLE AS supplier_id,
              CASE WHEN product_id % 50 = 0 THEN 'unknown product' WHEN asked <> supplier_id THEN 'supplier corrected'
                ELSE 'ok' END AS outcome
            FROM (SELECT product_id, supplier_id, CASE product_id % 3 WHEN 0 THEN supplier_id WHEN 1 THEN supplier_id - 1
              END AS asked FROM d_product) AS q""",
+        optional_ids=("asked_supplier_id", "supplier_id"),
     ),
     "product_margin": Report(
         lambda x: purchasing.product_margin(x.domain),
@@ -122,12 +124,13 @@ REPORTS = {
     "order_fulfilment": Report(
         lambda x: orders.order_fulfilment(x.domain),
         """SELECT o.order_id, o.order_date, c.name AS customer_name, s.tracking_code, p.location AS source_hub,
-             w.warehouse_id::BIGINT AS source_warehouse_id, coalesce(u.units, 0)::BIGINT AS units,
+             w.warehouse_id::DOUBLE AS source_warehouse_id, coalesce(u.units, 0)::BIGINT AS units,
              l.status AS shipment_status
            FROM d_order AS o JOIN d_customer AS c USING (customer_id) LEFT JOIN d_shipment AS s USING (order_id)
            LEFT JOIN (SELECT shipment_id, location FROM d_shipment_status WHERE status = 'Packed') AS p USING (shipment_id)
            LEFT JOIN d_warehouse AS w ON w.name = p.location LEFT JOIN s_latest AS l USING (shipment_id)
            LEFT JOIN (SELECT order_id, sum(quantity) AS units FROM d_order_item GROUP BY 1) AS u USING (order_id)""",
+        optional_ids=("source_warehouse_id",),
     ),
     "order_list": Report(lambda x: orders.order_list(x.domain), LISTED, tables={"t_recent": RECENT}),
     "order_list_search": Report(
@@ -167,7 +170,7 @@ REPORTS = {
     ),
     "monthly_orders": Report(
         lambda x: orders.monthly_orders(x.domain),
-        """SELECT CAST(date_trunc('month', order_date) AS DATE) AS month, strftime(min(order_date), '%b %Y') AS label,
+        """SELECT CAST(CAST(date_trunc('month', order_date) AS DATE) AS VARCHAR) AS month, strftime(min(order_date), '%b %Y') AS label,
              count(*) AS orders FROM d_order GROUP BY 1""",
     ),
     "top_products": Report(
