@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 def spark():
     from depotwise.session import local_session
 
-    session = local_session(8, shuffle_partitions=4, memory="6g")
+    session = local_session(8, shuffle_partitions=2, memory="6g")
     yield session
     session.stop()
 
