@@ -149,7 +149,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             hooked.join(roots, "id", "left")
             .select("id", F.least("label", F.coalesce("root", "label")).alias("label"))
         )
-        jump = moved.withColumnsRenamed({"id": "label", "label": "next"})
+        jump = moved.select(F.col("id").alias("label"), F.col("label").alias("next"))
         labels = materialise(
             moved.join(jump, "label", "left").select("id", F.least("label", F.coalesce("next", "label")).alias("label")), "labels"
         )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depotwise.llm import bpe, packing, sharding
+from depotwise.llm import bpe, near_dedup, packing, sharding
 from depotwise.llm.common import table
 
 
@@ -22,7 +22,11 @@ def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).rows
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_best_fit_packing, op5_token_counts, op8_hilbert_sharding)
+    f.__name__: f for f in (op4_best_fit_packing, op5_token_counts, op8_hilbert_sharding, op9_minhash_near_dedup)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_minhash_near_dedup": near_dedup.SQL}
