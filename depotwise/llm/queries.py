@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depotwise.llm import bpe, near_dedup, packing, sharding
+from depotwise.llm import bpe, near_dedup, packing, sharding, suffix_dedup
 from depotwise.llm.common import table
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,6 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_best_fit_packing, op5_token_counts, op8_hilbert_sharding, op9_minhash_near_dedup)
+    f.__name__: f for f in (op1_suffix_array_dedup, op4_best_fit_packing, op5_token_counts, op8_hilbert_sharding, op9_minhash_near_dedup)
 }
 SQL: dict[str, str] = {"op9_minhash_near_dedup": near_dedup.SQL}
