@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depotwise.llm import bpe, near_dedup, packing, sharding, suffix_dedup
+from depotwise.llm import bpe, metric_tree, near_dedup, packing, sharding, suffix_dedup, warc
 from depotwise.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`valid` is true where the archive gave back what was written."""
+    return warc.archived(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -30,7 +35,14 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).rows
 
 
+def op10_metric_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op4_best_fit_packing, op5_token_counts, op8_hilbert_sharding, op9_minhash_near_dedup)
+    f.__name__: f for f in (
+        op1_suffix_array_dedup, op2_warc_segments, op4_best_fit_packing, op5_token_counts, op8_hilbert_sharding, op9_minhash_near_dedup,
+        op10_metric_tree_search,
+    )
 }
-SQL: dict[str, str] = {"op9_minhash_near_dedup": near_dedup.SQL}
+SQL: dict[str, str] = {"op9_minhash_near_dedup": near_dedup.SQL, "op10_metric_tree_search": metric_tree.SQL}
