@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depotwise.llm import bpe, metric_tree, near_dedup, packing, sharding, suffix_dedup, warc
+from depotwise.llm import bpe, decontamination, metric_tree, near_dedup, packing, sharding, suffix_dedup, toxicity, warc
 from depotwise.llm.common import table
 
 
@@ -27,6 +27,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"))
 
@@ -41,7 +50,8 @@ def op10_metric_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_suffix_array_dedup, op2_warc_segments, op4_best_fit_packing, op5_token_counts, op8_hilbert_sharding, op9_minhash_near_dedup,
+        op1_suffix_array_dedup, op2_warc_segments, op4_best_fit_packing, op5_token_counts, op6_toxicity,
+        op7_benchmark_decontamination, op8_hilbert_sharding, op9_minhash_near_dedup,
         op10_metric_tree_search,
     )
 }
