@@ -161,61 +161,94 @@ def leaks_in(words: np.ndarray, at: np.ndarray, which: np.ndarray, items: Items)
 LEAKS = "item_id bigint, score double, first_word bigint, last_word bigint"
 
 
+def seed_counts(rows: DataFrame, items: Items) -> dict[int, int]:
+    """In how many documents each seed is: summed per batch, then per seed; one number for each of the block's."""
+    sent = rows.sparkSession.sparkContext.broadcast(items)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for whole in batches:
+            n = np.zeros(len(known.seeds), dtype=np.int64)
+            for batch in slices(whole, "text"):
+                words, bounds = word_codes(batch.column("text"))
+                at, which = known.hits(words, bounds)
+                row = np.searchsorted(bounds, at, side="right")
+                n += np.bincount(np.unique(np.stack([row, which]), axis=1)[1], minlength=len(n))
+            k = np.flatnonzero(n)
+            yield pa.record_batch([pa.array(known.seeds[k].view(np.int64)), pa.array(n[k])], names=["seed", "n"])
+
+    counted = rows.select("text").mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()
+    return {int(np.int64(r["seed"]).view(np.uint64)): r["n"] for r in counted}
+
+
+def found_in(batch: pa.RecordBatch, known: Items, threshold: float) -> list[tuple[int, int, float, int, int]]:
+    """(row, item id, score, first word, last word) of the items that rows of a batch hold."""
+    words, bounds = word_codes(batch.column("text"))
+    at, which = known.hits(words, bounds)
+    order = np.argsort(at, kind="stable")
+    at, which = at[order], which[order]
+    row = np.searchsorted(bounds, at, side="right") - 1
+    out = []
+    for r in np.unique(row).tolist():
+        a, z = np.searchsorted(row, [r, r + 1])
+        for item, score, low, high in leaks_in(words[bounds[r] : bounds[r + 1]], at[a:z] - bounds[r], which[a:z], known):
+            if score >= threshold:
+                out.append((r, known.ids[item], score, low, high))
+    return out
+
+
+LEAKS = "item_id bigint, score double, first_word bigint, last_word bigint"
+
+
+def whole_ids(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word for every document of `df` (doc_id, text) that holds a
     copy, perhaps edited, of an item of `benchmark` (item_id, text): the best alignment of the item's
     words in it has `threshold` or more of the score of a full copy.
 
     Documents are never exchanged: a block of items, of bounded size, goes to the tasks. A first pass
-    counts the documents of each seed, summed per batch before the exchange and collected per seed of
-    the block; the second aligns where a rare seed is found. More items mean more blocks, not larger ones.
+    counts the documents of each seed; the second aligns where a rare seed is found. More items mean
+    more blocks, not larger ones.
 
     Null or empty text, or item text: no match. Null ids are kept in the result. Repeated rows of either
     table give one row. No rows: no rows. Other columns are ignored."""
     spark = df.sparkSession
-    doc_kind, benchmark = df.schema["doc_id"].dataType, benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     rows = df.select("doc_id", "text")
-    schema = f"doc_id {doc_kind.simpleString()}, {LEAKS}"
+    schema = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, {LEAKS}"
     found = spark.createDataFrame([], schema)
-    for items in item_blocks(benchmark):
-        sent = spark.sparkContext.broadcast(items)
-
-        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                n = np.zeros(len(sent.value.seeds), dtype=np.int64)
-                for batch in slices(whole, "text"):
-                    words, bounds = word_codes(batch.column("text"))
-                    at, which = sent.value.hits(words, bounds)
-                    row = np.searchsorted(bounds, at, side="right")
-                    pairs = np.unique(np.stack([row, which]), axis=1)
-                    n += np.bincount(pairs[1], minlength=len(n))
-                k = np.flatnonzero(n)
-                yield pa.record_batch([pa.array(sent.value.seeds[k].view(np.int64)), pa.array(n[k])], names=["seed", "n"])
-
-        counted = rows.mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-        counts = {int(np.int64(r["seed"]).view(np.uint64)): r["n"] for r in counted}
-        rare = spark.sparkContext.broadcast(items.rare(counts))
+    for items in item_blocks(whole_ids(benchmark)):
+        rare = spark.sparkContext.broadcast(items.rare(seed_counts(rows, items)))
 
         def search(batches: Iterator[pa.RecordBatch], rare=rare) -> Iterator[pa.RecordBatch]:
-            known = rare.value
             for whole in batches:
                 for batch in slices(whole, "text"):
-                    words, bounds = word_codes(batch.column("text"))
-                    at, which = known.hits(words, bounds)
-                    row = np.searchsorted(bounds, at, side="right") - 1
-                    picked, out = [], []
-                    for r in np.unique(row).tolist():
-                        own = row == r
-                        for item, score, a, z in leaks_in(words[bounds[r] : bounds[r + 1]], at[own] - bounds[r], which[own], known):
-                            if score >= threshold:
-                                picked.append(r)
-                                out.append((known.ids[item], score, a, z))
-                    columns = list(zip(*out, strict=True)) if out else [[]] * 4
-                    item_ids = pa.array(columns[0], pa.int64())
-                    yield pa.record_batch(
-                        [batch.column("doc_id").take(pa.array(picked, pa.int64())), item_ids, pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())],
-                        names=["doc_id", "item_id", "score", "first_word", "last_word"],
-                    )
+                    out = found_in(batch, rare.value, threshold)
+                    picked, *columns = zip(*out, strict=True) if out else [[]] * 5
+                    kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                    columns = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                    ids = batch.column("doc_id").take(pa.array(picked, pa.int64()))
+                    yield pa.record_batch([ids, *columns], names=["doc_id", "item_id", "score", "first_word", "last_word"])
 
         found = found.union(rows.mapInArrow(search, schema))
     return found.distinct()
+
+
+def uncontaminated(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `df`, with all their columns, that `contaminated` would not name."""
+    spark = df.sparkSession
+    kept = df
+    for items in item_blocks(whole_ids(benchmark)):
+        rare = spark.sparkContext.broadcast(items.rare(seed_counts(df, items)))
+
+        def keep(batches: Iterator[pa.RecordBatch], rare=rare) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    clean = np.ones(batch.num_rows, dtype=bool)
+                    clean[[r for r, *_ in found_in(batch, rare.value, threshold)]] = False
+                    yield batch.filter(pa.array(clean))
+
+        kept = kept.mapInArrow(keep, df.schema)
+    return kept

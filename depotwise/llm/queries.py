@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depotwise.llm import bpe, decontamination, metric_tree, near_dedup, packing, sharding, suffix_dedup, toxicity, warc
+import corpus_pipeline
+from depotwise.llm import bpe, decontamination, metric_tree, near_dedup, packing, passage_dedup, sharding, suffix_dedup, toxicity, warc
 from depotwise.llm.common import table
 
 
@@ -19,6 +20,10 @@ def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("url", "payload")
 
 
+def op3_compact_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -50,9 +55,9 @@ def op10_metric_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_suffix_array_dedup, op2_warc_segments, op4_best_fit_packing, op5_token_counts, op6_toxicity,
+        op1_suffix_array_dedup, op2_warc_segments, op3_compact_window_dedup, op4_best_fit_packing, op5_token_counts, op6_toxicity,
         op7_benchmark_decontamination, op8_hilbert_sharding, op9_minhash_near_dedup,
         op10_metric_tree_search,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {"op9_minhash_near_dedup": near_dedup.SQL, "op10_metric_tree_search": metric_tree.SQL}

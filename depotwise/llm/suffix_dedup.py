@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from depotwise.llm.common import PrefixHash, byte_view, mix, slices
 from depotwise.session import materialise
@@ -315,8 +316,8 @@ def rims(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
     return packed(docs).join(wanted, "doc").select("doc", "n", "z", "marks").mapInArrow(slice_out, RIMS)
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """(doc, n, z): texts compressed for the way through an exchange."""
+def packed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, n, z, *keep): texts compressed for the way through an exchange."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=1)
@@ -324,9 +325,13 @@ def packed(docs: DataFrame) -> DataFrame:
             for batch in slices(whole, "text"):
                 raw = [t.as_buffer() for t in batch.column("text")]
                 z = pa.array([codec.compress(b, asbytes=True) if b.size else b"" for b in raw], pa.binary())
-                yield pa.record_batch([batch.column("doc"), pa.array([b.size for b in raw], pa.int64()), z], names=["doc", "n", "z"])
+                columns = [batch.column("doc"), pa.array([b.size for b in raw], pa.int64()), z, *(batch.column(c) for c in keep)]
+                yield pa.record_batch(columns, names=["doc", "n", "z", *keep])
 
-    return docs.mapInArrow(pack, "doc bigint, n bigint, z binary")
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("z", T.BinaryType())])
+    for c in keep:
+        schema = schema.add(docs.schema[c])
+    return docs.mapInArrow(pack, schema)
 
 
 def unpacked(batch: pa.RecordBatch, i: int) -> bytes:
@@ -419,17 +424,19 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return verdicts.where("gram is null").select(*columns).union(found.where("hash_a is null").select(*columns)).union(across.select(*columns))
 
 
-def deduplicated(df: DataFrame, window: int = WINDOW) -> DataFrame:
+def deduplicated(df: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every row of `df` (doc_id, text) without its repeated bytes: doc_id, n_bytes, n_removed, n_spans,
-    kept_sha256, kept (the remaining bytes).
+    kept_sha256, kept (the remaining bytes), and the columns of `keep` as one struct `carried`.
 
     A byte goes if some string of `window` bytes that covers it also starts earlier: in a smaller
     doc_id, or in the same document further in front; strings may overlap, and are judged on the
     input. Null text counts as empty. A null doc_id is neither searched nor a source. A doc_id stands
     for one text; rows that repeat both are treated alike and are no source for each other. No rows:
     no rows. Other columns of `df` are ignored. `window` is from GRAM to 255."""
-    docs = df.select(F.col("doc_id").cast("bigint").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    ranges = repeated_ranges(docs.where("doc is not null"), window)
+    carried = (F.struct(*keep).alias("carried"),) if keep else ()
+    names = ("carried",) if keep else ()
+    docs = df.select(F.col("doc_id").cast("bigint").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), *carried)
+    ranges = repeated_ranges(docs.where("doc is not null").select("doc", "text"), window)
     per_doc = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,7 +457,9 @@ def deduplicated(df: DataFrame, window: int = WINDOW) -> DataFrame:
                 out.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-            yield pa.record_batch([batch.column("doc"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            columns += [batch.column(c) for c in names]
+            yield pa.record_batch([batch.column("doc"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *names])
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    return packed(docs).join(per_doc, "doc", "left").select("doc", "n", "z", "ranges").mapInArrow(remove, schema)
+    schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in names)
+    return packed(docs, names).join(per_doc, "doc", "left").select("doc", "n", "z", "ranges", *names).mapInArrow(remove, schema)

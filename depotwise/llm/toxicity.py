@@ -306,6 +306,11 @@ def train(df: DataFrame, labels: DataFrame) -> Model:
     return Model(terms, stems, tuple(fit_weights(x[order], y[order]).tolist()), model.name)
 
 
+def probabilities(texts: list[str | None], memory: Words, weights: np.ndarray) -> np.ndarray:
+    x = np.array([features(t, memory) for t in texts])
+    return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ weights, -30, 30)))
+
+
 def score(df: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `df` (doc_id, text), without any exchange.
 
@@ -317,10 +322,22 @@ def score(df: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFram
         memory, weights = model.words(), np.array(model.weights)
         for whole in batches:
             for batch in slices(whole, "text"):
-                x = np.array([features(t, memory) for t in batch.column("text").to_pylist()])
-                p = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ weights, -30, 30)))
+                p = probabilities(batch.column("text").to_pylist(), memory, weights)
                 yield pa.record_batch([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
 
     scored = df.select("doc_id", "text").mapInArrow(apply, f"doc_id {kind}, score double")
     held_out = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(df: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `df`, with all their columns, whose text scores below `threshold`."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, weights = model.words(), np.array(model.weights)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                p = probabilities(batch.column("text").to_pylist(), memory, weights)
+                yield batch.filter(pa.array(p < threshold))
+
+    return df.mapInArrow(keep, df.schema)
