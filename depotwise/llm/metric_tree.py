@@ -14,9 +14,10 @@ from depotwise.llm.common import mix
 from depotwise.session import materialise
 
 SCALE = 1024
-PAGE = 64  # entries of a node
+PAGE = 256  # entries of a node
 TREE = 8192  # vectors of one tree; every task that searches holds one at a time
-QUERY_BLOCK = 256  # queries that meet a tree together
+QUERY_BLOCK = 1024  # queries that meet a tree together
+TASKS = 10_000  # that search, at most
 
 
 def quantised(vector: Column) -> Column:
@@ -99,13 +100,15 @@ class Tree:
                 continue
             if depth == 0:
                 rows = level["order"][keep]
-                scores = self.vectors[rows] @ query
-                for score, vec_id in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
-                    if vec_id != own and (floor is None or score >= floor):
-                        if len(best) < k:
-                            heapq.heappush(best, (score, -vec_id))
-                        elif (score, -vec_id) > best[0]:
-                            heapq.heapreplace(best, (score, -vec_id))
+                scores, ids = self.vectors[rows] @ query, self.ids[rows]
+                fit = ids != own if limit is None else (ids != own) & (scores >= limit)
+                scores, ids = scores[fit], ids[fit]
+                for i in np.lexsort((ids, -scores))[:k].tolist():
+                    entry = (int(scores[i]), -int(ids[i]))
+                    if len(best) < k:
+                        heapq.heappush(best, entry)
+                    elif entry > best[0]:
+                        heapq.heapreplace(best, entry)
                 continue
             apart = np.linalg.norm(level["centre"][keep] - q, axis=1)
             reach = np.maximum(apart - level["radius"][keep] - 1e-6 * (1 + apart), 0)
@@ -140,7 +143,8 @@ def top_inner_products(df: DataFrame, every: int = 100, k: int = 10) -> DataFram
     n = rows.count()
     trees = max(1, -(-n // TREE))
     queries = rows.where(F.col("id") % every == 0).select("id", "v", "dim").dropDuplicates(["id", "v"])
-    blocks = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // every // QUERY_BLOCK)))))
+    n_blocks = max(1, -(-n // every // QUERY_BLOCK))
+    blocks = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
     blocks = blocks.groupBy("dim", "block").agg(F.collect_list("id").alias("q_ids"), F.flatten(F.collect_list("v")).alias("q_v"))
     pages = rows.withColumn("tree", F.pmod(F.xxhash64("id", "v"), F.lit(trees)))
     pages = pages.groupBy("dim", "tree").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("flat"))
@@ -159,7 +163,10 @@ def top_inner_products(df: DataFrame, every: int = 100, k: int = 10) -> DataFram
                 columns = list(zip(*out, strict=True)) if out else [[], [], []]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
-    met = pages.join(blocks, "dim").select("dim", "tree", "ids", "flat", "q_ids", "q_v")
+    pages = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    met = pages.join(blocks, ["dim", "block"]).select("dim", "tree", "block", "ids", "flat", "q_ids", "q_v")
+    # a few large rows: dealt to as many tasks, which Spark would take for small partitions to merge
+    met = met.repartition(min(TASKS, trees * n_blocks), "dim", "tree", "block").sortWithinPartitions("dim", "tree")
     found = met.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("rank", "hit")).select(

@@ -147,38 +147,64 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(check, "a bigint, b bigint")
 
 
-def within_blocks(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within RADIUS among the members (key, id, component) of a
-    key. Members are dealt to blocks of about BLOCK; each row compares two blocks, so no task holds a
-    bucket, and only pairs within the radius leave it."""
+def hits(x: pa.StructArray, y: pa.StructArray, start: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (smaller id, larger id) within RADIUS of members of `x` and `y`, of different components; with
+    `start` 1, `x` is `y` and each pair is met once."""
+    rows = codes(y.field("signature"))
+    ids, group = (y.field(f).to_numpy(zero_copy_only=False) for f in ("id", "component"))
+    own = codes(x.field("signature"))
+    own_ids, own_group = (x.field(f).to_numpy(zero_copy_only=False) for f in ("id", "component"))
+    for i in range(len(own_ids)):
+        skip = (i + 1) * start
+        h = (rows[skip:] != own[i]).sum(axis=1)
+        hit = np.flatnonzero((h <= RADIUS) & (group[skip:] != own_group[i])) + skip
+        if len(hit):
+            yield np.minimum(ids[hit], own_ids[i]), np.maximum(ids[hit], own_ids[i])
+
+
+def pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate([p[k] for p in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+MEMBER = ("id", "component", "signature")
+
+
+def within_buckets(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) within RADIUS among the members (key, id, component) of a key. Members are dealt to
+    blocks of about BLOCK; a row compares two blocks, and only pairs within the radius leave it."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-            for members in batch.column("members"):
-                part = members.values
-                rows = codes(part.field("signature"))
-                ids, group = (part.field(f).to_numpy(zero_copy_only=False) for f in ("id", "component"))
-                for i in range(len(ids) - 1):
-                    h = (rows[i + 1 :] != rows[i]).sum(axis=1)
-                    hit = np.flatnonzero((h <= RADIUS) & (group[i + 1 :] != group[i])) + i + 1
-                    out.append((np.minimum(ids[hit], ids[i]), np.maximum(ids[hit], ids[i])))
-            a, b = (np.concatenate([p[k] for p in out]) if out else np.empty(0, np.int64) for k in (0, 1))
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.countDistinct("component").alias("groups"))
+            yield pair_batch([p for m in batch.column("members") for p in hits(m.values, m.values, 1)])
+
+    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y"))
     dealt = (
-        members.join(blocks.where("groups > 1").drop("groups"), "key")
-        .join(signed.select("id", "signature"), "id")
+        members.join(blocks.where("x < y").drop("x", "y"), "key")
+        .join(signed, "id")
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
-    rows = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
-        F.collect_list(F.struct("id", "component", "signature")).alias("members")
-    )
+    rows = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct(*MEMBER)).alias("members"))
     return rows.select("members").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def across(outside: DataFrame, inside: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) within RADIUS of what is `outside` a component (home, id, component) and what is `inside`
+    it (home, id, component). Both sides are packed into blocks once; a row compares two blocks."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pair_batch([p for x, y in zip(batch.column("x"), batch.column("y"), strict=True) for p in hits(x.values, y.values)])
+
+    def packed(members: DataFrame, name: str) -> DataFrame:
+        sizes = members.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        dealt = members.join(sizes, "home").join(signed, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        return dealt.groupBy("home", "block").agg(F.collect_list(F.struct(*MEMBER)).alias(name)).drop("block")
+
+    return packed(outside, "x").join(packed(inside, "y"), "home").select("x", "y").mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
 @dataclass(frozen=True)
 class NearDuplicates:
     """One row per input row, and the links by which components were joined (between class representatives)."""
@@ -196,10 +222,10 @@ def near_duplicates(df: DataFrame, percent: int = 75) -> NearDuplicates:
 
     1. All classes that share a masked chunk are compared with the smallest of the bucket, on
        signatures and then on full sets; that links nearly all there is to link.
-    2. Members of a bucket that are not in the component of its first one are compared with the rest.
-       The number of differing components is a metric, so members that are too near the first one, or
-       too far from it, to be within the radius are passed by; components are never compared inside.
-    No pair within the radius is missed unless both are connected already.
+    2. Members of a bucket that are not in the component of its first one are compared with that component
+       and with each other, on signatures in blocks; components are never compared inside.
+    No pair within the radius is missed unless both are connected already. The second step's work is the
+    product of a component and what is outside it in its buckets; no pair beyond the radius is a row.
 
     Null or empty text: no shingles, alone. Null doc_id: a row with null component_id, kept. Rows with
     an equal doc_id count as one node. No rows: no rows. Other columns of `df` are ignored."""
@@ -231,28 +257,22 @@ def near_duplicates(df: DataFrame, percent: int = 75) -> NearDuplicates:
 
 def remaining(buckets: DataFrame, stars: DataFrame, links: DataFrame, signed: DataFrame) -> DataFrame:
     """Pairs within the radius that share a bucket, are not connected by `links` and have not been compared."""
-    named = components(signed.select("id"), links)
-    distance = stars.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "h")
-    placed = (
-        buckets.where("id <> pivot")
-        .join(distance, ["pivot", "id"])
+    named = materialise(components(signed.select("id"), links), "named")
+    apart = (
+        stars.select(F.col("a").alias("pivot"), F.col("b").alias("id"))
         .join(named, "id")
         .join(named.select(F.col("id").alias("pivot"), F.col("component").alias("home")), "pivot")
+        .where(F.col("component") != F.col("home"))
     )
-    apart = F.col("component") != F.col("home")
-    bounds = placed.groupBy("key").agg(F.min(F.when(apart, F.col("h"))).alias("nearest"), F.max(F.when(~apart, F.col("h"))).alias("farthest"))
-    placed = materialise(placed.join(bounds.where("nearest is not null"), "key"), "placed")
-    others = placed.where(apart)
-    outer = others.where(F.col("h") - RADIUS <= F.col("farthest")).select("key", F.col("id").alias("x"), F.col("h").alias("hx"))
-    inner = placed.where(~apart).where(F.col("h") >= F.col("nearest") - RADIUS).select("key", F.col("id").alias("y"), F.col("h").alias("hy"))
-    across = (
-        outer.join(inner, "key")
-        .where(F.col("hx") - F.col("hy") <= RADIUS)
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
-    across = with_distance(across, signed).where(F.col("h") <= RADIUS).select("a", "b")
-    return across.union(within_blocks(others.select("key", "id", "component"), signed)).distinct()
+    apart = materialise(apart, "apart")
+    outside = apart.select("home", "id", "component").distinct()
+    # a component of one has been compared with all it shares a bucket with
+    homes = outside.select(F.col("home").alias("component")).distinct()
+    sizes = named.join(homes, "component", "left_semi").groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    inside = named.join(sizes, "component").select(F.col("component").alias("home"), "id", "component")
+    outside = outside.join(sizes.withColumnRenamed("component", "home"), "home", "left_semi")
+    others = buckets.join(apart.select("pivot", "id", "component"), ["pivot", "id"]).select("key", "id", "component")
+    return across(outside, inside, signed).union(within_buckets(others, signed)).distinct()
 
 
 SQL = r"""

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from depotwise.session import work_path
 
 VERSION = b"WARC/1.1\r\n"
-# Between two records. Files are split into records here, in parallel and inside large files too.
-BOUNDARY = b"\r\n\r\n" + VERSION
+# Where the next record starts, after the line ends between two. Files are split into records here. The
+# mark has no beginning inside itself, so a reader that meets half of it needn't look back.
+BOUNDARY = b"\n" + VERSION
 SEGMENT_BYTES = 32 << 10  # longer blocks continue in further records
 CHUNK_BYTES = 8 << 10
 DATE = "2000-01-01T00:00:00Z"
@@ -34,7 +35,7 @@ def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
         end = min(at + size, len(payload))
         found = payload.find(BOUNDARY, at, min(end + len(BOUNDARY) - 1, len(payload)))
         if found >= 0:
-            end = min(end, found + len(BOUNDARY) // 2)
+            end = min(end, found + 1 + len(VERSION) // 2)
         out.append(b"%x\r\n%s\r\n" % (end - at, payload[at:end]))
         at = end
     return b"".join([*out, b"0\r\n\r\n"])
@@ -134,12 +135,12 @@ def parse(raw: bytes) -> tuple | None:
         return None
     number = lambda name: int(v) if re.fullmatch(r"-?\d+", v := fields.get(name, "")) else None
     length = number("content-length")
-    whole = length is not None and len(block) >= length
+    whole = length is not None and len(block) >= length and not block[length:].strip(b"\r\n")
     kind = fields["warc-type"]
     origin = fields.get("warc-segment-origin-id") if kind == "continuation" else fields.get("warc-record-id")
     return (
         origin, number("warc-segment-number"), number("warc-segment-total-length"), kind, number("page-id"), fields.get("warc-target-uri"),
-        fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, number("refers-to-page-id"), whole, block[:length] if whole else block,
+        fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, number("refers-to-page-id"), whole, block[:length],
     )
 
 

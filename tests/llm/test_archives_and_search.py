@@ -20,6 +20,13 @@ def digest(b):
     return base64.b32encode(hashlib.sha1(b).digest()).decode()
 
 
+def test_no_page_is_lost_at_a_buffer_s_end(spark, tmp_path):
+    """Readers fill buffers of 64 KB; a record may end anywhere in one."""
+    pages = spark.range(1500).selectExpr("id as page_id", "concat('http://x/', id) as url", "repeat(concat(id, 'y'), cast(id % 97 as int) + 20) as html")
+    got = warc.archived(pages.coalesce(2)).collect()
+    assert sorted(r.page_id for r in got) == list(range(1500)) and all(r.valid for r in got)
+
+
 PAGES = [
     (0, "http://a/", "<p>one</p>"), (1, "http://b/", "<p>one</p>"), (2, None, None), (3, "http://c/\r\nX: y", ""), (4, "http://d/", "é" * 50_000),
     (5, "http://e/", "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nb" * 300), (6, "http://f/", "0\r\n\r\n"), (None, "http://g/", "<p>one</p>"),
