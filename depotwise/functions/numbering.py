@@ -7,28 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotwise.functions.running import HOT_ROWS, running_total
-
-BUCKETS = 4096
-
-
-def number_rows(
-    df: DataFrame,
-    order: Sequence[str],
-    base: Column | int,
-    out: str,
-    block: dict[str, Column] | None = None,
-    fine: dict[str, Column] | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """``base + 1, base + 2, ...`` in ``order``. Rows are counted per block first; only the short
-    list of block counts is accumulated in one place. ``block`` must follow ``order``; without it
-    rows are numbered bucket by bucket of a hash, which is still dense and repeatable."""
-    if block is None:
-        block = {"_bucket": F.pmod(F.xxhash64(*order), F.lit(BUCKETS))}
-    counted = running_total(
-        df.withColumn("_one", F.lit(1).cast("bigint")), [], order, "_one", block, fine, hot_rows=hot_rows, out="_position"
-    )
+from depotwise.functions.running import running_total
+
+
+def number_rows(df: DataFrame, order: Sequence[str], base: Column | int, out: str) -> DataFrame:
+    """``base + 1, base + 2, ...`` in ``order``. Rows are dealt to range partitions and counted there;
+    only the counts, one per partition, are accumulated in one place."""
+    counted = running_total(df.withColumn("_one", F.lit(1).cast("bigint")), [], order, "_one", out="_position")
     return counted.withColumn(out, (base + F.col("_position")).cast("bigint")).drop("_one", "_position")
 
 

@@ -1,33 +1,32 @@
 """Running totals that do not put a whole key into one task.
 
 A plain ``sum() over (partition by key order by ...)`` sorts every row of a key in a single task, so
-one dominant key stalls the job. Here each key is cut into *blocks* that follow the sort order (for
-example days). Block sums are pre-aggregated before the shuffle, a small window over the blocks of a
-key gives each block its starting value, and the row-level window then runs per ``(key, block)``. The
-rows themselves are shuffled once, on ``(key, block)``, and that one exchange serves both the join
-with the starting values and the window.
-
-A block that still holds more than ``hot_rows`` rows is cut again by ``fine`` columns (again in sort
-order). The list of such blocks has at most ``rows / hot_rows`` entries, which bounds the broadcast.
+one dominant key stalls the job. Here the rows are dealt to range partitions on (key, order) and written
+once. The partition is the *block*: a key has at most one block per partition, whatever its times and
+ids look like, and a dominant key spreads over many. Block sums are pre-aggregated, a window over the few
+blocks of a key gives each block its starting value, and the row-level window runs per (key, block).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import Literal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-SLOT = "_slot"
+from depotwise.session import materialise
+
+BLOCK = "_block"
 BEFORE = "_before"
-BLOCK_TOTAL = "_block_total"
+Totals = dict[str, tuple[Literal["sum", "max"], str]]  # name: kind and column
+KINDS = {"sum": F.sum, "max": F.max}
 
 
 @dataclass(frozen=True)
 class Blocked:
-    """Rows tagged with their block, and one row per block with the total before it."""
+    """Written rows tagged with their block, and one row per block with the totals before it."""
 
     rows: DataFrame
     blocks: DataFrame
@@ -42,70 +41,44 @@ class Blocked:
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
 
+    def join(self, blocks: DataFrame) -> DataFrame:
+        """The rows with what is known of their blocks. Null keys are keys like any other."""
+        names = {c: f"_of_{c}" for c in self.on}
+        side = blocks.withColumnsRenamed(names)
+        same = [F.col(c).eqNullSafe(F.col(names[c])) for c in self.on]
+        return self.rows.join(side, same).drop(*names.values())
+
 
-def blocked(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    block: dict[str, Column],
-    fine: dict[str, Column] | None = None,
-    descending: bool = False,
-    hot_rows: int = HOT_ROWS,
-) -> Blocked:
-    """Cut ``df`` into blocks. ``block`` and ``fine`` map new column names to expressions that never
-    decrease along ``order``; ``fine`` only has to do so inside one block."""
+def blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Totals, descending: bool = False) -> Blocked:
+    """Cut ``df`` into blocks that follow ``order`` inside each key. Rows that agree in key and order
+    share a block. ``totals`` names sums or maxima of columns; the blocks hold them over all earlier ones
+    of the key, under the same names with ``_before`` in front (null for the first block)."""
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    coarse, fine = list(block), fine or {}
-    cell = [*keys, *coarse]
-    rows = df.withColumns(block)
-    cells = rows.groupBy(*cell).agg(
-        F.sum(value).alias(BLOCK_TOTAL), F.count(F.lit(1)).alias("_n")
-    )
-
-    if fine:
-        hot = F.broadcast(cells.where(F.col("_n") > hot_rows).select(*cell))
-        slot = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in fine.values()])
-        parts = (
-            rows.join(hot, cell)
-            .withColumns({**fine, SLOT: slot})
-            .groupBy(*cell, *fine, SLOT)
-            .agg(F.sum(value).alias(BLOCK_TOTAL))
-        )
-        calm = cells.where(F.col("_n") <= hot_rows).withColumn(SLOT, F.lit(""))
-        cells = calm.drop("_n").unionByName(parts, allowMissingColumns=True)
-        rows = rows.join(hot.withColumn("_hot", F.lit(True)), cell, "left")
-        rows = rows.withColumn(SLOT, F.when(F.col("_hot"), slot).otherwise(F.lit(""))).drop("_hot")
-    else:
-        cells = cells.drop("_n").withColumn(SLOT, F.lit(""))
-        rows = rows.withColumn(SLOT, F.lit(""))
-
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy(*[direction(c) for c in [*coarse, *fine]])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = F.coalesce(F.sum(BLOCK_TOTAL).over(earlier), F.lit(0))
-    blocks = cells.withColumn(BEFORE, before).drop(*fine)
-    return Blocked(rows, blocks, (*cell, SLOT), tuple(direction(c) for c in order))
+    along = [direction(c) for c in order]
+    dealt = df.repartitionByRange(*[F.col(k) for k in keys], *along).withColumn(BLOCK, F.spark_partition_id())
+    rows = materialise(dealt, "blocks")
+    found = rows.groupBy(*keys, BLOCK).agg(*[KINDS[kind](c).alias(f"_in_{name}") for name, (kind, c) in totals.items()])
+    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    # totals of totals: a maximum of maxima, a sum of sums
+    blocks = found.withColumns({f"{BEFORE}_{name}": KINDS[kind](f"_in_{name}").over(earlier) for name, (kind, _) in totals.items()})
+    return Blocked(rows, blocks.drop(*[f"_in_{name}" for name in totals]), (*keys, BLOCK), tuple(along))
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Totals, descending: bool = False) -> DataFrame:
+    """``df`` plus running sums or maxima per key, current row included."""
+    cut = blocked(df, keys, order, totals, descending)
+    merged = {}
+    for name, (kind, c) in totals.items():
+        before, here = F.col(f"{BEFORE}_{name}"), KINDS[kind](c).over(cut.within())
+        merged[name] = F.greatest(before, here) if kind == "max" else F.coalesce(before, F.lit(0)) + here
+    return cut.join(cut.blocks).withColumns(merged).drop(*[f"{BEFORE}_{name}" for name in totals], BLOCK)
 
 
 def running_total(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    block: dict[str, Column],
-    fine: dict[str, Column] | None = None,
-    descending: bool = False,
-    hot_rows: int = HOT_ROWS,
-    out: str = "running_total",
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, descending: bool = False, out: str = "running_total"
 ) -> DataFrame:
     """``df`` plus the running total of ``value`` per key, current row included."""
-    cut = blocked(df, keys, order, value, block, fine, descending, hot_rows)
-    joined = cut.rows.join(cut.blocks.drop(BLOCK_TOTAL), list(cut.on))
-    total = F.col(BEFORE) + F.sum(value).over(cut.within())
-    return joined.withColumn(out, total).drop(BEFORE, SLOT, *block)
+    return running(df, keys, order, {out: ("sum", value)}, descending)
 
 
 def take_in_order(quantity: Column, upto: Column, wanted: Column) -> Column:

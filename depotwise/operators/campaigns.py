@@ -11,7 +11,7 @@ from depotwise.functions import columns as C
 from depotwise.operators import tables
 from depotwise.operators.shipping import pending_shipments
 from depotwise.operators.stock import Moment
-from depotwise.policy import RECENT_CLICKS_LIMIT, UNKNOWN
+from depotwise.policy import PLATFORMS, RECENT_CLICKS_LIMIT, UNKNOWN
 from depotwise.sources.domain import Domain
 
 RevenueMode = Literal["reference", "exact"]
@@ -134,8 +134,10 @@ def top_campaigns(d: Domain, limit: int = 6, revenue_mode: RevenueMode = "refere
 
 
 def platforms_in_order(performance: DataFrame) -> DataFrame:
-    """Platform rows in the fixed presentation order."""
-    return performance.withColumn("position", C.platform_rank("platform")).where(F.col("position") > 0).orderBy("position")
+    """Platform rows in the fixed presentation order; others, and rows without a platform, come last."""
+    rank = F.coalesce(C.platform_rank("platform"), F.lit(0))
+    placed = performance.withColumn("position", F.when(rank > 0, rank).otherwise(len(PLATFORMS) + 1))
+    return placed.orderBy("position", F.col("platform").asc_nulls_last())
 
 
 def clicks_by_country(d: Domain, limit: int = 8) -> DataFrame:

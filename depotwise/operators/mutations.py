@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 
 from depotwise.functions import columns as C
 from depotwise.functions.numbering import highest, number_rows
-from depotwise.functions.running import running_total
+from depotwise.functions.running import running, running_total
+from depotwise.operators.acceptance import accepted_in_turn
 from depotwise.operators.shipping import latest_status
-from depotwise.operators.stock import ID_BLOCK, STOCK_KEY, Moment, remaining_lots
-from depotwise.policy import MULTIPLE_HUBS, SHIPMENT_LIFECYCLE
+from depotwise.operators.stock import STOCK_KEY, Moment, remaining_lots
+from depotwise.policy import MULTIPLE_HUBS, PLATFORMS, SHIPMENT_LIFECYCLE
 from depotwise.session import materialise
 from depotwise.sources.domain import Domain
 
-OVERLAP_UNITS = 4096
-
 
 def first_reason(*rules: tuple[Column, str]) -> Column:
     """Reason of the first broken rule, null when all hold."""
@@ -71,39 +70,54 @@ class Reversal:
     inventory: DataFrame
     reversed_ids: DataFrame
     rejected: DataFrame
+    purchases: DataFrame
+    items: DataFrame
+
+
+def stock_limits(d: Domain, reason: str) -> DataFrame:
+    """What requests may take of each stock row."""
+    return d["inventory"].select(
+        F.lit(0).alias("kind"), *STOCK_KEY, F.col("quantity").cast("bigint").alias("room"), F.lit(reason).alias("reason")
+    )
+
+
+def room_limits(d: Domain, reason: str) -> DataFrame:
+    """The free room of each hub."""
+    used = d["inventory"].groupBy("warehouse_id").agg(F.sum("quantity").alias("used"))
+    free = F.col("capacity_units").cast("bigint") - F.coalesce("used", F.lit(0))
+    return d["warehouse"].join(used, "warehouse_id", "left").select(
+        F.lit(1).alias("kind"), "warehouse_id", F.lit(None).cast("bigint").alias("product_id"), free.alias("room"), F.lit(reason).alias("reason")
+    )
 
 
 def reverse_purchases(d: Domain, ids: DataFrame) -> Reversal:
-    """Undo purchases (purchase_id). A purchase with a line that exceeds its stock row is refused
-    outright. The others draw on each stock row in id order, and a purchase is refused as a whole if
-    any of its lines asks for more than is left at its turn; one refused this late keeps its turn."""
+    """Undo purchases (purchase_id) in id order, each as a whole if the stock of all its lines is there at
+    its turn; a refused one changes nothing. Ids without a purchase, or without lines, are rejected.
+    ``purchases`` and ``items`` are the next tables, without what was reversed."""
+    asked = ids.select("purchase_id").distinct()
     lines = (
         d["purchase_item"]
-        .join(ids.select("purchase_id").distinct(), "purchase_id", "left_semi")
+        .join(asked, "purchase_id", "left_semi")
         .join(d["purchase"].select("purchase_id", "warehouse_id"), "purchase_id")
         .groupBy("purchase_id", *STOCK_KEY)
         .agg(F.sum("quantity").alias("units"))
     )
-    stock = d["inventory"].select(*STOCK_KEY, F.col("quantity").alias("on_hand"))
-    on_hand = F.coalesce("on_hand", F.lit(0))
-    lines = materialise(lines.join(stock, STOCK_KEY, "left").withColumn("on_hand", on_hand), "reversal-lines")
-    hopeless = lines.where(F.col("units") > F.col("on_hand")).select("purchase_id").distinct()
-    asked = running_total(
-        lines.join(hopeless, "purchase_id", "left_anti"), STOCK_KEY, ["purchase_id"], "units", {"_ids": F.expr(f"purchase_id div {ID_BLOCK}")}, out="asked"
-    )
-    short = F.col("asked") > F.col("on_hand")
-    refused = (
-        asked.groupBy("purchase_id")
-        .agg(F.max(short.cast("int")).alias("refused"))
-        .unionByName(hopeless.withColumn("refused", F.lit(1)))
-    )
-    refused = materialise(refused, "reversal-outcome")
-    reversed_ids = refused.where(F.col("refused") == 0).select("purchase_id")
+    lines = materialise(lines, "reversal-lines")
+    entries = lines.select(F.col("purchase_id").alias("request_id"), F.lit(0).alias("kind"), *STOCK_KEY, "units")
+    outcome = materialise(accepted_in_turn(entries, stock_limits(d, "stock already sold or moved")), "reversal-outcome")
+    reversed_ids = outcome.where(F.col("reason").isNull()).select(F.col("request_id").alias("purchase_id"))
     deltas = lines.join(reversed_ids, "purchase_id", "left_semi").select(*STOCK_KEY, (-F.col("units")).alias("units"))
-    rejected = refused.where(F.col("refused") == 1).select(
-        F.col("purchase_id").alias("key"), F.lit("stock already sold or moved").alias("reason")
+    missing = (
+        asked.join(lines.select("purchase_id").distinct(), "purchase_id", "left_anti")
+        .join(d["purchase"].select("purchase_id", F.lit(True).alias("_known")), "purchase_id", "left")
+        .select(
+            F.col("purchase_id").alias("key"),
+            F.when(F.col("_known"), "purchase without lines").otherwise("unknown purchase").alias("reason"),
+        )
     )
-    return Reversal(apply_deltas(d["inventory"], deltas), reversed_ids, rejected)
+    rejected = outcome.where(F.col("reason").isNotNull()).select(F.col("request_id").alias("key"), "reason").unionByName(missing)
+    left = lambda name: d[name].join(reversed_ids, "purchase_id", "left_anti")
+    return Reversal(apply_deltas(d["inventory"], deltas), reversed_ids, rejected, left("purchase"), left("purchase_item"))
 
 
 # ---- placement -----------------------------------------------------------------------
@@ -117,15 +131,8 @@ class OrderPlacement:
     rejected: DataFrame
 
 
-def _request_blocks() -> tuple[dict[str, Column], dict[str, Column]]:
-    day = {"_day": F.col("requested_at").cast("date")}
-    fine = {"_instant": F.col("requested_at"), "_ids": F.expr(f"request_id div {ID_BLOCK}")}
-    return day, fine
-
-
 def _numbered(requests: DataFrame, base: Column, out: str) -> DataFrame:
-    day, fine = _request_blocks()
-    return number_rows(requests, ["requested_at", "request_id"], base, out, day, fine)
+    return number_rows(requests, ["requested_at", "request_id"], base, out)
 
 
 def place_orders(d: Domain, requests: DataFrame) -> OrderPlacement:
@@ -146,6 +153,7 @@ def place_orders(d: Domain, requests: DataFrame) -> OrderPlacement:
                 (F.col("quantity").isNull() | (F.col("quantity") <= 0), "quantity not positive"),
                 (F.col("_customer").isNull(), "unknown customer"),
                 (F.col("link_id").isNotNull() & F.col("_link").isNull(), "unknown link"),
+                (F.col("requested_at").isNull(), "no time"),
             ),
         )
     )
@@ -174,7 +182,8 @@ class PurchasePlacement:
 
 def place_purchases(d: Domain, requests: DataFrame) -> PurchasePlacement:
     """One single-line purchase per request (request_id, supplier_id, warehouse_id, product_id,
-    quantity, unit_cost, requested_at)."""
+    quantity, unit_cost, requested_at), if its hub has room for it at its turn. Turns and numbers
+    follow arrival; a refused request takes no room."""
     owners = d["product"].select("product_id", F.col("supplier_id").alias("_owner"))
     hubs = d["warehouse"].select("warehouse_id", F.lit(True).alias("_hub"))
     checked = (
@@ -188,12 +197,20 @@ def place_purchases(d: Domain, requests: DataFrame) -> PurchasePlacement:
                 (~F.col("_owner").eqNullSafe(F.col("supplier_id")), "product of another supplier"),
                 (F.col("quantity").isNull() | (F.col("quantity") <= 0), "quantity not positive"),
                 (F.col("unit_cost").isNull() | (F.col("unit_cost") < 0), "negative cost"),
+                (F.col("requested_at").isNull(), "no time"),
             ),
         )
     )
     checked = materialise(checked, "purchase-requests")
+    turns = materialise(_numbered(_accepted(checked), F.lit(0), "turn"), "purchase-turns")
+    entries = turns.select(
+        F.col("turn").alias("request_id"), F.lit(1).alias("kind"), "warehouse_id", F.lit(None).cast("bigint").alias("product_id"),
+        F.col("quantity").cast("bigint").alias("units"),
+    )
+    outcome = accepted_in_turn(entries, room_limits(d, "hub full")).withColumnRenamed("request_id", "turn")
+    turns = materialise(turns.join(outcome, "turn"), "purchase-outcome")
     placed = materialise(
-        _numbered(_accepted(checked), highest(d["purchase"], "purchase_id"), "purchase_id"), "placed-purchases"
+        _numbered(_accepted(turns), highest(d["purchase"], "purchase_id"), "purchase_id"), "placed-purchases"
     )
     first_item = highest(d["purchase_item"], "purchase_item_id") - highest(d["purchase"], "purchase_id")
     purchases = placed.select(
@@ -202,7 +219,7 @@ def place_purchases(d: Domain, requests: DataFrame) -> PurchasePlacement:
     items = placed.select(
         (F.col("purchase_id") + first_item).alias("purchase_item_id"), "purchase_id", "product_id", "quantity", "unit_cost"
     )
-    return PurchasePlacement(purchases, items, _rejected(checked, "request_id"))
+    return PurchasePlacement(purchases, items, _rejected(checked, "request_id").unionByName(_rejected(turns, "request_id")))
 
 
 # ---- transfers -----------------------------------------------------------------------
@@ -215,97 +232,93 @@ class Transfers:
     rejected: DataFrame
 
 
-def _units_range(df: DataFrame, keys: list[str], order: list[str], block: dict[str, Column],
-                 fine: dict[str, Column] | None = None) -> DataFrame:
-    """Adds the half-open range ``[lo, hi)`` of unit positions a row covers within its key."""
-    ranged = running_total(df, keys, order, "units", block, fine, out="hi")
-    return ranged.withColumn("lo", F.col("hi") - F.col("units"))
-
+def overlaps(wanted: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """Pieces (key columns, wanted, held, units) that the rows of two sides have in common when each side
+    is laid end to end in its own order. Both have the key columns, `pos` (to order by), `units` and `data`
+    (a struct that is passed on).
 
-def _by_cell(df: DataFrame) -> DataFrame:
-    """One row per stretch of ``OVERLAP_UNITS`` unit positions that the row's range touches."""
-    first, last = F.expr(f"lo div {OVERLAP_UNITS}"), F.expr(f"(hi - 1) div {OVERLAP_UNITS}")
-    return df.withColumn("cell", F.explode(F.sequence(first, last)))
+    Every row starts at the sum of the units before it. The starts of both sides are put in one order,
+    each carries the last row of either side forward, and what the two share from there on is a piece: one
+    row for each start and no join of the sides."""
+    sides = []
+    for side, rows in (("w", wanted), ("h", held)):
+        at = running(rows, keys, ["pos"], {"hi": ("sum", "units")}).withColumn("lo", F.col("hi") - F.col("units"))
+        own = F.struct("lo", "hi", "data")
+        other = lambda name, side=side, own=own: (own if name == side else F.lit(None)).alias(name)
+        sides.append(at.select(*keys, "lo", F.lit(side).alias("side"), other("w"), other("h")))
+    typed = sides[0].unionByName(sides[1])
+    carried = running(typed, keys, ["lo", "side"], {"last_w": ("max", "w"), "last_h": ("max", "h")})
+    units = F.least("last_w.hi", "last_h.hi") - F.col("lo")
+    carried = carried.where(F.col("last_w").isNotNull() & F.col("last_h").isNotNull())
+    return carried.select(*keys, F.col("last_w.data").alias("wanted"), F.col("last_h.data").alias("held"), units.alias("units")).where("units > 0")
 
 
 def transfer_stock(d: Domain, requests: DataFrame, as_of: Moment) -> Transfers:
     """Move stock between hubs (request_id, product_id, from_warehouse_id, to_warehouse_id,
-    quantity). Each move takes the oldest lots of its source and every piece keeps its arrival date;
-    units without a lot start their age at ``as_of``.
-
-    Requests that exceed their source's stock or their destination's room alone are refused outright.
-    The others take their turn in request order, and one that no longer fits at its turn is refused
-    but keeps it; it can be sent again with a later batch.
-
-    Granted requests on one stock row are served in request order: laid end to end they cover unit positions
-    0, 1, 2, ... and so do the source's lots, oldest first, so a request gets the lots its range
-    overlaps. The overlap is an equi-join on fixed-length stretches of positions: a huge stock row is
-    spread over many tasks, and a stretch holds at most ``OVERLAP_UNITS`` lots and requests."""
+    quantity). Requests are served in id order: one is granted if at its turn the source has the units
+    and the destination the room, counting what granted requests before it took and brought; a refused
+    one changes nothing. Each move takes the oldest lots of its source and every piece keeps its arrival
+    date; units without a lot, and units that came in the same batch, start their age at ``as_of``."""
     source = ["warehouse_id", "product_id"]
-    ids = {"_ids": F.expr(f"request_id div {ID_BLOCK}")}
     stock = d["inventory"].select(*STOCK_KEY, F.col("quantity").alias("on_hand"))
+    hubs = d["warehouse"].select(F.col("warehouse_id").alias("to_warehouse_id"), F.lit(True).alias("_hub"))
     named = requests.withColumns(
         {"warehouse_id": F.col("from_warehouse_id"), "units": F.col("quantity").cast("bigint")}
     )
-    formed = named.join(stock, source, "left").withColumn(
-        "reason",
-        first_reason(
-            (F.col("units").isNull() | (F.col("units") <= 0), "quantity not positive"),
-            (F.col("from_warehouse_id") == F.col("to_warehouse_id"), "same hub"),
-            (F.col("on_hand").isNull(), "no stock row"),
-            (F.col("units") > F.col("on_hand"), "not enough stock"),
-        ),
+    arrivals = named.select(F.col("to_warehouse_id").alias("warehouse_id"), "product_id", F.lit(True).alias("_coming")).distinct()
+    formed = (
+        named.join(stock, source, "left")
+        .join(arrivals, source, "left")
+        .join(hubs, "to_warehouse_id", "left")
+        .withColumn(
+            "reason",
+            first_reason(
+                (F.col("units").isNull() | (F.col("units") <= 0), "quantity not positive"),
+                (F.col("from_warehouse_id") == F.col("to_warehouse_id"), "same hub"),
+                (F.col("on_hand").isNull() & F.col("_coming").isNull(), "no stock row"),
+                (F.col("_hub").isNull(), "unknown hub"),
+            ),
+        )
     )
     formed = materialise(formed, "transfer-requests")
-    drawn = running_total(_accepted(formed), source, ["request_id"], "units", ids, out="drawn").withColumn(
-        "reason", first_reason((F.col("drawn") > F.col("on_hand"), "not enough stock"))
+    fit = _accepted(formed)
+    entry = lambda kind, hub, product, units: F.struct(
+        F.lit(kind).alias("kind"), F.col(hub).cast("bigint").alias("warehouse_id"), product.cast("bigint").alias("product_id"), units.alias("units")
     )
-    drawn = materialise(drawn, "transfer-drawn")
-    used = d["inventory"].groupBy("warehouse_id").agg(F.sum("quantity").alias("used"))
-    room = d["warehouse"].join(used, "warehouse_id", "left").select(
-        F.col("warehouse_id").alias("to_warehouse_id"),
-        (F.col("capacity_units") - F.coalesce("used", F.lit(0))).alias("room"),
+    units, product, none = F.col("units"), F.col("product_id"), F.lit(None)
+    entries = fit.select(
+        "request_id",
+        F.inline(
+            F.array(
+                entry(0, "from_warehouse_id", product, units), entry(0, "to_warehouse_id", product, -units),
+                entry(1, "to_warehouse_id", none, units), entry(1, "from_warehouse_id", none, -units),
+            )
+        ),
+    )
+    # a stock row that only arrivals make has no units of its own
+    bare = entries.where("kind = 0").select(*STOCK_KEY).distinct().join(stock, STOCK_KEY, "left_anti")
+    limits = stock_limits(d, "not enough stock").unionByName(room_limits(d, "destination full")).unionByName(
+        bare.select(F.lit(0).alias("kind"), *STOCK_KEY, F.lit(0).cast("bigint").alias("room"), F.lit("not enough stock").alias("reason"))
     )
-    placed = (
-        _accepted(drawn)
-        .drop("drawn")
-        .join(room, "to_warehouse_id", "left")
-        .withColumn(
-            "reason",
-            first_reason((F.col("room").isNull(), "unknown hub"), (F.col("units") > F.col("room"), "destination full")),
-        )
+    outcome = materialise(accepted_in_turn(entries, limits), "transfer-outcome")
+    granted = fit.join(outcome.where(F.col("reason").isNull()).drop("reason"), "request_id").select("request_id", *source, "to_warehouse_id", "units")
+    granted = materialise(granted, "transfer-granted")
+    rejected = _rejected(formed, "request_id").unionByName(
+        outcome.where(F.col("reason").isNotNull()).select(F.col("request_id").alias("key"), "reason")
     )
-    placed = materialise(placed, "transfer-placed")
-    arriving = running_total(
-        _accepted(placed), ["to_warehouse_id"], ["request_id"], "units", ids, out="arriving"
-    ).withColumn("reason", first_reason((F.col("arriving") > F.col("room"), "destination full")))
-    arriving = materialise(arriving, "transfer-arriving")
-    granted = _accepted(arriving).select("request_id", *source, "to_warehouse_id", "units")
-    rejected = _rejected(formed, "request_id")
-    for stage in (drawn, placed, arriving):
-        rejected = rejected.unionByName(_rejected(stage, "request_id"))
-
-    wanted = _units_range(granted, source, ["request_id"], ids)
+
     lots = (
         remaining_lots(d)
         .join(granted.select(*source).distinct(), source, "left_semi")
         .groupBy(*source, "received_date")
         .agg(F.sum("units").alias("units"))
     )
-    lots = materialise(lots, "transfer-lots")
-    seconds = {"_second": F.date_trunc("second", "received_date")}
-    held = _units_range(lots, source, ["received_date"], {"_day": F.col("received_date").cast("date")}, seconds)
-    pieces = (
-        _by_cell(wanted)
-        .alias("r")
-        .join(_by_cell(held).alias("l"), [*source, "cell"])
-        .withColumn("start", F.greatest("r.lo", "l.lo"))
-        .withColumn("stop", F.least("r.hi", "l.hi"))
-        .where((F.col("start") < F.col("stop")) & (F.expr(f"start div {OVERLAP_UNITS}") == F.col("cell")))
-        .select(
-            "request_id", *source, "to_warehouse_id", "received_date", (F.col("stop") - F.col("start")).alias("units")
-        )
-    )
+    wanted = granted.select(*source, F.col("request_id").alias("pos"), "units", F.struct("request_id", "to_warehouse_id").alias("data"))
+    held = lots.select(*source, F.col("received_date").alias("pos"), "units", F.struct("received_date").alias("data"))
+    pieces = overlaps(wanted, held, source).select(
+        F.col("wanted.request_id").alias("request_id"), *source, F.col("wanted.to_warehouse_id").alias("to_warehouse_id"),
+        F.col("held.received_date").alias("received_date"), "units",
+    )
     pieces = materialise(pieces, "transfer-pieces")
     dated = pieces.groupBy("request_id").agg(F.sum("units").alias("dated"))
     undated = (
@@ -314,12 +327,9 @@ def transfer_stock(d: Domain, requests: DataFrame, as_of: Moment) -> Transfers:
         .where(F.col("units") > 0)
         .select("request_id", *source, "to_warehouse_id", C.moment(as_of).alias("received_date"), "units")
     )
-    by_request = {"_requests": F.expr(f"request_id div {ID_BLOCK}")}
-    by_day = {"_request": F.col("request_id"), "_day": F.col("received_date").cast("date")}
     numbered = number_rows(
-        pieces.unionByName(undated), ["request_id", "received_date"], highest(d["stock_transfer"], "transfer_id"),
-        "transfer_id", by_request, by_day,
-    )
+        pieces.unionByName(undated), ["request_id", "received_date"], highest(d["stock_transfer"], "transfer_id"), "transfer_id"
+    )
     transfers = numbered.select(
         "transfer_id", F.col("warehouse_id").alias("from_warehouse_id"), "to_warehouse_id", "product_id",
         F.col("units").cast("int").alias("quantity"), C.moment(as_of).alias("transfer_date"),
@@ -345,10 +355,7 @@ def create_shipments(d: Domain, orders: DataFrame) -> Shipments:
     the existing ones in order-number steps."""
     base = highest(d["shipment"], "shipment_id")
     first_status = highest(d["shipment_status"], "status_id")
-    made = number_rows(
-        orders.select("order_id", "order_date"), ["order_id"], base, "shipment_id",
-        {"_ids": F.expr(f"order_id div {ID_BLOCK}")},
-    )
+    made = number_rows(orders.select("order_id", "order_date"), ["order_id"], base, "shipment_id")
     shipments = made.select(
         "shipment_id", "order_id", C.tracking_code("shipment_id").alias("tracking_code"),
         F.col("order_date").alias("shipment_date"),
@@ -366,10 +373,7 @@ def advance_shipments(d: Domain, shipments: DataFrame, as_of: Moment) -> DataFra
     shipments and ones without a status stay as they are."""
     current = latest_status(d, shipments.select("shipment_id"))
     moved = current.select("shipment_id", C.next_status("status").alias("status")).where(F.col("status").isNotNull())
-    numbered = number_rows(
-        moved, ["shipment_id"], highest(d["shipment_status"], "status_id"), "status_id",
-        {"_ids": F.expr(f"shipment_id div {ID_BLOCK}")},
-    )
+    numbered = number_rows(moved, ["shipment_id"], highest(d["shipment_status"], "status_id"), "status_id")
     return numbered.select(
         "status_id", "shipment_id", F.lit(None).cast("string").alias("location"), "status",
         C.moment(as_of).alias("updated_time"),
@@ -395,7 +399,9 @@ def stamp_hub(allocation: DataFrame, warehouse: DataFrame) -> DataFrame:
 def stamp_statuses(d: Domain, stamps: DataFrame) -> DataFrame:
     """Status history with the hub written on the 'Packed' rows of stamped orders. A row that
     already names another hub becomes a several-hubs row."""
-    target = d["shipment"].select("shipment_id", "order_id").join(stamps, "order_id").select("shipment_id", "source_hub")
+    single = stamps.groupBy("order_id").agg(F.min("source_hub").alias("source_hub"), F.max("source_hub").alias("_last"))
+    single = single.select("order_id", F.when(F.col("source_hub").eqNullSafe(F.col("_last")), F.col("source_hub")).otherwise(MULTIPLE_HUBS).alias("source_hub"))
+    target = d["shipment"].select("shipment_id", "order_id").join(single, "order_id").select("shipment_id", "source_hub")
     here, hub = F.col("location"), F.col("source_hub")
     stamped = F.when(here.isNull() | (here == hub), hub).otherwise(MULTIPLE_HUBS)
     location = F.when(hub.isNotNull() & (F.col("status") == SHIPMENT_LIFECYCLE[0]), stamped).otherwise(here)
@@ -406,15 +412,26 @@ def stamp_statuses(d: Domain, stamps: DataFrame) -> DataFrame:
 # ---- campaigns and customers ---------------------------------------------------------
 
 
-def generate_links(d: Domain, campaigns: DataFrame, seed: str) -> DataFrame:
+@dataclass(frozen=True)
+class Links:
+    links: DataFrame
+    rejected: DataFrame
+
+
+def generate_links(d: Domain, campaigns: DataFrame, seed: str) -> Links:
     """A tracking link per chosen platform of new campaigns (campaign_id, product_id, platforms).
+    Unknown or missing platforms are rejected.
 
     Codes are short, so with many links some coincide. Rather than drawing again until none does,
     the n-th link of a code gets ``-n`` appended (n counts existing links too). The suffix makes
     codes unique in one pass."""
-    drafts = campaigns.select(
-        "campaign_id", "product_id", F.explode("platforms").alias("platform")
-    ).withColumn("base", C.short_code("platform", F.concat_ws("|", F.lit(seed), F.col("campaign_id"), F.col("platform"))))
+    drafts = campaigns.select("campaign_id", "product_id", F.explode_outer("platforms").alias("platform"))
+    known = F.coalesce(F.col("platform").isin(*PLATFORMS), F.lit(False))
+    rejected = drafts.where(~known).select(
+        F.col("campaign_id").alias("key"), F.concat(F.lit("unknown platform: "), F.coalesce("platform", F.lit("none"))).alias("reason")
+    )
+    code = C.short_code("platform", F.concat_ws("|", F.lit(seed), F.col("campaign_id"), F.col("platform")))
+    drafts = drafts.where(known).withColumn("base", code)
     taken = (
         d["tracking_link"]
         .select(F.regexp_extract("short_code", r"^[A-Z]+-[0-9A-F]{5}", 0).alias("base"))
@@ -422,49 +439,46 @@ def generate_links(d: Domain, campaigns: DataFrame, seed: str) -> DataFrame:
         .groupBy("base")
         .agg(F.count(F.lit(1)).alias("taken"))
     )
-    order = {"_ids": F.expr(f"campaign_id div {ID_BLOCK}")}
-    drafts = materialise(drafts, "link-drafts")
-    counted = running_total(
-        drafts.withColumn("one", F.lit(1)), ["base"], ["campaign_id", "platform"], "one", order, out="nth"
-    ).join(taken, "base", "left")
+    counted = running_total(drafts.withColumn("one", F.lit(1)), ["base"], ["campaign_id", "platform"], "one", out="nth").join(taken, "base", "left")
     nth = F.col("nth") + F.coalesce("taken", F.lit(0))
     coded = counted.withColumn(
         "short_code", F.when(nth == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), nth.cast("string")))
     )
-    coded = materialise(coded, "link-codes")
-    numbered = number_rows(coded, ["campaign_id", "platform"], highest(d["tracking_link"], "link_id"), "link_id", order)
-    return numbered.select(
+    numbered = number_rows(coded, ["campaign_id", "platform"], highest(d["tracking_link"], "link_id"), "link_id")
+    links = numbered.select(
         "link_id", "campaign_id", "platform", "short_code", C.product_url("product_id").alias("destination_url")
     )
+    return Links(links, rejected)
 
 
 @dataclass(frozen=True)
 class Customers:
     inserts: DataFrame
     resolved: DataFrame
+    rejected: DataFrame
 
 
 def upsert_customers(d: Domain, requests: DataFrame) -> Customers:
     """Guests (request_id, name, contact) matched to the customer with the same contact, or created
-    once per new contact under the first name given. ``resolved`` gives each request its customer.
-    Where several customers share a contact the lowest id is used."""
+    once per new contact under the first name given. ``resolved`` gives each accepted request its
+    customer. Where several customers share a contact the lowest id is used. Guests without a contact
+    are rejected."""
     known = (
         d["customer"].where(F.col("contact").isNotNull()).groupBy("contact").agg(F.min("customer_id").alias("customer_id"))
     )
-    guests = requests.select("request_id", F.trim("name").alias("name"), F.trim("contact").alias("contact"))
+    named = requests.select("request_id", F.trim("name").alias("name"), F.nullif(F.trim("contact"), F.lit("")).alias("contact"))
+    rejected = named.where(F.col("contact").isNull()).select(F.col("request_id").alias("key"), F.lit("no contact").alias("reason"))
+    guests = named.where(F.col("contact").isNotNull())
     fresh = (
         guests.join(known, "contact", "left_anti")
         .groupBy("contact")
         .agg(F.min(F.struct("request_id", "name")).alias("first"))
         .select("contact", "first.request_id", "first.name")
     )
-    inserts = number_rows(
-        fresh, ["request_id"], highest(d["customer"], "customer_id"), "customer_id",
-        {"_ids": F.expr(f"request_id div {ID_BLOCK}")},
-    ).select("customer_id", "name", "contact")
-    inserts = materialise(inserts, "new-customers")
+    inserts = number_rows(fresh, ["request_id", "contact"], highest(d["customer"], "customer_id"), "customer_id")
+    inserts = materialise(inserts.select("customer_id", "name", "contact"), "new-customers")
     everyone = known.unionByName(inserts.select("contact", "customer_id"))
-    return Customers(inserts, guests.join(everyone, "contact", "left").select("request_id", "customer_id"))
+    return Customers(inserts, guests.join(everyone, "contact", "left").select("request_id", "customer_id"), rejected)
 
 
 @dataclass(frozen=True)
@@ -474,14 +488,18 @@ class CustomerEdit:
 
 
 def edit_customers(d: Domain, edits: DataFrame, deletes: DataFrame) -> CustomerEdit:
-    """Next customer table after edits (customer_id, name, contact) and deletes (customer_id).
+    """Next customer table after edits (customer_id, name, contact) and deletes (customer_id). Of several
+    edits of a customer the last by ``edited_at`` holds, or without that column the largest by name and
+    contact, so that a customer stays one row.
     Customers that an order or a click still refers to cannot be deleted and are reported."""
     doomed = deletes.select("customer_id").distinct()
     used = d["order"].select("customer_id").unionByName(d["click"].select("customer_id")).distinct()
     blocked = doomed.join(used, "customer_id", "left_semi")
     gone = doomed.join(used, "customer_id", "left_anti")
     text = lambda c: F.trim(c)
-    changes = edits.select(
+    when = [F.col(c) for c in ("edited_at",) if c in edits.columns]
+    last = edits.groupBy("customer_id").agg(F.max(F.struct(*when, "name", "contact")).alias("last")).select("customer_id", "last.name", "last.contact")
+    changes = last.select(
         "customer_id", text("name").alias("new_name"), F.nullif(text("contact"), F.lit("")).alias("new_contact"),
         F.lit(True).alias("edited"),
     )
@@ -521,11 +539,12 @@ def audit_diff(before: DataFrame, after: DataFrame, key: str, table: str, as_of:
 
 
 def backdate(df: DataFrame, key: str, when: str, ages: DataFrame, as_of: Moment) -> DataFrame:
-    """``df`` with the time column of the listed keys (key, days) set to ``days`` before ``as_of``."""
+    """``df`` with the time column of the listed keys (key, days) set to ``days`` before ``as_of``. Of
+    several entries of a key the largest number of days holds."""
     columns = df.columns
     moved = C.moment(as_of) - F.make_dt_interval(days=F.col("days").cast("int"))
     return (
-        df.join(ages.select(key, "days"), key, "left")
+        df.join(ages.groupBy(key).agg(F.max("days").alias("days")), key, "left")
         .withColumn(when, F.when(F.col("days").isNotNull(), moved).otherwise(F.col(when)))
         .select(columns)
     )

@@ -9,11 +9,9 @@ from depotwise.functions import columns as C
 from depotwise.operators import tables
 from depotwise.operators.shipping import latest_status
 from depotwise.operators.stock import Moment
-from depotwise.policy import DIRECT_SOURCE, ORDER_LIST_LIMIT, UNKNOWN
+from depotwise.policy import DIRECT_SOURCE, UNKNOWN
 from depotwise.sources.domain import Domain
 
-ITEMS_PER_CELL = 1000
-
 
 def order_totals(d: Domain) -> DataFrame:
     """Units, lines and amount per order that has lines."""
@@ -61,59 +59,42 @@ def _recent(d: Domain, limit: int) -> DataFrame:
     return tables.top(d["order"], limit, F.col("order_date").desc(), F.col("order_id").desc())
 
 
-def order_list(d: Domain, limit: int = ORDER_LIST_LIMIT) -> DataFrame:
-    """The newest orders with items label, total, source and latest shipment status.
+def order_list(d: Domain, orders: DataFrame | None = None) -> DataFrame:
+    """Orders with items label, total, source and latest shipment status, one row each: all of them, or
+    those of ``orders`` (for example a page, or what a search has left). Items, links and statuses are
+    reduced to these orders by semi joins before any grouping.
 
-    The limit comes first; items, links and statuses are then reduced to those orders by semi joins
-    before any grouping. A label lists the items in line order; an order with more than
-    ``ITEMS_PER_CELL`` lines continues in further rows (``part`` 1, 2, ...), so no cell grows without
-    bound and no line is left out."""
-    recent = _recent(d, limit)
-    ids = recent.select("order_id")
-    products = d["product"].select("product_id", F.col("name").alias("product_name"))
-    items = d["order_item"].join(ids, "order_id", "left_semi")
-    totals = items.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.sum(C.line_amount("quantity", "unit_price")).alias("amount"),
-    )
-    parts = F.ceil(F.col("lines") / ITEMS_PER_CELL)
+    A label lists the order's items in line order, so it is as long as the order; ``order_items_of``
+    gives the same lines as rows."""
+    listed = d["order"] if orders is None else d["order"].join(orders.select("order_id"), "order_id", "left_semi")
+    only = (lambda df: df) if orders is None else (lambda df: df.join(orders.select("order_id"), "order_id", "left_semi"))
+    products = d["product"].select("product_id", F.coalesce("name", F.lit("Product")).alias("name"))
+    item = F.struct("order_item_id", "product_id", F.coalesce("name", F.lit("Product")).alias("name"), "quantity")
     labels = (
-        items.join(totals, "order_id")
+        only(d["order_item"])
         .join(products, "product_id", "left")
-        .withColumn("part", F.pmod(F.xxhash64("order_item_id", "product_id", "quantity"), parts).cast("int"))
-        .groupBy("order_id", "part")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct("order_item_id", "product_id", F.coalesce("product_name", F.lit("Product")).alias("name"), "quantity")
-                )
-            ).alias("items")
-        )
-        .select("order_id", "part", item_label("items").alias("items_label"))
+        .groupBy("order_id")
+        .agg(F.sort_array(F.collect_list(item)).alias("items"), F.sum(C.line_amount("quantity", "unit_price")).alias("amount"))
+        .select("order_id", "amount", item_label("items").alias("items_label"))
     )
     source = (
-        d["order_attribution"]
-        .join(ids, "order_id", "left_semi")
+        only(d["order_attribution"])
         .join(d["tracking_link"].select("link_id", "platform"), "link_id")
         .groupBy("order_id")
         .agg(F.min("platform").alias("platform"))
     )
-    first_shipment = (
-        d["shipment"].join(ids, "order_id", "left_semi").groupBy("order_id").agg(F.min("shipment_id").alias("shipment_id"))
-    )
+    first_shipment = only(d["shipment"]).groupBy("order_id").agg(F.min("shipment_id").alias("shipment_id"))
     status = first_shipment.join(
         latest_status(d, first_shipment.select("shipment_id")), "shipment_id"
     ).select("order_id", F.col("status").alias("shipment_status"))
     return (
-        recent.join(totals, "order_id", "left")
-        .join(labels, "order_id", "left")
+        listed.join(labels, "order_id", "left")
         .join(source, "order_id", "left")
         .join(status, "order_id", "left")
         .join(_customers(d), "customer_id", "left")
         .select(
             "order_id", "order_date",
             F.coalesce("customer_name", F.lit(UNKNOWN)).alias("customer_name"),
-            F.coalesce("part", F.lit(0)).alias("part"),
             F.coalesce("items_label", F.lit("-")).alias("items_label"),
             F.coalesce("amount", F.lit(0)).cast("decimal(31,2)").alias("total"),
             F.coalesce("platform", F.lit(DIRECT_SOURCE)).alias("source"), "shipment_status",
@@ -127,9 +108,12 @@ def item_label(items: str):
     return F.array_join(F.transform(items, text), ", ")
 
 
-def order_list_search(orders: DataFrame, as_of: Moment, text: str = "", days: int | None = None) -> DataFrame:
-    """New orders (last 7 days) or all, by customer name or order number."""
-    return tables.search_rows(tables.in_range(orders, "order_date", as_of, days), text, "customer_name", "order_id")
+def order_list_search(d: Domain, as_of: Moment, text: str = "", days: int | None = None, limit: int | None = None) -> DataFrame:
+    """The listing of orders of the last ``days`` by customer name or order number; with ``limit`` the
+    newest of them. Search and limit come first, and only what they leave is put together."""
+    named = tables.in_range(d["order"], "order_date", as_of, days).join(_customers(d), "customer_id", "left")
+    found = tables.search_rows(named, text, "customer_name", "order_id")
+    return order_list(d, found if limit is None else tables.top(found, limit, F.col("order_date").desc(), F.col("order_id").desc()))
 
 
 def order_items_of(d: Domain, orders: DataFrame) -> DataFrame:

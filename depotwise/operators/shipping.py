@@ -106,12 +106,11 @@ def recent_shipments(d: Domain, limit: int = 5) -> DataFrame:
     )
 
 
-def audit_search(d: Domain, table: str | None = None, operation: str | None = None, limit: int = 200) -> DataFrame:
-    """Among the newest ``limit`` entries, those of a table and operation. The limit applies before
-    the filters."""
-    recent = tables.top(d["audit_log"], limit, F.col("log_time").desc(), F.col("log_id").desc())
+def audit_search(d: Domain, table: str | None = None, operation: str | None = None, limit: int | None = None) -> DataFrame:
+    """Entries of a table and operation; with ``limit`` the newest of them."""
+    found = d["audit_log"]
     if table is not None:
-        recent = recent.where(F.col("table_name") == table)
+        found = found.where(F.col("table_name") == table)
     if operation is not None:
-        recent = recent.where(F.col("operation") == operation)
-    return recent
+        found = found.where(F.col("operation") == operation)
+    return found if limit is None else tables.top(found, limit, F.col("log_time").desc(), F.col("log_id").desc())

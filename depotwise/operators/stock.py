@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotwise.functions import columns as C
-from depotwise.functions.running import BEFORE, HOT_ROWS, blocked, running_total, take_in_order
+from depotwise.functions.running import BEFORE, blocked, running_total, take_in_order
 from depotwise.policy import LOW_STOCK_THRESHOLD, AgePolicy, CapacityPolicy, RentPolicy
 from depotwise.sources.domain import Domain
 
 Moment = dt.datetime | str | Column
 STOCK_KEY = ["warehouse_id", "product_id"]
-ID_BLOCK = 65_536
 
 
 def rent_rates(d: Domain, policy: RentPolicy = RentPolicy()) -> DataFrame:
@@ -49,48 +48,34 @@ def all_lots(d: Domain) -> DataFrame:
     return bought.unionByName(moved)
 
 
-def remaining_lots(d: Domain, hot_rows: int = HOT_ROWS) -> DataFrame:
+def remaining_lots(d: Domain) -> DataFrame:
     """Lots still on hand. Stock leaves oldest first, so what is left of a (hub, product) is its
     newest ``inventory.quantity`` units.
 
-    Lots are cut into arrival days. Days that lie entirely behind the on-hand window are dropped on
-    the pre-aggregated day totals, before any lot is joined."""
-    cut = blocked(
-        all_lots(d),
-        keys=STOCK_KEY,
-        order=["received_date", "lot_kind", "lot_id"],
-        value="quantity",
-        block={"received_day": F.col("received_date").cast("date")},
-        fine={
-            "_instant": F.col("received_date"),
-            "_kind": F.col("lot_kind"),
-            "_ids": F.expr(f"lot_id div {ID_BLOCK}"),
-        },
-        descending=True,
-        hot_rows=hot_rows,
-    )
+    Blocks of lots that lie entirely behind the on-hand window are dropped on the pre-aggregated block
+    totals, before any lot is joined."""
+    cut = blocked(all_lots(d), STOCK_KEY, ["received_date", "lot_kind", "lot_id"], {"newer": ("sum", "quantity")}, descending=True)
+    newer = F.coalesce(F.col(f"{BEFORE}_newer"), F.lit(0))
     on_hand = d["inventory"].select(*STOCK_KEY, F.col("quantity").alias("on_hand"))
-    open_days = (
+    open_blocks = (
         cut.blocks.join(on_hand, STOCK_KEY)
-        .where(F.col(BEFORE) < F.col("on_hand"))
-        .select(*cut.on, BEFORE, "on_hand")
+        .where(newer < F.col("on_hand"))
+        .select(*cut.on, newer.alias("newer"), "on_hand")
     )
-    upto = F.col(BEFORE) + F.sum("quantity").over(cut.within())
+    upto = F.col("newer") + F.sum("quantity").over(cut.within())
     units = take_in_order(F.col("quantity"), upto, F.col("on_hand")).cast("int")
     return (
-        cut.rows.join(open_days, list(cut.on))
+        cut.join(open_blocks)
         .select(*STOCK_KEY, "received_date", units.alias("units"))
         .where(F.col("units") > 0)
     )
 
 
-def aged_lots(
-    d: Domain, as_of: Moment, policy: AgePolicy = AgePolicy(), hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def aged_lots(d: Domain, as_of: Moment, policy: AgePolicy = AgePolicy()) -> DataFrame:
     """Remaining lots with their age in days and rent multiplier."""
     days = F.greatest(C.whole_days("received_date", C.moment(as_of)), F.lit(0))
     return (
-        remaining_lots(d, hot_rows)
+        remaining_lots(d)
         .withColumn("days_stored", days)
         .withColumn("rent_multiplier", C.age_multiplier("days_stored", policy))
     )
@@ -101,7 +86,6 @@ def warehouse_stock_age(
     as_of: Moment,
     age_policy: AgePolicy = AgePolicy(),
     rent_policy: RentPolicy = RentPolicy(),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per lot on hand: age, age band and what it costs per day."""
     hubs = rent_rates(d, rent_policy).select(
@@ -110,7 +94,7 @@ def warehouse_stock_age(
     products = d["product"].select("product_id", F.col("name").alias("product_name"))
     rent = F.col("units") * F.col("rent_per_unit_day") * F.col("rent_multiplier")
     return (
-        aged_lots(d, as_of, age_policy, hot_rows)
+        aged_lots(d, as_of, age_policy)
         .join(hubs, "warehouse_id")
         .join(products, "product_id")
         .select(
@@ -340,7 +324,7 @@ def hub_flow(d: Domain) -> DataFrame:
     )
 
 
-def movement_balance(d: Domain, hot_rows: int = HOT_ROWS) -> DataFrame:
+def movement_balance(d: Domain) -> DataFrame:
     """Balance per (hub, product) after each day with movements. The reduction to days comes first,
     so the running sum walks at most one row per day and key."""
     daily = (
@@ -348,10 +332,7 @@ def movement_balance(d: Domain, hot_rows: int = HOT_ROWS) -> DataFrame:
         .groupBy(*STOCK_KEY, F.col("moved_at").cast("date").alias("day"))
         .agg(F.sum("units").alias("net_units"))
     )
-    return running_total(
-        daily, STOCK_KEY, ["day"], "net_units", block={"_month": C.month_start("day")},
-        hot_rows=hot_rows, out="balance",
-    )
+    return running_total(daily, STOCK_KEY, ["day"], "net_units", out="balance")
 
 
 def ledger_reconciliation(d: Domain, opening: DataFrame | None = None) -> DataFrame:

@@ -49,7 +49,8 @@ def page_after(
     if after is not None:
         fields = [df.schema[c] for c in order]
         seen = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(after, fields, strict=True)])
-        df = df.where(F.struct(*order) < seen)
+        # the first column's own bound is what a scan can use to skip rows
+        df = df.where((F.col(order[0]) <= F.lit(after[0]).cast(fields[0].dataType)) & (F.struct(*order) < seen))
     return top(df, size, *[F.col(c).desc() for c in order])
 
 

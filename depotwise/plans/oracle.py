@@ -157,15 +157,20 @@ def with_tables(body: str, hub: str = "region", extra: dict[str, str] | None = N
     texts = {**_TABLES, **(extra or {})}
     values = {"n": SUPPLIERS, "h": HUBS[hub], "warehouse": _WAREHOUSE[hub], "as_of": AS_OF}
     ordered: list[str] = []
+    open_: list[str] = []
 
     def visit(text: str) -> None:
         for name in re.findall(r"\b[a-z]_[a-z_]+\b", text):
-            if name in texts and name not in ordered:
+            if name in texts and name not in ordered and name not in open_:
+                open_.append(name)
                 visit(texts[name])
                 if name not in ordered:
                     ordered.append(name)
 
     visit(body)
     fill = lambda text: text.format(**values) if "{" in text else text
-    ctes = ",\n".join(f"{name} AS ({fill(texts[name])})" for name in ordered)
-    return (f"WITH {ctes}\n" if ctes else "") + fill(body)
+    # what is named more than once is computed once
+    uses = lambda name: sum(len(re.findall(rf"\b{name}\b", text)) for text in [body, *(texts[t] for t in ordered)])
+    how = lambda name: "MATERIALIZED " if uses(name) > 1 and name not in texts[name] else ""
+    ctes = ",\n".join(f"{name} AS {how(name)}({fill(texts[name])})" for name in ordered)
+    return (f"WITH RECURSIVE {ctes}\n" if ctes else "") + fill(body)

@@ -39,13 +39,11 @@ HISTORY = """SELECT i.purchase_item_id, i.purchase_id, h.purchase_date, s.name A
     WHERE i.purchase_id = h.purchase_id AND s.supplier_id = h.supplier_id
       AND w.warehouse_id = h.warehouse_id AND p.product_id = i.product_id"""
 
-RECENT = "SELECT * FROM d_order ORDER BY order_date DESC, order_id DESC LIMIT 200"
-
-LISTED = """SELECT o.order_id, o.order_date, c.name AS customer_name, 0::BIGINT AS part,
+LISTED = """SELECT o.order_id, o.order_date, c.name AS customer_name,
     coalesce(string_agg(p.name || ' ×' || i.quantity, ', ' ORDER BY i.order_item_id, i.product_id), '-') AS items_label,
     coalesce(sum(i.quantity * i.unit_price), 0)::DOUBLE AS total,
     coalesce(min(l.platform), 'Direct') AS source, min(s.status) AS shipment_status
-    FROM t_recent AS o JOIN d_customer AS c USING (customer_id)
+    FROM d_order AS o JOIN d_customer AS c USING (customer_id)
     LEFT JOIN d_order_item AS i ON i.order_id = o.order_id LEFT JOIN d_product AS p ON p.product_id = i.product_id
     LEFT JOIN d_order_attribution AS a ON a.order_id = o.order_id
     LEFT JOIN d_tracking_link AS l ON l.link_id = a.link_id
@@ -132,19 +130,18 @@ REPORTS = {
            LEFT JOIN (SELECT order_id, sum(quantity) AS units FROM d_order_item GROUP BY 1) AS u USING (order_id)""",
         optional_ids=("source_warehouse_id",),
     ),
-    "order_list": Report(lambda x: orders.order_list(x.domain), LISTED, tables={"t_recent": RECENT}),
+    "order_list": Report(lambda x: orders.order_list(x.domain), LISTED),
     "order_list_search": Report(
-        lambda x: orders.order_list_search(orders.order_list(x.domain), "2001-08-03 12:00:00", "1", 7),
+        lambda x: orders.order_list_search(x.domain, "2001-08-03 12:00:00", "1", 7),
         """SELECT * FROM t_listed WHERE order_date >= TIMESTAMP '2001-07-27 12:00:00'
            AND (contains(lower(customer_name), '1') OR contains(CAST(order_id AS VARCHAR), '1'))""",
-        tables={"t_recent": RECENT, "t_listed": LISTED},
+        tables={"t_listed": LISTED},
     ),
     "order_list_items": Report(
         lambda x: orders.order_items_of(x.domain, orders.order_list(x.domain)),
         """SELECT o.order_id, i.order_item_id, p.name AS product_name, i.quantity::BIGINT AS quantity,
              i.unit_price::DOUBLE AS unit_price
-           FROM t_recent AS o JOIN d_order_item AS i USING (order_id) JOIN d_product AS p USING (product_id)""",
-        tables={"t_recent": RECENT},
+           FROM d_order AS o JOIN d_order_item AS i USING (order_id) JOIN d_product AS p USING (product_id)""",
     ),
     "order_totals": Report(
         lambda x: orders.order_totals(x.domain),
@@ -230,7 +227,6 @@ REPORTS = {
     ),
     "audit_search": Report(
         lambda x: shipping.audit_search(x.domain, "order", "INSERT"),
-        """SELECT * FROM (SELECT * FROM d_audit_log ORDER BY log_time DESC, log_id DESC LIMIT 200) AS recent
-           WHERE table_name = 'order' AND operation = 'INSERT'""",
+        "SELECT * FROM d_audit_log WHERE table_name = 'order' AND operation = 'INSERT'",
     ),
 }

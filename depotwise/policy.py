@@ -17,8 +17,6 @@ DEFAULT_CAPACITY = 500
 LOW_STOCK_THRESHOLD = 10
 TRACKING_CODE_PREFIX = "TRK"
 PURCHASE_PAGE_SIZE = 100
-ORDER_LIST_LIMIT = 200
-AUDIT_LIST_LIMIT = 200
 RECENT_CLICKS_LIMIT = 20
 LIVE_REFRESH = "6 seconds"
 # --------------------------------------------------------------------------------------

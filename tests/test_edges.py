@@ -1,8 +1,10 @@
 """Boundaries, ties, missing rows and rejections."""
 
 import datetime as dt
+import random
 from decimal import Decimal as D
 
+import pytest
 from fixture import AS_OF, ago, rows, seed_domain
 from pyspark.sql import functions as F
 
@@ -128,12 +130,25 @@ def test_shipment_corner_cases(spark):
     assert rows(shipping.pending_shipments(d, AS_OF), "shipment_id", "days_pending")[-1] == (4, -2)
 
 
-def test_order_list_splits_very_long_orders(spark, monkeypatch):
-    monkeypatch.setattr(orders, "ITEMS_PER_CELL", 3)
-    d = seed_domain(spark, order_item=[(i, 1, 1, i, D(1)) for i in range(1, 11)])
-    listed = orders.order_list(d, 6).where("order_id = 1").collect()
-    assert sorted(int(part.split("×")[1]) for r in listed for part in r.items_label.split(", ")) == list(range(1, 11))
-    assert {r.total for r in listed} == {D("55.00")} and len(listed) > 1
+def test_order_list_has_one_row_per_order_however_long(spark):
+    d = seed_domain(spark, order_item=[(i, 1, 1, 1 + i % 2, D(1)) for i in range(1, 2501)])
+    [listed] = orders.order_list(d).where("order_id = 1").collect()
+    assert [int(part.split("×")[1]) for part in listed.items_label.split(", ")] == [1 + i % 2 for i in range(1, 2501)]
+    assert listed.total == D("3750.00")
+
+
+def test_searches_come_before_limits(spark, seed):
+    everyone = orders.order_list(seed)
+    assert everyone.count() == seed["order"].count()
+    newest = orders.order_list_search(seed, AS_OF, "", None, 2)
+    assert newest.count() == 2 and newest.select("order_id").exceptAll(everyone.select("order_id")).isEmpty()
+    oldest = everyone.orderBy("order_date", "order_id").first()
+    found = orders.order_list_search(seed, AS_OF, oldest.customer_name, None)
+    assert oldest.order_id in [r.order_id for r in found.collect()]
+    log = [(i, "order" if i == 1 else "stock", "INSERT", i, ago(1000 - i)) for i in range(1, 400)]
+    d = seed.replace(audit_log=spark.createDataFrame(log, seed["audit_log"].schema))
+    assert rows(shipping.audit_search(d, "order", "INSERT"), "log_id") == [(1,)]
+    assert rows(shipping.audit_search(d, "stock", limit=2), "log_id") == [(398,), (399,)]
 
 
 def test_rejections_of_transfers(spark, seed):
@@ -195,19 +210,139 @@ def test_customers_match_by_contact(spark, seed):
     guests = spark.createDataFrame([(1, "X", " 01 "), (2, "Y", "02"), (3, "Z", "02")], "request_id long, name string, contact string")
     result = mutations.upsert_customers(d, guests)
     assert rows(result.inserts) == [(4, "Y", "02")]
-    assert rows(result.resolved) == [(1, 1), (2, 4), (3, 4)]
+    assert rows(result.resolved) == [(1, 1), (2, 4), (3, 4)] and result.rejected.count() == 0
+    lone = spark.createDataFrame([(4, "P", None), (5, "Q", "  "), (6, "R", "03")], guests.schema)
+    result = mutations.upsert_customers(d, lone)
+    assert rows(result.rejected) == [(4, "no contact"), (5, "no contact")] and rows(result.resolved) == [(6, 4)]
     assert rows(quality.duplicate_contacts(d)) == [("01", 2, 1)]
 
 
 def test_links_get_unique_codes(spark, seed):
     wanted = spark.createDataFrame([(c, 1, ["Facebook", "Email"]) for c in range(10, 16)], "campaign_id long, product_id long, platforms array<string>")
-    first = mutations.generate_links(seed, wanted, "s")
-    again = mutations.generate_links(seed.replace(tracking_link=seed["tracking_link"].unionByName(first)), wanted, "s")
+    first = mutations.generate_links(seed, wanted, "s").links
+    again = mutations.generate_links(seed.replace(tracking_link=seed["tracking_link"].unionByName(first)), wanted, "s").links
     codes = [r.short_code for r in first.unionByName(again).collect()]
     assert len(set(codes)) == 24 and sum(c.endswith("-2") for c in codes) == 12
     assert sorted(r.link_id for r in first.collect()) == list(range(8, 20))
 
 
+def test_unknown_platforms_are_told(spark, seed):
+    wanted = spark.createDataFrame([(1, 1, ["Facebook", "TikTok", None]), (2, 1, None)], "campaign_id long, product_id long, platforms array<string>")
+    made = mutations.generate_links(seed, wanted, "s")
+    assert rows(made.links, "campaign_id", "platform") == [(1, "Facebook")]
+    assert rows(made.rejected) == [(1, "unknown platform: TikTok"), (1, "unknown platform: none"), (2, "unknown platform: none")]
+
+
+def test_requests_without_a_time_are_told(spark, seed):
+    schema = "request_id long, customer_id long, link_id long, product_id long, quantity int, requested_at timestamp_ntz"
+    made = mutations.place_orders(seed, spark.createDataFrame([(1, 1, None, 1, 1, None), (2, 1, None, 1, 1, AS_OF)], schema))
+    assert made.orders.count() == 1 and rows(made.rejected) == [(1, "no time")]
+
+
+def test_unknown_and_empty_purchases_are_told(spark, seed):
+    bare = seed.replace(purchase_item=seed["purchase_item"].where("purchase_id <> 2"))
+    undone = mutations.reverse_purchases(bare, spark.createDataFrame([(1,), (2,), (999,), (1,)], "purchase_id long"))
+    assert rows(undone.rejected) == [(2, "purchase without lines"), (999, "unknown purchase")]
+    assert rows(undone.reversed_ids) == [(1,)]
+    assert undone.items.where("purchase_id = 1").isEmpty() and undone.purchases.count() == seed["purchase"].count() - 1
+
+
+def test_two_edits_of_a_customer_leave_one_row(spark, seed):
+    edits = spark.createDataFrame([(1, "Old", "1", 1), (1, "New", "2", 2)], "customer_id long, name string, contact string, edited_at int")
+    none = spark.createDataFrame([], "customer_id long")
+    changed = mutations.edit_customers(seed, edits, none).customers
+    assert rows(changed.where("customer_id = 1"), "name", "contact") == [("New", "2")]
+    assert changed.count() == seed["customer"].count()
+
+
+def test_a_refused_transfer_leaves_the_stock_to_later_ones(spark):
+    d = seed_domain(spark, **lots([(1, 1, 10, ago(50))], [(1, 1, 1, 10)]))
+    schema = "request_id long, product_id long, from_warehouse_id long, to_warehouse_id long, quantity int"
+    moved = mutations.transfer_stock(d, spark.createDataFrame([(1, 1, 1, 2, 6), (2, 1, 1, 2, 6), (3, 1, 1, 2, 4)], schema), AS_OF)
+    assert rows(moved.rejected) == [(2, "not enough stock")]
+    assert rows(moved.inventory, "warehouse_id", "quantity") == [(1, 0), (2, 10)]
+
+
+def replay(stock, room, requests):
+    """Transfers one after another, as single calls would go."""
+    stock, room, refused = dict(stock), dict(room), []
+    for i, product, a, b, n in sorted(requests):
+        if stock.get((a, product), 0) < n:
+            refused.append((i, "not enough stock"))
+        elif room[b] < n:
+            refused.append((i, "destination full"))
+        else:
+            stock[a, product] -= n
+            stock[b, product] = stock.get((b, product), 0) + n
+            room[a], room[b] = room[a] + n, room[b] - n
+    return stock, refused
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_transfers_equal_single_calls(spark, seed):
+    draw = random.Random(seed)
+    stock = {(h, p): draw.randint(0, 30) for h in (1, 2, 3) for p in (1, 2, 3)}
+    used = {h: sum(n for (hub, _), n in stock.items() if hub == h) for h in (1, 2, 3)}
+    room = {h: draw.randint(0, 25) for h in (1, 2, 3)}
+    asked = []
+    for i in range(1, 61):
+        a, b = draw.sample([1, 2, 3], 2)
+        asked.append((i, draw.randint(1, 3), a, b, draw.randint(1, 14)))
+    d = seed_domain(spark, **lots([], [(i, h, p, n) for i, ((h, p), n) in enumerate(stock.items(), 1)]))
+    d = d.replace(warehouse=spark.createDataFrame([(h, f"h{h}", "", used[h] + room[h]) for h in (1, 2, 3)], d["warehouse"].schema))
+    schema = "request_id long, product_id long, from_warehouse_id long, to_warehouse_id long, quantity int"
+    moved = mutations.transfer_stock(d, spark.createDataFrame(asked, schema), AS_OF)
+    after, refused = replay(stock, room, asked)
+    assert rows(moved.rejected, "key") == sorted(((i,) for i, _ in refused), key=repr)
+    assert rows(moved.inventory, "warehouse_id", "product_id", "quantity") == sorted(((*k, n) for k, n in after.items()), key=repr)
+    assert moved.transfers.count() + len(refused) == len(asked)
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_reversals_and_guarded_purchases_equal_single_calls(spark, seed):
+    draw = random.Random(seed)
+    stock = {(h, p): draw.randint(0, 40) for h in (1, 2) for p in (1, 2)}
+    bought = [(i, 1, draw.choice([1, 2]), ago(9)) for i in range(1, 26)]
+    items = [(k, i, p, draw.randint(1, 12), D(1)) for k, (i, p) in enumerate(((i, p) for i, *_ in bought for p in (1, 2) if draw.random() < 0.7), 1)]
+    d = seed_domain(spark, purchase=bought, purchase_item=items, inventory=[(i, h, p, n) for i, ((h, p), n) in enumerate(stock.items(), 1)])
+    left, refused = dict(stock), []
+    for i, _, hub, _ in bought:
+        own = [(p, n) for _, j, p, n, _ in items if j == i]
+        if any(left[hub, p] < n for p, n in own):
+            refused.append((i,))
+        else:
+            for p, n in own:
+                left[hub, p] -= n
+    undone = mutations.reverse_purchases(d, d["purchase"].select("purchase_id"))
+    bare = [(i,) for i, *_ in bought if not any(j == i for _, j, *_ in items)]
+    assert rows(undone.rejected, "key") == sorted(refused + bare, key=repr)
+    assert rows(undone.inventory, "warehouse_id", "product_id", "quantity") == sorted(((*k, n) for k, n in left.items()), key=repr)
+
+    used = {h: sum(n for (hub, _), n in stock.items() if hub == h) for h in (1, 2)}
+    room = {1: 30, 2: 17}
+    d = d.replace(
+        warehouse=spark.createDataFrame([(h, f"h{h}", "", used[h] + room[h]) for h in (1, 2)], d["warehouse"].schema),
+        product=spark.createDataFrame([(1, 1, "p", "c", D(1))], d["product"].schema),
+    )
+    schema = "request_id long, supplier_id long, warehouse_id long, product_id long, quantity int, unit_cost decimal(10,2), requested_at timestamp_ntz"
+    asked = [(i, 1, draw.choice([1, 2]), 1, draw.randint(1, 9), D(1), ago(draw.randint(0, 5))) for i in range(1, 21)]
+    made = mutations.place_purchases(d, spark.createDataFrame(asked, schema))
+    refused = []
+    for i, _, hub, _, n, _, _ in sorted(asked, key=lambda r: (r[6], r[0])):
+        if n > room[hub]:
+            refused.append((i, "hub full"))
+        else:
+            room[hub] -= n
+    assert rows(made.rejected) == sorted(refused, key=repr) and made.purchases.count() + len(refused) == 20
+
+
+def test_pieces_are_linear_in_lots_and_requests(spark):
+    lot = spark.range(3000).selectExpr("1 as k", "id as pos", "1L as units", "struct(id as lot) as data")
+    ask = spark.range(3000).selectExpr("1 as k", "id as pos", "1L as units", "struct(id as request) as data")
+    made = mutations.overlaps(ask, lot, ["k"])
+    assert made.count() == 3000 and made.where("wanted.request <> held.lot").isEmpty()
+
+
 def test_stamps_mark_several_hubs(spark, seed):
     allocated = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 2), (3, None)], "order_id long, warehouse_id long")
     stamps = mutations.stamp_hub(allocated, seed["warehouse"])

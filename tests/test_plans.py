@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from depotwise.operators import campaigns, shipping, stock
+from depotwise.operators import campaigns, shipping, stock, tables
 from depotwise.plans.catalog import reports
 from depotwise.session import work_path
 from depotwise.sources import domain
@@ -53,9 +53,14 @@ def test_performance_never_joins_clicks_to_order_lines(stored):
     assert "partial_count(1)" in text[:clicks]
 
 
-def test_lots_are_shuffled_once_on_hub_product_and_day(spark):
+def test_lots_are_windowed_by_block(spark):
     d = star_domain(spark, ROOT)
     text = plan(stock.remaining_lots(d))
     assert text.count("lot_id#") > 0
     windows = re.findall(r"Window \[sum\(quantity[^\n]*", text)
-    assert windows and all("received_day" in w for w in windows)
+    assert windows and all("_block" in w for w in windows)
+
+
+def test_a_page_bound_reaches_the_scan(stored):
+    page = tables.page_after(stored["shipment"], ["shipment_date", "shipment_id"], 5, after=("2001-07-30 00:00:00", 0))
+    assert re.search(r"PushedFilters: \[[^\]]*LessThanOrEqual\(shipment_date", plan(page))
