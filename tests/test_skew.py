@@ -31,8 +31,15 @@ def test_running_total_equals_a_plain_window(spark, descending):
 
 def test_a_key_has_at_most_one_block_per_partition_whatever_its_times(spark):
     df = spark.range(20_000).selectExpr("1 as k", "timestamp_seconds(id * 7919 % 1000003) as at", "id", "1 as q")
-    cut = blocked(df, ["k"], ["at", "id"], {"n": ("sum", "q")})
-    sizes = [r["count"] for r in cut.rows.groupBy("_block").count().collect()]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # else so few rows become one partition
+    spark.conf.set(coalesce, "false")
+    try:
+        cut = blocked(df, ["k"], ["at", "id"], {"n": ("sum", "q")})
+        sizes = [r["count"] for r in cut.rows.groupBy("_block").count().collect()]
+        w = Window.partitionBy("k").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+        assert rows(running_total(df, ["k"], ["at", "id"], "q"), "id", "running_total") == rows(df.select("id", F.sum("q").over(w)))
+    finally:
+        spark.conf.set(coalesce, "true")
     assert cut.blocks.count() == len(sizes) <= int(spark.conf.get("spark.sql.shuffle.partitions")) and len(sizes) > 1
     assert max(sizes) < 15_000
 
