@@ -8,6 +8,7 @@ from depotwise.plans import (
     mutation_reports,
     quality_reports,
     source_reports,
+    sql_reports,
     stock_reports,
     trade_reports,
 )
@@ -21,6 +22,7 @@ FAMILIES = (
     mutation_reports,
     live_reports,
     source_reports,
+    sql_reports,
 )
 
 
