@@ -10,9 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from depotwise.policy import (
+    CAPACITY_STATUS,
     PLATFORM_PREFIX,
     PLATFORMS,
+    SHIPMENT_BUCKETS,
     SHIPMENT_LIFECYCLE,
+    SLUG_BREAK,
+    SLUG_EDGES,
     TRACKING_CODE_PREFIX,
     AgePolicy,
     CapacityPolicy,
@@ -74,11 +78,12 @@ def capacity_status(
     used: ColumnOrName, capacity: ColumnOrName, policy: CapacityPolicy = CapacityPolicy()
 ) -> Column:
     used, capacity = col(used), col(capacity)
+    over, critical, high, fine = CAPACITY_STATUS
     return (
-        F.when(used > capacity, "OVER")
-        .when(used >= capacity * F.lit(policy.critical), "CRITICAL")
-        .when(used >= capacity * F.lit(policy.high), "HIGH")
-        .otherwise("OK")
+        F.when(used > capacity, over)
+        .when(used >= capacity * F.lit(policy.critical), critical)
+        .when(used >= capacity * F.lit(policy.high), high)
+        .otherwise(fine)
     )
 
 
@@ -91,10 +96,11 @@ def line_amount(quantity: ColumnOrName, price: ColumnOrName) -> Column:
 
 def shipment_bucket(status: ColumnOrName) -> Column:
     """Board column of a shipment; one without any status counts as in transit."""
+    pending, transit, delivered = SHIPMENT_BUCKETS
     return (
-        F.when(col(status) == SHIPMENT_LIFECYCLE[0], "pending")
-        .when(col(status) == SHIPMENT_LIFECYCLE[-1], "delivered")
-        .otherwise("transit")
+        F.when(col(status) == SHIPMENT_LIFECYCLE[0], pending)
+        .when(col(status) == SHIPMENT_LIFECYCLE[-1], delivered)
+        .otherwise(transit)
     )
 
 
@@ -188,8 +194,8 @@ def normalised_name(name: ColumnOrName) -> Column:
 
 def slug(text: ColumnOrName, fallback: str = "export") -> Column:
     """Lower-case words joined by dashes, usable as a file name."""
-    cleaned = F.regexp_replace(F.lower(known(text, fallback)), r"[^a-z0-9]+", "-")
-    return known(F.regexp_replace(cleaned, r"^-|-$", ""), fallback)
+    cleaned = F.regexp_replace(F.lower(known(text, fallback)), SLUG_BREAK, "-")
+    return known(F.regexp_replace(cleaned, SLUG_EDGES, ""), fallback)
 
 
 def matches_text(text: str, *fields: ColumnOrName) -> Column:

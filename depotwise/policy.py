@@ -19,6 +19,11 @@ TRACKING_CODE_PREFIX = "TRK"
 PURCHASE_PAGE_SIZE = 100
 RECENT_CLICKS_LIMIT = 20
 LIVE_REFRESH = "6 seconds"
+CAPACITY_STATUS = ("OVER", "CRITICAL", "HIGH", "OK")
+SHIPMENT_BUCKETS = ("pending", "transit", "delivered")
+# what a file name's words are joined by, and what is cut from its ends
+SLUG_BREAK = "[^a-z0-9]+"
+SLUG_EDGES = "^-|-$"
 # --------------------------------------------------------------------------------------
 
 
