@@ -128,29 +128,30 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np
     return shingles, out
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component) for every `nodes.id`: the smallest id reachable over `edges` (a, b).
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) for every end of `edges` (a, b): the smallest id reachable.
 
-    Every round takes the smallest label among the neighbours and then the label of that label, so
-    that long chains shorten by doubling. Each round is written to the shared folder. A node with very
-    many links costs one row per link before partial sums, and its join is one that Spark can split."""
+    Each round takes the smallest label among the neighbours and then what that label's own node was
+    labelled with, so that chains shorten by doubling, and is written to the shared folder. A node
+    with very many links costs one row per link before partial sums, and its join is one that Spark can split."""
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    linked = both.select(F.col("a").alias("id")).distinct()
-    labels = materialise(linked.select("id", F.col("id").alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnsRenamed({"id": "b"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        hooked = materialise(hooked, "hooked")
-        if hooked.where("label < old").isEmpty():
-            break
-        # hook the old root onto the new label as well, then follow one step
-        roots = hooked.groupBy(F.col("old").alias("id")).agg(F.min("label").alias("root"))
-        moved = (
-            hooked.join(roots, "id", "left")
-            .select("id", F.least("label", F.coalesce("root", "label")).alias("label"))
-        )
-        jump = moved.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        labels = materialise(
-            moved.join(jump, "label", "left").select("id", F.least("label", F.coalesce("next", "label")).alias("label")), "labels"
-        )
-    return nodes.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label"))
+    labels = materialise(labels.withColumn("changed", F.lit(True)), "labels")
+    while not labels.where("changed").isEmpty():
+        known = labels.select(F.col("id").alias("b"), F.col("label").alias("theirs"))
+        near = both.join(known, "b").groupBy(F.col("a").alias("id")).agg(F.min("theirs").alias("near"))
+        hooked = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("hook"))
+        jump = labels.select(F.col("id").alias("hook"), F.col("label").alias("next"))
+        moved = hooked.join(jump, "hook", "left").select("id", "old", F.least("hook", "next").alias("label"))
+        labels = materialise(moved.select("id", "label", (F.col("label") < F.col("old")).alias("changed")), "labels")
+    return labels.select("id", F.col("label").alias("component"))
+
+
+def connected(named: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after `links` (a, b) have been added. Only links between components are followed, as
+    links between their names."""
+    left = named.select(F.col("id").alias("a"), F.col("component").alias("x"))
+    right = named.select(F.col("id").alias("b"), F.col("component").alias("y"))
+    between = links.join(left, "a").join(right, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    merged = components(between).select(F.col("id").alias("component"), F.col("component").alias("into"))
+    return named.join(merged, "component", "left").select("id", F.coalesce("into", "component").alias("component"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotwise.llm.common import LOWER, byte_view, components, mix, shingle_hashes, slices, word_hashes, word_spans
+from depotwise.llm.common import LOWER, byte_view, connected, mix, shingle_hashes, slices, word_hashes, word_spans
 from depotwise.session import materialise
 
 SHINGLE = 5
@@ -87,6 +87,23 @@ def codes(column: pa.Array) -> np.ndarray:
     return data.view(np.uint16).reshape(-1, COMPONENTS)
 
 
+def coarse_keys(signed: DataFrame) -> DataFrame:
+    """(key, id): all codes of two chunks at a time. Near copies share some of these few keys, so most are
+    connected before the many masked ones are looked at."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = codes(batch.column("signature")).astype(np.uint64)
+            keys = np.zeros((batch.num_rows, CHUNKS // 2), dtype=np.uint64)
+            for c in range(CHUNKS // 2):
+                for k in range(2 * WIDTH):
+                    keys[:, c] = mix(keys[:, c] ^ rows[:, 2 * WIDTH * c + k] ^ np.uint64((c + 1) << 32))
+            ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), CHUNKS // 2)
+            yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
+
+    return signed.select("id", "signature").mapInArrow(emit, "key bigint, id bigint")
+
+
 def bucket_keys(signed: DataFrame) -> DataFrame:
     """(key, id): for every chunk, its codes with one place masked; the place is part of the key."""
 
@@ -220,9 +237,10 @@ def near_duplicates(df: DataFrame, percent: int = 75) -> NearDuplicates:
     (A-Z lowered; with fewer words the whole sequence as one; without words empty and linked with
     nothing). Equal sets form a class, whose smallest doc_id stands for it; classes are compared.
 
-    1. All classes that share a masked chunk are compared with the smallest of the bucket, on
-       signatures and then on full sets; that links nearly all there is to link.
-    2. Members of a bucket that are not in the component of its first one are compared with that component
+    1. All classes that share a bucket are compared with the smallest of the bucket, on signatures and
+       then on full sets, first in few coarse buckets and then, where that has not connected them, in
+       those of the masked chunks. That links nearly all.
+    2. Members of a bucket that are not in the component of a pivot are compared with that component
        and with each other, on signatures in blocks; components are never compared inside.
     No pair within the radius is missed unless both are connected already. The second step's work is the
     product of a component and what is outside it in its buckets; no pair beyond the radius is a row.
@@ -235,17 +253,33 @@ def near_duplicates(df: DataFrame, percent: int = 75) -> NearDuplicates:
     classes = full.groupBy("set_a", "set_b").agg(F.min("id").alias("first"), F.min("n_shingles").alias("n"))
     members = materialise(full.join(classes.drop("n"), ["set_a", "set_b"]).select("id", "first", "signature"), "members")
     signed = materialise(members.where("id = first").select("id", "signature").distinct(), "signed")
-    keys = bucket_keys(signed)
-    firsts = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    buckets = materialise(keys.join(firsts, "key"), "buckets")
-    stars = buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    named = signed.select("id", F.col("id").alias("component"))
+    coarse = with_pivots(coarse_keys(signed)).groupBy("id").agg(F.min("pivot").alias("pivot"))
+    pairs = with_distance(coarse.select(F.col("pivot").alias("a"), F.col("id").alias("b")), signed).where(F.col("h") <= RADIUS)
+    links = materialise(confirmed(pairs, docs, percent), "links")
+    named = materialise(connected(named, links), "named")
+
+    placed = materialise(with_pivots(bucket_keys(signed)), "placed")
+    apart = materialise(unconnected(placed, named), "apart")
+    stars = apart.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     stars = materialise(with_distance(stars, signed), "stars")
-    links = materialise(confirmed(stars.where(F.col("h") <= RADIUS), docs, percent), "links")
-    rest = materialise(remaining(buckets, stars, links, signed), "rest")
-    links = links.union(materialise(confirmed(rest, docs, percent), "links"))
-    found = components(signed.select("id"), links)
+    near = stars.where(F.col("h") <= RADIUS)
+    best = near.groupBy("b").agg(F.min(F.struct("h", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    found = materialise(confirmed(best, docs, percent), "links")
+    links = links.union(found)
+    named = materialise(connected(named, found), "named")
+    # pairs with other pivots count only where that has not connected them already
+    second = unconnected(near.select(F.col("a").alias("pivot"), F.col("b").alias("id")), named)
+    second = second.select(F.col("pivot").alias("a"), F.col("id").alias("b")).join(best, ["a", "b"], "left_anti")
+    found = materialise(confirmed(second, docs, percent), "links")
+    links = links.union(found)
+    named = materialise(connected(named, found), "named")
+    rest = materialise(remaining(apart, stars.select("a", "b"), named, signed), "rest")
+    found = materialise(confirmed(rest, docs, percent), "links")
+    links = links.union(found)
+    named = connected(named, found)
     # a row of an id with several texts belongs to the smallest component among them
-    component = members.select("id", F.col("first").alias("c")).join(found.withColumnsRenamed({"id": "c"}), "c")
+    component = members.select("id", F.col("first").alias("c")).join(named.withColumnsRenamed({"id": "c"}), "c")
     component = component.groupBy("id").agg(F.min("component").alias("component"))
     out = rows.select("id", "n_shingles").join(component, "id", "left")
     label = F.coalesce("component", "id")
@@ -255,23 +289,29 @@ def near_duplicates(df: DataFrame, percent: int = 75) -> NearDuplicates:
     )
 
 
-def remaining(buckets: DataFrame, stars: DataFrame, links: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs within the radius that share a bucket, are not connected by `links` and have not been compared."""
-    named = materialise(components(signed.select("id"), links), "named")
-    apart = (
-        stars.select(F.col("a").alias("pivot"), F.col("b").alias("id"))
-        .join(named, "id")
-        .join(named.select(F.col("id").alias("pivot"), F.col("component").alias("home")), "pivot")
-        .where(F.col("component") != F.col("home"))
-    )
-    apart = materialise(apart, "apart")
-    outside = apart.select("home", "id", "component").distinct()
+def with_pivots(keys: DataFrame) -> DataFrame:
+    """(key, id, pivot): what shares a key with a smaller id, and the smallest."""
+    pivots = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return keys.join(pivots, "key").where("id <> pivot")
+
+
+def unconnected(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows (pivot, id, ...) whose two are in different components, with these as home and component."""
+    homes = named.select(F.col("id").alias("pivot"), F.col("component").alias("home"))
+    return rows.join(named, "id").join(homes, "pivot").where(F.col("component") != F.col("home"))
+
+
+def remaining(apart: DataFrame, stars: DataFrame, named: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs within the radius that share a bucket and are not connected. apart: (key, id, pivot) that were
+    not connected when the pivots were compared; stars: (a, b) of a pivot and what it was compared with."""
+    left = materialise(unconnected(stars.select(F.col("a").alias("pivot"), F.col("b").alias("id")), named), "left")
+    others = apart.select("key", "pivot", "id").join(left.select("pivot", "id", "component"), ["pivot", "id"]).select("key", "id", "component")
+    outside = left.select("home", "id", "component").distinct()
     # a component of one has been compared with all it shares a bucket with
     homes = outside.select(F.col("home").alias("component")).distinct()
     sizes = named.join(homes, "component", "left_semi").groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     inside = named.join(sizes, "component").select(F.col("component").alias("home"), "id", "component")
     outside = outside.join(sizes.withColumnRenamed("component", "home"), "home", "left_semi")
-    others = buckets.join(apart.select("pivot", "id", "component"), ["pivot", "id"]).select("key", "id", "component")
     return across(outside, inside, signed).union(within_buckets(others, signed)).distinct()
 
 
