@@ -138,8 +138,8 @@ def with_distance(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(measure, "a bigint, b bigint, h bigint")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity: 100 * shared >= percent * union."""
+def packed_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, items): the sorted shingle hashes of the documents in `ids`. The one step that moves texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -148,6 +148,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 packed = [np.unique(shingles[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.record_batch([batch.column("id"), pa.array(packed, pa.binary())], names=["id", "items"])
 
+    return docs.join(ids, "id", "left_semi").mapInArrow(sets, "id bigint, items binary")
+
+
+def confirmed(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the similarity: 100 * shared >= percent * union."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -157,8 +163,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    packed = materialise(docs.join(ids, "id", "left_semi").mapInArrow(sets, "id bigint, items binary"), "sets")
     left = packed.select(F.col("id").alias("a"), F.col("items").alias("xa"))
     right = packed.select(F.col("id").alias("b"), F.col("items").alias("xb"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(check, "a bigint, b bigint")
@@ -254,28 +258,31 @@ def near_duplicates(df: DataFrame, percent: int = 75) -> NearDuplicates:
     members = materialise(full.join(classes.drop("n"), ["set_a", "set_b"]).select("id", "first", "signature"), "members")
     signed = materialise(members.where("id = first").select("id", "signature").distinct(), "signed")
     named = signed.select("id", F.col("id").alias("component"))
+    placed = materialise(with_pivots(bucket_keys(signed)), "placed")
+    ids = placed.select("id").union(placed.select("pivot")).distinct()
+    packed = materialise(packed_sets(docs, ids), "sets")
+    # sharing two whole chunks is sharing masked ones, so the sets above cover both kinds of buckets
     coarse = with_pivots(coarse_keys(signed)).groupBy("id").agg(F.min("pivot").alias("pivot"))
     pairs = with_distance(coarse.select(F.col("pivot").alias("a"), F.col("id").alias("b")), signed).where(F.col("h") <= RADIUS)
-    links = materialise(confirmed(pairs, docs, percent), "links")
+    links = materialise(confirmed(pairs, packed, percent), "links")
     named = materialise(connected(named, links), "named")
 
-    placed = materialise(with_pivots(bucket_keys(signed)), "placed")
     apart = materialise(unconnected(placed, named), "apart")
     stars = apart.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     stars = materialise(with_distance(stars, signed), "stars")
     near = stars.where(F.col("h") <= RADIUS)
     best = near.groupBy("b").agg(F.min(F.struct("h", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    found = materialise(confirmed(best, docs, percent), "links")
+    found = materialise(confirmed(best, packed, percent), "links")
     links = links.union(found)
     named = materialise(connected(named, found), "named")
     # pairs with other pivots count only where that has not connected them already
     second = unconnected(near.select(F.col("a").alias("pivot"), F.col("b").alias("id")), named)
     second = second.select(F.col("pivot").alias("a"), F.col("id").alias("b")).join(best, ["a", "b"], "left_anti")
-    found = materialise(confirmed(second, docs, percent), "links")
+    found = materialise(confirmed(second, packed, percent), "links")
     links = links.union(found)
     named = materialise(connected(named, found), "named")
     rest = materialise(remaining(apart, stars.select("a", "b"), named, signed), "rest")
-    found = materialise(confirmed(rest, docs, percent), "links")
+    found = materialise(confirmed(rest, packed, percent), "links")
     links = links.union(found)
     named = connected(named, found)
     # a row of an id with several texts belongs to the smallest component among them
