@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -130,9 +131,16 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def leaks_in(words: np.ndarray, at: np.ndarray, which: np.ndarray, items: Items) -> list[tuple[int, float, int, int]]:
+def room(m: int, threshold: float) -> int:
+    """How many words may be inserted into a copy of an item of `m` words that still reaches the threshold."""
+    least = max(1, math.ceil(threshold * MATCH * m - 1e-9))
+    return max(0, (MATCH * m - least) // -GAP)
+
+
+def leaks_in(words: np.ndarray, at: np.ndarray, which: np.ndarray, items: Items, threshold: float) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, last word plus one) of the best alignment of every item with a seed in one
-    document. Seeds on neighbouring diagonals are one passage, which is aligned with room on both sides."""
+    document. The diagonals of an alignment that reaches the threshold are no further apart than `room`, so
+    seeds within it are one passage, and the passage is aligned with that room on both sides."""
     offsets = defaultdict(list)
     for p, k in zip(at.tolist(), which.tolist(), strict=True):
         seed = items.seeds[k]
@@ -143,14 +151,15 @@ def leaks_in(words: np.ndarray, at: np.ndarray, which: np.ndarray, items: Items)
     for item, starts in offsets.items():
         target = items.words[item]
         m = len(target)
+        space = room(m, threshold)
         best = (0.0, 0, 0)
         starts.sort()
         first = previous = starts[0]
         for s in [*starts[1:], None]:
-            if s is not None and s - previous <= m // 2:
+            if s is not None and s - previous <= space:
                 previous = s
                 continue
-            low, high = max(0, first - m // 4 - 2), min(len(words), previous + m + m // 4 + 2)
+            low, high = max(0, first - space), min(len(words), previous + m + space)
             score, a, z = align(words[low:high], target)
             best = max(best, (score / (MATCH * m), low + a, low + z))
             first = previous = s
@@ -191,7 +200,7 @@ def found_in(batch: pa.RecordBatch, known: Items, threshold: float) -> list[tupl
     out = []
     for r in np.unique(row).tolist():
         a, z = np.searchsorted(row, [r, r + 1])
-        for item, score, low, high in leaks_in(words[bounds[r] : bounds[r + 1]], at[a:z] - bounds[r], which[a:z], known):
+        for item, score, low, high in leaks_in(words[bounds[r] : bounds[r + 1]], at[a:z] - bounds[r], which[a:z], known, threshold):
             if score >= threshold:
                 out.append((r, known.ids[item], score, low, high))
     return out

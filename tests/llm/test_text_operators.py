@@ -364,6 +364,33 @@ def test_leaks(spark):
     assert len(small) > 2 and sorted(i for b in small for i in b.ids) == [0, 1, 2, 3, 4, 5, 6, 9]
 
 
+def leaks_by_full_alignment(texts, items, threshold=decontamination.THRESHOLD):
+    codes = lambda t: decontamination.word_codes(decontamination.pa.array([t]))[0]
+    out = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            a, b = codes(text), codes(item)
+            score = decontamination.align(a, b)[0] / (decontamination.MATCH * len(b))
+            if score >= threshold:
+                out[d, i] = score
+    return out
+
+
+def test_leaks_with_a_long_insertion(spark):
+    rng = random.Random(22)
+    items = [prose(rng, m, 5000) for m in (16, 40, 59)]
+    texts = []
+    for item in items:
+        words = item.split()
+        for share in (0.4, 0.6, 0.78, 0.9):
+            middle = [prose(rng, int(share * len(words)), 5000)]
+            texts.append(" ".join([prose(rng, 50, 5000), *words[: len(words) // 2], *middle, *words[len(words) // 2 :], prose(rng, 50, 5000)]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(documents(spark, texts), bench).collect()}
+    due = leaks_by_full_alignment(texts, items)
+    assert got == due and len(due) == 9
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_alignment_score_is_smith_waterman(seed):
     rng = np.random.default_rng(seed)
