@@ -1,9 +1,8 @@
-"""Finding benchmark items in documents: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Finding benchmark items in documents: rare words as seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,11 +13,10 @@ from pyspark.sql import functions as F
 
 from depotwise.llm.common import LOWER, byte_view, mix, slices, word_hashes, word_spans
 
-SEED = 5  # words of a seed
-COMMON = 8  # a seed in more than so many times the documents of its item's median seed is not rare
+SEED = 5  # words of a seed: rare words of an item that lie close together, not in a row
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.6  # of the score that a whole copy of the item would have
-BLOCK_SEEDS = 1_000_000  # seeds that meet the documents at a time: 16 MB for the seeds and about as much for their items
+BLOCK_SEEDS = 1_000_000  # words of items that meet the documents at a time: 16 MB for the words and about as much for their items
 
 # Punctuation separates words like white space, so that edits of it alone change nothing.
 PLAIN = LOWER.copy()
@@ -33,59 +31,74 @@ def word_codes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends), bounds
 
 
-def runs(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of `size` words, across row ends as well."""
-    m = max(len(words) - size + 1, 0)
-    rolled = np.full(m, size, dtype=np.uint64)
-    for i in range(size):
-        rolled = mix(rolled ^ words[i : i + m])
-    return rolled
+def least_score(m: int, threshold: float) -> int:
+    """The smallest alignment score with which an item of `m` words reaches the threshold."""
+    return max(1, math.ceil(threshold * MATCH * m - 1e-9))
+
+
+def room(m: int, threshold: float) -> int:
+    """How many words may be inserted into a copy of an item of `m` words that still reaches the threshold."""
+    return max(0, (MATCH * m - least_score(m, threshold)) // -GAP)
+
+
+def least_matches(m: int, threshold: float) -> int:
+    """How many words of an item of `m` words match, at least, in an alignment that reaches the threshold:
+    nothing but matches adds to a score."""
+    return -(-least_score(m, threshold) // MATCH)
 
 
 @dataclass
 class Items:
-    """Benchmark items as words, and their seeds sorted by hash: item and place of each."""
+    """Benchmark items as words, and seeds: words sorted by hash with the item of each, every pair once.
+    `counts`: the words of each item that are distinct, and how often each is in it. Of its seeds `enough`
+    (a number for each item) lie within `span` words of a document in every alignment that counts."""
 
     ids: list
     words: list[np.ndarray]
+    counts: list[tuple[np.ndarray, np.ndarray]]
     seeds: np.ndarray
     item: np.ndarray
-    place: np.ndarray
-    sizes: list[int]
-
-    def rare(self, counts: dict[int, int]) -> Items:
-        """Without seeds that are far commoner in the documents than their item's median seed. At least
-        half of an item's seeds stay, so a copy that many documents hold is still found."""
-        n = np.array([counts.get(int(s), 0) for s in self.seeds])
-        median = {i: np.median(n[self.item == i]) for i in np.unique(self.item)}
-        keep = n <= COMMON * np.maximum(1, np.array([median[i] for i in self.item])) if len(n) else np.empty(0, bool)
-        return Items(self.ids, self.words, self.seeds[keep], self.item[keep], self.place[keep], self.sizes)
-
-    def hits(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word index in `words`, index of a seed) wherever a row's run is a seed's; the first of equal seeds."""
-        at, which = [], []
-        last = np.repeat(bounds[1:], np.diff(bounds))
-        for size in self.sizes:
-            hashes = runs(words, size)
-            inside = np.arange(len(hashes)) + size <= last[: len(hashes)]
-            where = np.searchsorted(self.seeds, hashes)
-            found = np.flatnonzero(inside & (where < len(self.seeds)))
-            found = found[self.seeds[where[found]] == hashes[found]] if len(found) else found
-            at.append(found)
-            which.append(where[found])
-        return np.concatenate(at), np.concatenate(which)
+    enough: np.ndarray
+    span: np.ndarray
+
+    def rare(self, counts: dict[int, int], threshold: float) -> Items:
+        """With the rarest words of each item as its seeds. An alignment that reaches the threshold leaves out
+        m - least_matches places of the item at most, so of so many places and SEED more it has SEED. This
+        holds for any choice of places; rare ones are hit less often."""
+        chosen, enough, span = [], [], []
+        for words in self.words:
+            m = len(words)
+            need = least_matches(m, threshold)
+            n = np.array([counts.get(int(w), 0) for w in words])
+            enough.append(min(SEED, need))
+            span.append(m + room(m, threshold))
+            chosen.append(np.unique(words[np.argsort(n, kind="stable")[: m - need + enough[-1]]]))
+        return seeded(self.ids, self.words, self.counts, chosen, enough, span)
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in `words`, index of a seed), by place, wherever a word is a seed; once for each item that has it."""
+        first, last = np.searchsorted(self.seeds, words, side="left"), np.searchsorted(self.seeds, words, side="right")
+        n = last - first
+        at = np.repeat(np.arange(len(words)), n)
+        return at, np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def seeded(ids: list, words: list, counts: list, chosen: list[np.ndarray], enough: list[int], span: list[int]) -> Items:
+    seeds, item = np.concatenate(chosen), np.repeat(np.arange(len(ids)), [len(c) for c in chosen])
+    order = np.argsort(seeds, kind="stable")
+    return Items(ids, words, counts, seeds[order], item[order], np.array(enough), np.array(span))
 
 
 def item_blocks(benchmark: DataFrame, limit: int = BLOCK_SEEDS) -> Iterator[Items]:
-    """The items in blocks of about `limit` seeds, streamed to the driver one partition at a time. An item
-    of fewer than SEED words is its own seed; one without words has none."""
+    """The items in blocks of about `limit` words, streamed to the driver one partition at a time. An item
+    without words has no seed."""
     rows: list[tuple] = []
     total = 0
     for row in benchmark.select("item_id", "text").where("text is not null").distinct().toLocalIterator():
         words, _ = word_codes(pa.array([row["text"]], pa.string()))
         if len(words):
             rows.append((row["item_id"], words))
-            total += max(1, len(words) - SEED + 1)
+            total += len(words)
         if total >= limit:
             yield block(rows)
             rows, total = [], 0
@@ -94,16 +107,8 @@ def item_blocks(benchmark: DataFrame, limit: int = BLOCK_SEEDS) -> Iterator[Item
 
 
 def block(rows: list[tuple]) -> Items:
-    seeds, item, place = [], [], []
-    for i, (_, words) in enumerate(rows):
-        hashes = runs(words, min(SEED, len(words)))
-        seeds.append(hashes)
-        item.append(np.full(len(hashes), i))
-        place.append(np.arange(len(hashes)))
-    seeds, item, place = (np.concatenate(x) for x in (seeds, item, place))
-    order = np.argsort(seeds, kind="stable")
-    sizes = sorted({min(SEED, len(w)) for _, w in rows})
-    return Items([r[0] for r in rows], [r[1] for r in rows], seeds[order], item[order], place[order], sizes)
+    counts = [np.unique(words, return_counts=True) for _, words in rows]
+    return seeded([r[0] for r in rows], [r[1] for r in rows], counts, [c[0] for c in counts], [1] * len(rows), [1] * len(rows))
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -131,43 +136,33 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def room(m: int, threshold: float) -> int:
-    """How many words may be inserted into a copy of an item of `m` words that still reaches the threshold."""
-    least = max(1, math.ceil(threshold * MATCH * m - 1e-9))
-    return max(0, (MATCH * m - least) // -GAP)
-
-
-def leaks_in(words: np.ndarray, at: np.ndarray, which: np.ndarray, items: Items, threshold: float) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, last word plus one) of the best alignment of every item with a seed in one
-    document. The diagonals of an alignment that reaches the threshold are no further apart than `room`, so
-    seeds within it are one passage, and the passage is aligned with that room on both sides."""
-    offsets = defaultdict(list)
-    for p, k in zip(at.tolist(), which.tolist(), strict=True):
-        seed = items.seeds[k]
-        while k < len(items.seeds) and items.seeds[k] == seed:
-            offsets[int(items.item[k])].append(p - int(items.place[k]))
-            k += 1
-    out = []
-    for item, starts in offsets.items():
-        target = items.words[item]
-        m = len(target)
-        space = room(m, threshold)
-        best = (0.0, 0, 0)
-        starts.sort()
-        first = previous = starts[0]
-        for s in [*starts[1:], None]:
-            if s is not None and s - previous <= space:
-                previous = s
-                continue
-            low, high = max(0, first - space), min(len(words), previous + m + space)
-            score, a, z = align(words[low:high], target)
-            best = max(best, (score / (MATCH * m), low + a, low + z))
-            first = previous = s
-        out.append((item, *best))
-    return out
-
-
-LEAKS = "item_id bigint, score double, first_word bigint, last_word bigint"
+def passages(at: np.ndarray, item: np.ndarray, row: np.ndarray, known: Items) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, first place, last place plus one): where an alignment with enough seeds of an item can be.
+    Seeds come by place; enough of them within the item's span open a passage of that span on both sides,
+    and passages that overlap are one."""
+    order = np.argsort(item, kind="stable")
+    at, item, row = at[order], item[order], row[order]
+    last = np.arange(len(at)) + known.enough[item] - 1
+    inside = last < len(at)
+    last[~inside] = 0
+    span = known.span[item]
+    open_ = np.flatnonzero(inside & (item[last] == item) & (row[last] == row) & (at[last] - at < span))
+    if not len(open_):
+        return
+    at, item, row, span = at[open_], item[open_], row[open_], span[open_]
+    low, high = at - span + 1, at + span
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (low[1:] > high[:-1])
+    start = np.flatnonzero(new)
+    stop = np.r_[start[1:], len(at)] - 1
+    yield from zip(row[start].tolist(), item[start].tolist(), low[start].tolist(), high[stop].tolist(), strict=True)
+
+
+def shared_words(words: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many words a passage and an item have in common, each as often as both have it."""
+    known, n = counts
+    where = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    return int(np.minimum(np.bincount(where[known[where] == words], minlength=len(n)), n).sum())
 
 
 def seed_counts(rows: DataFrame, items: Items) -> dict[int, int]:
@@ -175,35 +170,40 @@ def seed_counts(rows: DataFrame, items: Items) -> dict[int, int]:
     sent = rows.sparkSession.sparkContext.broadcast(items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known = np.unique(sent.value.seeds)
         for whole in batches:
-            n = np.zeros(len(known.seeds), dtype=np.int64)
+            n = np.zeros(len(known), dtype=np.int64)
             for batch in slices(whole, "text"):
                 words, bounds = word_codes(batch.column("text"))
-                at, which = known.hits(words, bounds)
+                which = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                at = np.flatnonzero(known[which] == words)
                 row = np.searchsorted(bounds, at, side="right")
-                n += np.bincount(np.unique(np.stack([row, which]), axis=1)[1], minlength=len(n))
+                n += np.bincount(np.unique(row * len(known) + which[at]) % len(known), minlength=len(n))
             k = np.flatnonzero(n)
-            yield pa.record_batch([pa.array(known.seeds[k].view(np.int64)), pa.array(n[k])], names=["seed", "n"])
+            yield pa.record_batch([pa.array(known[k].view(np.int64)), pa.array(n[k])], names=["seed", "n"])
 
     counted = rows.select("text").mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()
     return {int(np.int64(r["seed"]).view(np.uint64)): r["n"] for r in counted}
 
 
 def found_in(batch: pa.RecordBatch, known: Items, threshold: float) -> list[tuple[int, int, float, int, int]]:
-    """(row, item id, score, first word, last word) of the items that rows of a batch hold."""
+    """(row, item, score, first word, last word plus one) of the best alignment of the items that rows of a
+    batch hold. A passage that shares fewer words with an item than must match is not aligned."""
     words, bounds = word_codes(batch.column("text"))
-    at, which = known.hits(words, bounds)
-    order = np.argsort(at, kind="stable")
-    at, which = at[order], which[order]
+    at, which = known.hits(words)
     row = np.searchsorted(bounds, at, side="right") - 1
-    out = []
-    for r in np.unique(row).tolist():
-        a, z = np.searchsorted(row, [r, r + 1])
-        for item, score, low, high in leaks_in(words[bounds[r] : bounds[r + 1]], at[a:z] - bounds[r], which[a:z], known, threshold):
-            if score >= threshold:
-                out.append((r, known.ids[item], score, low, high))
-    return out
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    for r, item, low, high in passages(at, known.item[which], row, known):
+        base, target = int(bounds[r]), known.words[item]
+        low = max(low, base)
+        part = words[low : min(high, int(bounds[r + 1]))]
+        if shared_words(part, known.counts[item]) < least_matches(len(target), threshold):
+            continue
+        score, a, z = align(part, target)
+        got = (score / (MATCH * len(target)), low - base + a, low - base + z)
+        if got[0] >= threshold:
+            best[r, item] = max(best.get((r, item), got), got)
+    return [(r, known.ids[item], *got) for (r, item), got in sorted(best.items())]
 
 
 LEAKS = "item_id bigint, score double, first_word bigint, last_word bigint"
@@ -219,8 +219,9 @@ def contaminated(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     words in it has `threshold` or more of the score of a full copy.
 
     Documents are never exchanged: a block of items, of bounded size, goes to the tasks. A first pass
-    counts the documents of each seed; the second aligns where a rare seed is found. More items mean
-    more blocks, not larger ones.
+    counts the documents of each word of the items; the second aligns where enough of an item's rarest
+    words are close together. Every alignment that reaches the threshold has so many of them, however it
+    was edited, so none is lost. More items mean more blocks, not larger ones.
 
     Null or empty text, or item text: no match. Null ids are kept in the result. Repeated rows of either
     table give one row. No rows: no rows. Other columns are ignored."""
@@ -229,7 +230,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     schema = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, {LEAKS}"
     found = spark.createDataFrame([], schema)
     for items in item_blocks(whole_ids(benchmark)):
-        rare = spark.sparkContext.broadcast(items.rare(seed_counts(rows, items)))
+        rare = spark.sparkContext.broadcast(items.rare(seed_counts(rows, items), threshold))
 
         def search(batches: Iterator[pa.RecordBatch], rare=rare) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -250,7 +251,7 @@ def uncontaminated(df: DataFrame, benchmark: DataFrame, threshold: float = THRES
     spark = df.sparkSession
     kept = df
     for items in item_blocks(whole_ids(benchmark)):
-        rare = spark.sparkContext.broadcast(items.rare(seed_counts(df, items)))
+        rare = spark.sparkContext.broadcast(items.rare(seed_counts(df, items), threshold))
 
         def keep(batches: Iterator[pa.RecordBatch], rare=rare) -> Iterator[pa.RecordBatch]:
             for whole in batches:

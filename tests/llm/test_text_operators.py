@@ -391,6 +391,30 @@ def test_leaks_with_a_long_insertion(spark):
     assert got == due and len(due) == 9
 
 
+def test_edited_leaks_match_full_alignment(spark):
+    rng = random.Random(23)
+    items = [prose(rng, m, 3000) for m in (1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 16, 16, 25, 39, 40)] + ["the of and the of and the in to of " + prose(rng, 6, 3000)]
+    texts = [prose(rng, 200, 3000), " ".join(f"{w} x{i}" for i, w in enumerate(items[4].split())), ""]
+    words = items[10].split()
+    words[5] = words[10] = words[15 - 1] = "other"
+    texts.append(prose(rng, 40, 3000) + " " + " ".join(words))
+    for item in items:
+        for k in range(12):
+            words = item.split()
+            for _ in range(rng.randrange(1 + len(words) // 3)):
+                i = rng.randrange(len(words))
+                words[i : i + rng.randrange(2)] = [f"new{rng.randrange(99)}"] * (rng.randrange(4) > 0)
+            start = [] if k % 3 else ["the of and to in"] * 60  # common words on the way
+            texts.append(" ".join([*start, prose(rng, 30, 3000), *words, prose(rng, 30, 3000)]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    df = documents(spark, texts)
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(df, bench).collect()}
+    due = leaks_by_full_alignment(texts, items)
+    assert got == due and len(due) > 100 and (3, 10) in due
+    kept = {r.doc_id for r in decontamination.uncontaminated(df, bench).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _ in due}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_alignment_score_is_smith_waterman(seed):
     rng = np.random.default_rng(seed)
