@@ -458,3 +458,26 @@ def test_passages(spark, texts):
     assert due <= {r.doc_id for r in got}
     assert passage_dedup.near_duplicate_passages(documents(spark, [])).count() == 0
     assert passage_dedup.near_duplicate_passages(documents(spark, [texts[0], texts[0], texts[0]], [None, 5, 5])).count() == 0
+
+
+def test_every_repeated_run_of_words_is_covered(spark, texts):
+    rng = random.Random(31)
+    lines = [prose(rng, rng.randrange(8, 30), 90) for _ in range(14)]
+    mixes = [" ".join(rng.choice(lines) for _ in range(rng.randrange(2, 12))) for _ in range(120)]
+    # each line has been seen in documents that don't hold the passage before its two copies come
+    passage = " ".join(lines[:4])
+    odd = [" ".join([prose(rng, 60), line, prose(rng, 60)]) for line in lines for _ in range(3)]
+    all_texts = [*odd, *mixes, *(prose(rng, 40) + " " + passage + " " + prose(rng, 40) for _ in range(3)), *texts]
+    words = [[w.decode("latin1") for w in (t or "").encode().lower().split()] for t in all_texts]
+    covered = defaultdict(list)
+    for r in passage_dedup.near_duplicate_passages(documents(spark, all_texts)).collect():
+        assert r.source_doc_id < r.doc_id and r.similarity >= 0.75
+        covered[r.doc_id].append((r.first_word, r.last_word))
+    seen: dict[tuple, int] = {}
+    due = 0
+    for d, w in enumerate(words):
+        for i in range(len(w) - 49):
+            if seen.setdefault(tuple(w[i : i + 50]), d) != d:
+                due += 1
+                assert any(a <= i and i + 50 <= z for a, z in covered[d]), (d, i)
+    assert due > 1000
