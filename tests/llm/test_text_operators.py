@@ -481,3 +481,17 @@ def test_every_repeated_run_of_words_is_covered(spark, texts):
                 due += 1
                 assert any(a <= i and i + 50 <= z for a, z in covered[d]), (d, i)
     assert due > 1000
+
+
+def test_near_passages_are_not_left_to_chance(spark):
+    rng = random.Random(41)
+    sources = [prose(rng, 60, 90000) for _ in range(300)]
+    copies = []
+    for text in sources:
+        words = text.split()
+        words[20 + rng.randrange(20)] = "changed"
+        copies.append(" ".join(words))
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(56)}
+    assert all(0.75 <= len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) < 0.9 for a, b in zip(sources, copies, strict=True))
+    got = {(r.doc_id, r.source_doc_id) for r in passage_dedup.near_duplicate_passages(documents(spark, sources + copies)).collect()}
+    assert got == {(i + 300, i) for i in range(300)}
