@@ -28,14 +28,16 @@ def digest(payload: bytes) -> str:
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
-    """Chunked transfer framing. A chunk ends inside any record boundary that the payload contains, so
-    that no block of an archive contains one."""
+    """Chunked transfer framing. A chunk ends inside any version that the payload contains: line ends of the
+    framing, or of records, on either side would make a boundary of it, and no block of an archive may
+    contain one."""
+    version = VERSION.rstrip()
     out, at = [], 0
     while at < len(payload):
         end = min(at + size, len(payload))
-        found = payload.find(BOUNDARY, at, min(end + len(BOUNDARY) - 1, len(payload)))
+        found = payload.find(version, at, min(end + len(version) - 1, len(payload)))
         if found >= 0:
-            end = min(end, found + 1 + len(VERSION) // 2)
+            end = min(end, found + len(version) // 2)
         out.append(b"%x\r\n%s\r\n" % (end - at, payload[at:end]))
         at = end
     return b"".join([*out, b"0\r\n\r\n"])

@@ -83,6 +83,25 @@ def test_lost_and_damaged_segments_are_told(spark):
     }
 
 
+def test_framing_of_payloads_that_begin_with_a_version_line():
+    for head in (b"", b"a" * 100, b"a" * 94, b"a" * 105, b"\r\n"):
+        for tail in (b"", b"\nWARC/1.1", b"WARC-Type: response\r\n\r\n" * 30, warc.VERSION * 30):
+            payload = head + warc.VERSION + tail
+            for size in (1, 7, 100, 8192):
+                framed = warc.chunked(payload, size)
+                assert warc.unchunked(framed) == payload and warc.BOUNDARY not in framed
+            for segment in (10, 64, 300):
+                for record in warc.records(1, "u", payload, 1, True, segment):
+                    assert warc.BOUNDARY not in warc.VERSION + record + b"\r\n\r\n"
+
+
+def test_pages_that_are_archives_come_back(spark):
+    texts = [warc.VERSION.decode() + "WARC-Type: response\r\n\r\nx", "\nWARC/1.1", "a" * (8192 - 9) + "\nWARC/1.1" + "b" * 100]
+    pages = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "page_id bigint, url string, html string")
+    got = warc.archived(pages).collect()
+    assert len(got) == len(texts) and all(r.valid and r.payload_bytes == len(texts[r.page_id]) for r in got)
+
+
 def test_chunked_framing():
     for payload in (b"", b"x", b"y" * 20_000, warc.BOUNDARY * 5, b"\r\n" * 9):
         framed = warc.chunked(payload, 100)
