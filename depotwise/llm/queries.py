@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from depotwise.llm import bpe, decontamination, metric_tree, near_dedup, packing, passage_dedup, sharding, suffix_dedup, toxicity, warc
+from depotwise.llm import bpe, decontamination, metric_tree, near_dedup, packing, passage_dedup, sharding, suffix_dedup, toxicity, turn_repair, warc
 from depotwise.llm.common import table
 
 
@@ -53,11 +53,16 @@ def op10_metric_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_tree.top_inner_products(table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.reports(turn_repair.damaged(conversations), conversations)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_array_dedup, op2_warc_segments, op3_compact_window_dedup, op4_best_fit_packing, op5_token_counts, op6_toxicity,
         op7_benchmark_decontamination, op8_hilbert_sharding, op9_minhash_near_dedup,
-        op10_metric_tree_search,
+        op10_metric_tree_search, op13_conversation_repair,
     )
 } | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {"op9_minhash_near_dedup": near_dedup.SQL, "op10_metric_tree_search": metric_tree.SQL}
