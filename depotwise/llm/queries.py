@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from depotwise.llm import bpe, decontamination, metric_tree, near_dedup, packing, passage_dedup, sharding, spelling_groups, suffix_dedup, toxicity, turn_repair, warc
+from depotwise.llm import bpe, decontamination, maxent_lm, metric_tree, near_dedup, packing, passage_dedup, sharding, spelling_groups, suffix_dedup, toxicity, turn_repair, warc
 from depotwise.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_metric_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_tree.top_inner_products(table(spark, sf_dir, "embeddings"))
 
 
+def op11_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups.spelling_groups(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_array_dedup, op2_warc_segments, op3_compact_window_dedup, op4_best_fit_packing, op5_token_counts, op6_toxicity,
         op7_benchmark_decontamination, op8_hilbert_sharding, op9_minhash_near_dedup,
-        op10_metric_tree_search, op12_spelling_variants, op13_conversation_repair,
+        op10_metric_tree_search, op11_maxent_scores, op12_spelling_variants, op13_conversation_repair,
     )
 } | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {"op9_minhash_near_dedup": near_dedup.SQL, "op10_metric_tree_search": metric_tree.SQL}
