@@ -11,7 +11,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from depotwise.plans.catalog import reports
-from depotwise.session import local_session
+from depotwise.session import local_session, release
 
 HEADLINE = (
     "warehouse_stock_age", "warehouse_overview", "pick_source_warehouse", "stock_levels", "movement_balance",
@@ -26,7 +26,9 @@ def timed(spark, root: str, name: str) -> float:
     """Build, plan and run a report to the end without keeping its rows."""
     start = time.perf_counter()
     reports()[name].run(spark, root).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    seconds = time.perf_counter() - start
+    release(spark)
+    return seconds
 
 
 def main() -> None:

@@ -21,7 +21,8 @@ from depotwise.sources.domain import Domain
 
 @dataclass(frozen=True)
 class Checkout:
-    """Rows to append to each table, the next inventory, and (key, reason) of the requests that got no order."""
+    """Rows to append to each table, the next inventory, (key, reason) of the requests that got no order, and
+    the hub that each item is taken from (order_id, order_item_id, warehouse_id, product_id, quantity)."""
 
     orders: DataFrame
     items: DataFrame
@@ -30,6 +31,7 @@ class Checkout:
     statuses: DataFrame
     inventory: DataFrame
     rejected: DataFrame
+    picked: DataFrame
 
 
 def _checked(d: Domain, requests: DataFrame, lines: DataFrame) -> DataFrame:
@@ -118,4 +120,5 @@ def checkout(d: Domain, requests: DataFrame, lines: DataFrame, as_of: Moment, po
         statuses=statuses.select(made.statuses.columns),
         inventory=apply_deltas(d["inventory"], shipped.groupBy(*STOCK_KEY).agg((-F.sum("quantity")).alias("units"))),
         rejected=rejected.select(F.col("request_id").alias("key"), "reason"),
+        picked=shipped.select("order_id", "order_item_id", *STOCK_KEY, "quantity"),
     )

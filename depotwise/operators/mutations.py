@@ -65,6 +65,34 @@ def apply_purchases(d: Domain, purchases: DataFrame) -> DataFrame:
     return apply_deltas(d["inventory"], purchase_deltas(d, purchases))
 
 
+@dataclass(frozen=True)
+class Arrivals:
+    inventory: DataFrame
+    received: DataFrame
+    rejected: DataFrame
+
+
+def receive_purchases(d: Domain, purchases: DataFrame) -> Arrivals:
+    """Inventory after the given purchases have arrived, as far as their hubs have room. Purchases take turns
+    by date and id; one is received as a whole or not at all, and a refused one takes no room. ``received``
+    names (purchase_id) those that were; purchases without lines, or for a hub that is not known, bring nothing and are rejected."""
+    hubs = d["warehouse"].select("warehouse_id", F.lit(True).alias("_hub"))
+    totals = d["purchase_item"].join(purchases.select("purchase_id"), "purchase_id", "left_semi").groupBy("purchase_id").agg(F.sum("quantity").alias("units"))
+    checked = purchases.join(totals, "purchase_id", "left").join(hubs, "warehouse_id", "left").withColumn(
+        "reason", first_reason((F.col("units").isNull(), "purchase without lines"), (F.col("_hub").isNull(), "unknown hub"))
+    )
+    checked = materialise(checked.select("purchase_id", "warehouse_id", "purchase_date", "units", "reason"), "arrivals")
+    turns = materialise(number_rows(_accepted(checked), ["purchase_date", "purchase_id"], F.lit(0), "turn"), "arrival-turns")
+    entries = turns.select(
+        F.col("turn").alias("request_id"), F.lit(1).alias("kind"), "warehouse_id", F.lit(None).cast("bigint").alias("product_id"), "units"
+    )
+    outcome = accepted_in_turn(entries, room_limits(d, "hub full")).withColumnRenamed("request_id", "turn")
+    turns = materialise(turns.join(outcome, "turn"), "arrival-outcome")
+    received = _accepted(turns).select("purchase_id", "warehouse_id")
+    rejected = _rejected(checked, "purchase_id").unionByName(_rejected(turns, "purchase_id"))
+    return Arrivals(apply_deltas(d["inventory"], purchase_deltas(d, received)), received.select("purchase_id"), rejected)
+
+
 @dataclass(frozen=True)
 class Reversal:
     inventory: DataFrame
@@ -222,6 +250,53 @@ def place_purchases(d: Domain, requests: DataFrame) -> PurchasePlacement:
     return PurchasePlacement(purchases, items, _rejected(checked, "request_id").unionByName(_rejected(turns, "request_id")))
 
 
+def place_purchase_orders(d: Domain, requests: DataFrame, lines: DataFrame) -> PurchasePlacement:
+    """Purchases of any number of lines: requests (request_id, supplier_id, warehouse_id, requested_at), lines
+    (request_id, line_no, product_id, quantity, unit_cost). A purchase is placed as a whole if all its lines are sound and its hub
+    has room for all of them at its turn. The first thing that is wrong is the reason: of the request, then of its
+    lines by number."""
+    owners = d["product"].select("product_id", F.col("supplier_id").alias("_owner"))
+    hubs = d["warehouse"].select("warehouse_id", F.lit(True).alias("_hub"))
+    asked = lines.join(requests.select("request_id", "supplier_id"), "request_id").join(owners, "product_id", "left")
+    bad = first_reason(
+        (F.col("_owner").isNull(), "unknown product"),
+        (~F.col("_owner").eqNullSafe(F.col("supplier_id")), "product of another supplier"),
+        (F.col("quantity").isNull() | (F.col("quantity") <= 0), "quantity not positive"),
+        (F.col("unit_cost").isNull() | (F.col("unit_cost") < 0), "negative cost"),
+        (F.col("line_no").isNull(), "no line number"),
+    )
+    per_request = asked.groupBy("request_id").agg(
+        F.min(F.when(bad.isNotNull(), F.struct("line_no", bad.alias("reason")))).alias("_bad"),
+        F.sum(F.col("quantity").cast("bigint")).alias("units"),
+    )
+    times = requests.groupBy("request_id").agg(F.count(F.lit(1)).alias("_times"))
+    checked = requests.join(times, "request_id", "left").join(per_request, "request_id", "left").join(hubs, "warehouse_id", "left").withColumn(
+        "reason",
+        F.coalesce(
+            first_reason(
+                (F.col("request_id").isNull(), "no request id"), (F.col("_times") > 1, "request id not unique"),
+                (F.col("_hub").isNull(), "unknown hub"), (F.col("requested_at").isNull(), "no time"), (F.col("units").isNull() & F.col("_bad").isNull(), "no lines"),
+            ),
+            F.col("_bad.reason"),
+        ),
+    )
+    checked = materialise(checked.select("request_id", "supplier_id", "warehouse_id", "requested_at", "units", "reason"), "purchase-requests")
+    turns = materialise(_numbered(_accepted(checked), F.lit(0), "turn"), "purchase-turns")
+    entries = turns.select(
+        F.col("turn").alias("request_id"), F.lit(1).alias("kind"), "warehouse_id", F.lit(None).cast("bigint").alias("product_id"), "units"
+    )
+    outcome = accepted_in_turn(entries, room_limits(d, "hub full")).withColumnRenamed("request_id", "turn")
+    turns = materialise(turns.join(outcome, "turn"), "purchase-outcome")
+    placed = materialise(_numbered(_accepted(turns), highest(d["purchase"], "purchase_id"), "purchase_id"), "placed-purchases")
+    kept = lines.join(placed.select("request_id", "purchase_id"), "request_id")
+    items = number_rows(kept, ["purchase_id", "line_no"], highest(d["purchase_item"], "purchase_item_id"), "purchase_item_id")
+    return PurchasePlacement(
+        placed.select("purchase_id", "supplier_id", "warehouse_id", F.col("requested_at").alias("purchase_date")),
+        items.select("purchase_item_id", "purchase_id", "product_id", "quantity", "unit_cost"),
+        _rejected(checked, "request_id").unionByName(_rejected(turns, "request_id")),
+    )
+
+
 # ---- transfers -----------------------------------------------------------------------
 
 
@@ -423,8 +498,8 @@ def generate_links(d: Domain, campaigns: DataFrame, seed: str) -> Links:
     Unknown or missing platforms are rejected.
 
     Codes are short, so with many links some coincide. Rather than drawing again until none does,
-    the n-th link of a code gets ``-n`` appended (n counts existing links too). The suffix makes
-    codes unique in one pass."""
+    further links of a code get ``-n`` appended, n going on from the highest one in use, whichever links
+    have been deleted since. The suffix makes codes unique in one pass."""
     drafts = campaigns.select("campaign_id", "product_id", F.explode_outer("platforms").alias("platform"))
     known = F.coalesce(F.col("platform").isin(*PLATFORMS), F.lit(False))
     rejected = drafts.where(~known).select(
@@ -432,12 +507,14 @@ def generate_links(d: Domain, campaigns: DataFrame, seed: str) -> Links:
     )
     code = C.short_code("platform", F.concat_ws("|", F.lit(seed), F.col("campaign_id"), F.col("platform")))
     drafts = drafts.where(known).withColumn("base", code)
+    in_use = F.regexp_extract("short_code", r"^([A-Z]+-[0-9A-F]{5})(-[0-9]+)?$", 1)
+    suffix = F.regexp_extract("short_code", r"^[A-Z]+-[0-9A-F]{5}-([0-9]{1,18})$", 1)
     taken = (
         d["tracking_link"]
-        .select(F.regexp_extract("short_code", r"^[A-Z]+-[0-9A-F]{5}", 0).alias("base"))
+        .select(in_use.alias("base"), F.coalesce(F.nullif(suffix, F.lit("")).cast("bigint"), F.lit(1)).alias("nth"))
         .where(F.col("base") != "")
         .groupBy("base")
-        .agg(F.count(F.lit(1)).alias("taken"))
+        .agg(F.max("nth").alias("taken"))
     )
     counted = running_total(drafts.withColumn("one", F.lit(1)), ["base"], ["campaign_id", "platform"], "one", out="nth").join(taken, "base", "left")
     nth = F.col("nth") + F.coalesce("taken", F.lit(0))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from depotwise.functions import columns as C
 from depotwise.operators import tables
@@ -179,3 +180,47 @@ def top_products(d: Domain, limit: int = 5) -> DataFrame:
         .agg(F.sum("u").alias("units"), F.sum("r").cast("decimal(31,2)").alias("revenue"))
     )
     return tables.top(by_name, limit, F.col("revenue").desc(), F.col("name").asc())
+
+
+ORDER_WITH_ITEMS = (
+    "order_id bigint, order_date timestamp_ntz, customer struct<customer_id: bigint, name: string>, total decimal(31,2), "
+    "items array<struct<order_item_id: bigint, product_id: bigint, name: string, quantity: int, unit_price: decimal(10,2)>>"
+)
+
+
+def orders_with_items(d: Domain) -> DataFrame:
+    """Every order as one nested row (``ORDER_WITH_ITEMS``): its customer, and its items in line order; an order
+    without items has an empty array. An array is as long as the order."""
+    products = d["product"].select("product_id", "name")
+    item = F.struct("order_item_id", "product_id", "name", "quantity", "unit_price")
+    amount = C.line_amount("quantity", "unit_price")
+    items = (
+        d["order_item"]
+        .join(products, "product_id", "left")
+        .groupBy("order_id")
+        .agg(F.sort_array(F.collect_list(item)).alias("items"), F.sum(amount).alias("total"))
+    )
+    customers = d["customer"].select("customer_id", F.struct("customer_id", "name").alias("customer"))
+    nested = (
+        d["order"]
+        .join(items, "order_id", "left")
+        .join(customers, "customer_id", "left")
+        .select("order_id", "order_date", "customer", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("items", F.array()).alias("items"))
+    )
+    return nested.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ORDER_WITH_ITEMS).fields])
+
+
+def store_orders_with_items(d: Domain, path: str) -> None:
+    orders_with_items(d).write.mode("overwrite").parquet(path)
+
+
+def read_orders_with_items(spark: SparkSession, path: str) -> DataFrame:
+    """Stored nested orders; a query of some fields of the items reads only these columns of the files."""
+    return spark.read.schema(ORDER_WITH_ITEMS).parquet(path)
+
+
+def items_of(nested: DataFrame) -> DataFrame:
+    """The items of nested orders as rows, with their place in the order."""
+    return nested.select("order_id", "order_date", F.col("customer.name").alias("customer_name"), "total", F.posexplode("items").alias("place", "item")).select(
+        "order_id", "order_date", "customer_name", "total", "place", "item.*"
+    )

@@ -46,6 +46,16 @@ def purchase_page(d: Domain, after: Sequence | None = None, size: int = PURCHASE
     return tables.page_after(purchase_history(d), ["purchase_date", "purchase_item_id"], size, after)
 
 
+def purchase_history_page(
+    d: Domain, as_of: Moment, sort: Sequence[tuple[str, bool]], text: str = "", days: int | None = None,
+    after: Sequence | None = None, size: int = PURCHASE_PAGE_SIZE,
+) -> DataFrame:
+    """One page of the history that a search and a range leave, in a chosen order. ``sort`` lists (column, descending);
+    the line's id is added, so that no two rows tie. ``after`` holds the last row's values of these columns and its id."""
+    rows = purchase_history_search(d, as_of, text, days)
+    return tables.page_by(rows, [*sort, ("purchase_item_id", False)], size, after)
+
+
 def purchase_export(history: DataFrame, path: str) -> None:
     rows = history.select(
         C.date_label("purchase_date"), "supplier_name", "warehouse_name", "product_name", "quantity",

@@ -54,8 +54,38 @@ def page_after(
     return top(df, size, *[F.col(c).desc() for c in order])
 
 
+def page_by(
+    df: DataFrame, sort: Sequence[tuple[str, bool]], size: int, after: Sequence | None = None
+) -> DataFrame:
+    """The next page of a listing in any order: ``sort`` names columns and whether each descends, the last one
+    unique. Text sorts without case, missing values come last in either direction. ``after`` holds the values of these
+    columns in the last row seen. Unless it is text, the first column's own bound reaches the scan."""
+    keys = [sort_key(df, name, descending) for name, descending in sort]
+    if after is not None:
+        # a row follows if it agrees on some first columns and comes later on the next
+        same, follows = F.lit(True), F.lit(False)
+        for i, ((name, descending), seen) in enumerate(zip(sort, after, strict=True)):
+            kind = df.schema[name].dataType
+            text = isinstance(kind, T.StringType)
+            value, last = (F.lower(F.col(name)) if text else F.col(name)), F.lit(seen).cast(kind)
+            last = F.lower(last) if text else last
+            if seen is None:
+                later = F.lit(False)
+                bound = value.isNull()
+            else:
+                later = F.coalesce(value < last if descending else value > last, F.lit(True))
+                bound = (value <= last if descending else value >= last) | value.isNull()
+            if i == 0 and not text:
+                df = df.where(bound)
+            follows = follows | (same & later)
+            same = same & value.eqNullSafe(last)
+        df = df.where(follows)
+    return top(df, size, *keys)
+
+
 def page_at(df: DataFrame, order: Sequence[str], size: int, offset: int) -> DataFrame:
-    """The page starting at a row offset, for callers that count rows instead of keeping a key."""
+    """The page starting at a row offset, for callers that count rows instead of keeping a key. One task holds
+    offset + size rows, so it is for the first pages; ``page_after`` and ``page_by`` cost the same for any page."""
     return df.orderBy(*[F.col(c).desc() for c in order]).offset(offset).limit(size)
 
 

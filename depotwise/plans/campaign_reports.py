@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from depotwise.operators import campaigns
+from depotwise.functions import columns as C
+from depotwise.operators import campaigns, tables
 from depotwise.plans.reports import Inputs, Report
 from depotwise.sources.star import AS_OF, StarTables
 
@@ -28,6 +29,12 @@ FAN_TOTALS = """count(DISTINCT click_id) AS total_clicks, count(DISTINCT f.order
     coalesce(sum(amount), 0)::DOUBLE AS total_revenue"""
 WEIGHTED = "SELECT *, revenue * greatest(clicks, 1) AS weighted FROM s_link"
 
+def _by_recency(x: Inputs):
+    """Page of campaigns, newest first, that reaches those without a date."""
+    rows = tables.page_by(x.domain["campaign"], [("start_date", True), ("campaign_id", False)], 40, ("2001-02-01", 0))
+    return rows.select("campaign_id", "start_date")
+
+
 REPORTS = {
     "campaign_revenue": Report(
         lambda x: campaigns.campaign_revenue(x.domain),
@@ -141,4 +148,16 @@ REPORTS = {
              (SELECT count(*) FROM d_click) AS clicks, (SELECT count(*) FROM d_shipment WHERE shipment_id NOT IN
                (SELECT shipment_id FROM d_shipment_status WHERE status = 'Delivered')) AS pending""",
     ),
+    "campaigns_by_recency": Report(
+        _by_recency,
+        """SELECT campaign_id, CAST(start_date AS VARCHAR) AS start_date FROM d_campaign
+           WHERE start_date <= DATE '2001-02-01' OR start_date IS NULL ORDER BY start_date DESC NULLS LAST, campaign_id LIMIT 40""",
+    ),
+    "campaign_file_names": Report(
+        lambda x: x.domain["campaign"].join(x.domain["product"].select("product_id", "name"), "product_id").select(
+            "campaign_id", C.slug(F.concat_ws(" / ", "campaign_name", "name")).alias("file_name")
+        ),
+        """SELECT campaign_id, trim(regexp_replace(lower(campaign_name || ' / ' || name), '[^a-z0-9]+', '-', 'g'), '-') AS file_name
+           FROM d_campaign JOIN d_product USING (product_id)""",
+    ),
 }

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from depotwise.plans import (
     campaign_reports,
+    change_reports,
     live_reports,
     mutation_reports,
+    order_path_reports,
     quality_reports,
     source_reports,
     sql_reports,
@@ -21,6 +23,8 @@ FAMILIES = (
     quality_reports,
     mutation_reports,
     live_reports,
+    order_path_reports,
+    change_reports,
     source_reports,
     sql_reports,
 )

@@ -1,13 +1,11 @@
-"""Streams run over the test tables until everything available is processed, and the sequential
-allocation of all order lines."""
+"""Streams run over the test tables until everything available is processed."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from depotwise.operators import allocation
 from depotwise.plans.reports import Inputs, Report
-from depotwise.sources.star import AGE_POLICY, AS_OF, star_domain
+from depotwise.sources.star import star_domain
 from depotwise.streaming import live, sinks
 
 
@@ -62,12 +60,6 @@ def _audit_stream(x: Inputs):
     return sinks.read_batches(x.spark, out, stream.schema).drop(sinks.BATCH)
 
 
-def _allocated(x: Inputs):
-    d = x.domain
-    lines = d["order_item"].join(d["order"].select("order_id", "order_date"), "order_id")
-    return allocation.allocate_orders(d, lines, AS_OF, AGE_POLICY)
-
-
 REPORTS = {
     "stream_click_counts": Report(
         _live_clicks,
@@ -89,6 +81,4 @@ REPORTS = {
              UNION ALL SELECT to_warehouse_id, product_id, quantity FROM d_stock_transfer) AS q GROUP BY 1, 2""",
     ),
     "stream_audit_trail": Report(_audit_stream, "SELECT * FROM d_audit_log"),
-    "allocate_orders": Report(lambda x: _allocated(x).lines, optional_ids=("warehouse_id",)),
-    "allocate_orders_inventory": Report(lambda x: _allocated(x).inventory),
 }

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotwise.functions import columns as C
 from depotwise.operators import mutations, routing
 from depotwise.plans.reports import Inputs, Report
 from depotwise.policy import PLATFORMS
 from depotwise.sources.star import AGE_POLICY, AS_OF, StarTables
 
-SINCE = "2001-06-01 00:00:00"
 NEW_CUSTOMERS = 10_000_000
 
 
@@ -50,8 +48,27 @@ def purchase_requests(x: Inputs) -> DataFrame:
     )
 
 
-def _recent(x: Inputs) -> DataFrame:
-    return x.domain["purchase"].where(F.col("purchase_date") >= C.moment(SINCE))
+def purchase_orders(x: Inputs) -> tuple[DataFrame, DataFrame]:
+    """A purchase of one to four lines for every purchase event, all of its supplier but for some."""
+    t = StarTables(x.spark, x.root)
+    suppliers, products = t.count("supplier"), t.count("part")
+    supplier = (F.col("user_id") * 7 + F.col("k")) % suppliers
+    requests = _events(x, "purchase").withColumn("supplier", supplier)
+    line = F.explode(F.sequence(F.lit(0), (F.col("event_id") % 4).cast("int"))).alias("line_no")
+    first = F.col("supplier") + suppliers * ((F.col("event_id") + F.col("line_no")) % max(products // suppliers, 1))
+    lines = requests.select("event_id", "k", "supplier", line).select(
+        F.col("event_id").alias("request_id"), "line_no",
+        (first + F.when((F.col("k") % 10 == 3) & (F.col("line_no") == 1), 1).otherwise(0) + 1).alias("product_id"),
+        ((F.col("k") + F.col("line_no") * 5) % 50 * 4).alias("quantity"), (F.col("k") - 2).cast("decimal(10,2)").alias("unit_cost"),
+    )
+    return requests.select(
+        F.col("event_id").alias("request_id"), (F.col("supplier") + 1).alias("supplier_id"), (F.col("event_id") % 6 + 1).alias("warehouse_id"), F.col("ts").alias("requested_at")
+    ), lines
+
+
+def _ordered(x: Inputs) -> DataFrame:
+    made = mutations.place_purchase_orders(x.domain, *purchase_orders(x))
+    return made.purchases.join(made.items, "purchase_id")
 
 
 def _placed(x: Inputs) -> DataFrame:
@@ -101,7 +118,7 @@ def _allocation(x: Inputs) -> DataFrame:
     return routing.pick_source_warehouse(x.domain, lines, AS_OF, AGE_POLICY)
 
 
-def _new_campaigns(x: Inputs) -> DataFrame:
+def new_campaigns(x: Inputs) -> DataFrame:
     chosen = F.slice(F.array(*[F.lit(p) for p in PLATFORMS]), 1, (F.col("product_id") % 5).cast("int"))
     return x.domain["product"].select(
         (F.col("product_id") + 1_000_000).alias("campaign_id"), "product_id", chosen.alias("platforms")
@@ -119,6 +136,16 @@ def guest_requests(x: Inputs) -> DataFrame:
     )
 
 
+def _audited(x: Inputs) -> DataFrame:
+    """Two whole inventories: all purchases have arrived again, every row has a twin that went and one that came."""
+    stock = x.domain["inventory"]
+    twins = lambda shift: stock.withColumn("inventory_id", F.col("inventory_id") + shift)
+    after = mutations.apply_purchases(x.domain, x.domain["purchase"])
+    return mutations.audit_diff(
+        stock.unionByName(twins(10**12)), after.unionByName(twins(2 * 10**12)), "inventory_id", "inventory", AS_OF
+    )
+
+
 def _edited(x: Inputs):
     d = x.domain
     edits = d["customer"].where(F.col("customer_id") % 4 == 0).select(
@@ -152,7 +179,7 @@ MUTATION_TABLES = {
         FROM (SELECT *, (event_id * 37 + k) % (SELECT count(*) FROM part) AS p FROM e_events
               WHERE event_type = 'purchase') AS e) AS q""",
     "e_recent": """SELECT purchase_id, warehouse_id, product_id, sum(quantity) AS units FROM d_purchase
-        JOIN d_purchase_item USING (purchase_id) WHERE purchase_date >= TIMESTAMP '2001-06-01 00:00:00' GROUP BY 1, 2, 3""",
+        JOIN d_purchase_item USING (purchase_id) GROUP BY 1, 2, 3""",
     "e_bought": """SELECT *, row_number() OVER (PARTITION BY warehouse_id ORDER BY ts, request_id) AS nth
         FROM e_buys WHERE reason IS NULL""",
     "e_filled": """SELECT warehouse_id, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS request_id, CAST(used AS BIGINT) AS used,
@@ -182,6 +209,72 @@ MUTATION_TABLES = {
     "e_fresh": """SELECT *, (SELECT max(customer_id) FROM d_customer) + row_number() OVER (ORDER BY request_id) AS customer_id
         FROM (SELECT contact, min(request_id) AS request_id, arg_min(name, request_id) AS name FROM e_guests
               WHERE contact NOT IN (SELECT contact FROM d_customer WHERE contact IS NOT NULL) GROUP BY 1) AS f""",
+    "w_lines": """SELECT event_id AS request_id, ts, supplier, event_id % 6 + 1 AS warehouse_id, line_no, supplier + {n} * ((event_id + line_no)
+            % greatest((SELECT count(*) FROM part) // {n}, 1)) + CASE WHEN k % 10 = 3 AND line_no = 1 THEN 1 ELSE 0 END + 1 AS product_id,
+          (k + line_no * 5) % 50 * 4 AS quantity, k - 2 AS unit_cost
+        FROM (SELECT *, (user_id * 7 + k) % {n} AS supplier, unnest(range(event_id % 4 + 1)) AS line_no FROM e_events WHERE event_type = 'purchase') AS e""",
+    "w_requests": """SELECT request_id, ts, supplier, warehouse_id, sum(quantity)::BIGINT AS units, CASE WHEN warehouse_id = 6 THEN 'unknown hub'
+          ELSE arg_min(bad, line_no) END AS reason
+        FROM (SELECT *, CASE WHEN product_id > (SELECT count(*) FROM part) THEN 'unknown product'
+                WHEN (product_id - 1) % {n} <> supplier THEN 'product of another supplier'
+                WHEN quantity = 0 THEN 'quantity not positive' WHEN unit_cost < 0 THEN 'negative cost' END AS bad FROM w_lines) AS q
+        GROUP BY 1, 2, 3, 4""",
+    "w_turns": """SELECT *, row_number() OVER (PARTITION BY warehouse_id ORDER BY ts, request_id) AS nth FROM w_requests WHERE reason IS NULL""",
+    "w_filled": """SELECT warehouse_id, CAST(0 AS BIGINT) AS nth, CAST(used AS BIGINT) AS used, true AS fits, capacity_units FROM s_fill
+        UNION ALL SELECT f.warehouse_id, t.nth, CASE WHEN f.used + units <= capacity_units THEN f.used + units ELSE f.used END,
+          f.used + units <= capacity_units, capacity_units
+        FROM w_filled AS f JOIN w_turns AS t ON t.warehouse_id = f.warehouse_id AND t.nth = f.nth + 1""",
+    "w_placed": """SELECT t.*, (SELECT max(purchase_id) FROM d_purchase) + row_number() OVER (ORDER BY ts, request_id) AS purchase_id
+        FROM w_turns AS t JOIN w_filled USING (warehouse_id, nth) WHERE fits""",
+    "y_turns": """SELECT *, row_number() OVER (PARTITION BY warehouse_id ORDER BY purchase_date, purchase_id) AS nth
+        FROM (SELECT purchase_id, warehouse_id, purchase_date, sum(quantity)::BIGINT AS units FROM d_purchase JOIN d_purchase_item USING (purchase_id)
+              GROUP BY ALL) AS q""",
+    "y_filled": """SELECT warehouse_id, CAST(0 AS BIGINT) AS nth, CAST(used AS BIGINT) AS used, true AS fits, capacity_units FROM s_fill
+        UNION ALL SELECT f.warehouse_id, t.nth, CASE WHEN f.used + units <= capacity_units THEN f.used + units ELSE f.used END,
+          f.used + units <= capacity_units, capacity_units
+        FROM y_filled AS f JOIN y_turns AS t ON t.warehouse_id = f.warehouse_id AND t.nth = f.nth + 1""",
+    "y_received": "SELECT purchase_id, fits FROM y_turns JOIN y_filled USING (warehouse_id, nth)",
+    # turns of a batch, one after another: `room` holds every stock row (in place (product - 1) * hubs + hub), then every hub's free room
+    "v_size": "SELECT count(*) * {h} AS size FROM part",
+    "v_room": """SELECT list(room ORDER BY place) AS room FROM (
+        SELECT place, coalesce(i.quantity, 0)::BIGINT AS room FROM (SELECT unnest(range(1, size + 1)) AS place FROM v_size) AS p
+        LEFT JOIN (SELECT (product_id - 1) * {h} + warehouse_id AS place, quantity FROM d_inventory) AS i USING (place)
+        UNION ALL SELECT size + warehouse_id, (capacity_units - used)::BIGINT FROM s_fill, v_size) AS q""",
+    "v_bought": """SELECT purchase_id, (product_id - 1) * {h} + warehouse_id AS place, warehouse_id, product_id, sum(quantity)::BIGINT AS units
+        FROM d_purchase JOIN d_purchase_item USING (purchase_id) GROUP BY ALL""",
+    "v_reversals": """SELECT purchase_id, list(place ORDER BY place) AS places, list(units ORDER BY place) AS units,
+        row_number() OVER (ORDER BY purchase_id) AS n FROM v_bought GROUP BY 1""",
+    "v_reversed": """SELECT CAST(0 AS BIGINT) AS n, room, true AS granted FROM v_room
+        UNION ALL SELECT n, CASE WHEN granted THEN list_transform(room, lambda u, i: u - coalesce(units[list_position(places, i)], 0)) ELSE room END, granted
+        FROM (SELECT r.n, s.room, r.places, r.units, list_min(list_transform(r.places, lambda p, i: s.room[p] - r.units[i])) >= 0 AS granted
+              FROM v_reversed AS s JOIN v_reversals AS r ON r.n = s.n + 1) AS q""",
+    "v_undone": "SELECT purchase_id, granted FROM v_reversals JOIN v_reversed USING (n)",
+    "v_moves": """SELECT *, CASE WHEN units <= 0 THEN 'quantity not positive' WHEN source = target THEN 'same hub' END AS bad FROM (
+        SELECT inventory_id * 2 + turn AS request_id, product_id, warehouse_id AS source,
+          CASE WHEN product_id % 23 = 0 THEN warehouse_id ELSE warehouse_id % {h} + 1 END AS target,
+          CASE WHEN turn = 0 THEN quantity // 2 WHEN product_id % 10 = 0 THEN quantity ELSE quantity // 3 END AS units
+        FROM d_inventory, (VALUES (0), (1)) AS turns(turn)) AS m""",
+    "v_turns": "SELECT *, row_number() OVER (ORDER BY request_id) AS n FROM v_moves WHERE bad IS NULL",
+    "v_moved": """SELECT CAST(0 AS BIGINT) AS n, room, CAST(NULL AS VARCHAR) AS reason FROM v_room
+        UNION ALL SELECT n, CASE WHEN reason IS NOT NULL THEN room ELSE list_transform(room, lambda u, i: u + CASE
+            WHEN i = place + source OR i = size + target THEN -units WHEN i = place + target OR i = size + source THEN units ELSE 0 END) END, reason
+        FROM (SELECT t.n, s.room, t.source, t.target, t.units, z.size, (t.product_id - 1) * {h} AS place,
+                CASE WHEN s.room[(t.product_id - 1) * {h} + t.source] < t.units THEN 'not enough stock'
+                     WHEN s.room[z.size + t.target] < t.units THEN 'destination full' END AS reason
+              FROM v_moved AS s JOIN v_turns AS t ON t.n = s.n + 1, v_size AS z) AS q""",
+    "v_granted": """SELECT t.*, sum(units) OVER (PARTITION BY source, product_id ORDER BY request_id) AS hi
+        FROM v_turns AS t JOIN v_moved USING (n) WHERE reason IS NULL""",
+    "v_held": """SELECT warehouse_id, product_id, received_date, units, sum(units) OVER (PARTITION BY warehouse_id, product_id
+        ORDER BY received_date) AS hi FROM (SELECT warehouse_id, product_id, received_date, sum(units) AS units
+          FROM s_aged GROUP BY 1, 2, 3) AS g""",
+    "v_pieces": """SELECT g.request_id, g.source, g.target, g.product_id, h.received_date AS origin_date,
+          least(g.hi, h.hi) - greatest(g.hi - g.units, h.hi - h.units) AS units
+        FROM v_granted AS g JOIN v_held AS h ON h.warehouse_id = g.source AND h.product_id = g.product_id
+         AND greatest(g.hi - g.units, h.hi - h.units) < least(g.hi, h.hi)""",
+    "v_transfers": """SELECT source, target, product_id, origin_date, units FROM v_pieces
+        UNION ALL SELECT g.source, g.target, g.product_id, {as_of}, g.units - coalesce(p.units, 0) FROM v_granted AS g
+        LEFT JOIN (SELECT request_id, sum(units) AS units FROM v_pieces GROUP BY 1) AS p USING (request_id)
+        WHERE g.units > coalesce(p.units, 0)""",
 }
 
 
@@ -191,14 +284,44 @@ def _report(build, sql: str | None = None, optional_ids: tuple[str, ...] = ()) -
 
 REPORTS = {
     "apply_purchases": _report(
-        lambda x: mutations.apply_purchases(x.domain, _recent(x)).drop("inventory_id"),
+        lambda x: mutations.apply_purchases(x.domain, x.domain["purchase"]).drop("inventory_id"),
         """SELECT warehouse_id, product_id, sum(units)::BIGINT AS quantity FROM (
              SELECT warehouse_id, product_id, quantity AS units FROM d_inventory
              UNION ALL SELECT warehouse_id, product_id, units FROM e_recent) AS q GROUP BY 1, 2""",
     ),
-    # the turns of a batch go through every stock row and hub in one sequence: no SQL, tests replay them
-    "reverse_purchases": _report(lambda x: mutations.reverse_purchases(x.domain, x.domain["purchase"]).inventory),
-    "reverse_purchases_rejected": _report(lambda x: mutations.reverse_purchases(x.domain, x.domain["purchase"]).rejected),
+    "receive_purchases": _report(
+        lambda x: mutations.receive_purchases(x.domain, x.domain["purchase"]).inventory.drop("inventory_id"),
+        """SELECT warehouse_id, product_id, sum(units)::BIGINT AS quantity FROM (
+             SELECT warehouse_id, product_id, quantity AS units FROM d_inventory
+             UNION ALL SELECT warehouse_id, product_id, units FROM e_recent JOIN y_received USING (purchase_id) WHERE fits) AS q GROUP BY 1, 2""",
+    ),
+    "receive_purchases_rejected": _report(
+        lambda x: mutations.receive_purchases(x.domain, x.domain["purchase"]).rejected,
+        """SELECT purchase_id AS key, 'hub full' AS reason FROM y_received WHERE NOT fits
+           UNION ALL SELECT purchase_id, 'purchase without lines' FROM d_purchase WHERE purchase_id NOT IN (SELECT purchase_id FROM d_purchase_item)""",
+    ),
+    "place_purchase_orders": _report(
+        _ordered,
+        """SELECT purchase_id, p.supplier + 1 AS supplier_id, p.warehouse_id, p.ts AS purchase_date, (SELECT max(purchase_item_id) FROM d_purchase_item)
+             + row_number() OVER (ORDER BY purchase_id, line_no) AS purchase_item_id, product_id, quantity::BIGINT AS quantity, unit_cost::DOUBLE AS unit_cost
+           FROM w_placed AS p JOIN w_lines USING (request_id)""",
+    ),
+    "place_purchase_orders_rejected": _report(
+        lambda x: mutations.place_purchase_orders(x.domain, *purchase_orders(x)).rejected,
+        """SELECT request_id AS key, reason FROM w_requests WHERE reason IS NOT NULL
+           UNION ALL SELECT request_id, 'hub full' FROM w_turns JOIN w_filled USING (warehouse_id, nth) WHERE NOT fits""",
+    ),
+    "reverse_purchases": _report(
+        lambda x: mutations.reverse_purchases(x.domain, x.domain["purchase"]).inventory,
+        """SELECT inventory_id, warehouse_id, product_id, (i.quantity - coalesce(b.units, 0))::BIGINT AS quantity
+           FROM d_inventory AS i LEFT JOIN (SELECT warehouse_id, product_id, sum(units) AS units FROM v_bought
+             JOIN v_undone USING (purchase_id) WHERE granted GROUP BY 1, 2) AS b USING (warehouse_id, product_id)""",
+    ),
+    "reverse_purchases_rejected": _report(
+        lambda x: mutations.reverse_purchases(x.domain, x.domain["purchase"]).rejected,
+        """SELECT purchase_id AS key, 'stock already sold or moved' AS reason FROM v_undone WHERE NOT granted
+           UNION ALL SELECT purchase_id, 'purchase without lines' FROM d_purchase WHERE purchase_id NOT IN (SELECT purchase_id FROM v_bought)""",
+    ),
     "place_orders": _report(
         _placed,
         """SELECT order_id, customer_id, ts AS order_date, product_id, quantity::BIGINT AS quantity,
@@ -220,9 +343,23 @@ REPORTS = {
         """SELECT request_id AS key, reason FROM e_buys WHERE reason IS NOT NULL
            UNION ALL SELECT request_id, 'hub full' FROM e_filled WHERE NOT fits""",
     ),
-    "transfer_stock": _report(lambda x: _transfers(x).transfers.drop("transfer_id")),
-    "transfer_stock_inventory": _report(lambda x: _transfers(x).inventory.drop("inventory_id")),
-    "transfer_stock_rejected": _report(lambda x: _transfers(x).rejected),
+    "transfer_stock": _report(
+        lambda x: _transfers(x).transfers.drop("transfer_id"),
+        """SELECT source AS from_warehouse_id, target AS to_warehouse_id, product_id, units::BIGINT AS quantity,
+             {as_of} AS transfer_date, origin_date FROM v_transfers""",
+    ),
+    "transfer_stock_inventory": _report(
+        lambda x: _transfers(x).inventory.drop("inventory_id"),
+        """SELECT warehouse_id, product_id, sum(units)::BIGINT AS quantity FROM (
+             SELECT warehouse_id, product_id, quantity AS units FROM d_inventory
+             UNION ALL SELECT source, product_id, -units FROM v_granted
+             UNION ALL SELECT target, product_id, units FROM v_granted) AS q GROUP BY 1, 2""",
+    ),
+    "transfer_stock_rejected": _report(
+        lambda x: _transfers(x).rejected,
+        """SELECT request_id AS key, bad AS reason FROM v_moves WHERE bad IS NOT NULL
+           UNION ALL SELECT request_id, reason FROM v_turns JOIN v_moved USING (n) WHERE reason IS NOT NULL""",
+    ),
     "create_shipments": _report(
         lambda x: mutations.create_shipments(
             x.domain, mutations.place_orders(x.domain, order_requests(x)).orders
@@ -257,7 +394,7 @@ REPORTS = {
            FROM d_shipment_status AS t JOIN d_shipment AS s USING (shipment_id) LEFT JOIN e_stamps AS e USING (order_id)""",
     ),
     "generate_links": _report(
-        lambda x: mutations.generate_links(x.domain, _new_campaigns(x), "spring").links,
+        lambda x: mutations.generate_links(x.domain, new_campaigns(x), "spring").links,
         """SELECT (SELECT max(link_id) FROM d_tracking_link) + row_number() OVER (ORDER BY campaign_id, platform) AS link_id, campaign_id, platform, base || CASE WHEN nth = 1 THEN '' ELSE '-' || nth END AS short_code,
              '/storefront/product.html?product=' || product_id AS destination_url FROM e_codes""",
     ),
@@ -282,17 +419,11 @@ REPORTS = {
            WHERE doomed AND customer_id IN (SELECT customer_id FROM e_used)""",
     ),
     "audit_diff": _report(
-        lambda x: mutations.audit_diff(
-            x.domain["inventory"].where(F.col("quantity") > 0),
-            mutations.apply_purchases(x.domain, _recent(x)).where(F.col("product_id") % 7 != 0),
-            "inventory_id", "inventory", AS_OF,
-        ),
-        """SELECT 'inventory' AS table_name, CASE WHEN NOT before THEN 'INSERT' WHEN NOT after THEN 'DELETE' ELSE 'UPDATE' END
-             AS operation, inventory_id AS record_id, {as_of} AS log_time
-           FROM (SELECT i.inventory_id, i.quantity > 0 AS before, product_id % 7 <> 0 AS after, r.units
-                 FROM d_inventory AS i LEFT JOIN (SELECT warehouse_id, product_id, sum(units) AS units FROM e_recent GROUP BY 1, 2)
-                   AS r USING (warehouse_id, product_id)) AS q
-           WHERE (before OR after) AND NOT (before AND after AND units IS NULL)""",
+        _audited,
+        """SELECT 'inventory' AS table_name, 'UPDATE' AS operation, inventory_id AS record_id, {as_of} AS log_time
+           FROM d_inventory WHERE (warehouse_id, product_id) IN (SELECT (warehouse_id, product_id) FROM e_recent)
+           UNION ALL SELECT 'inventory', 'DELETE', inventory_id + 1000000000000, {as_of} FROM d_inventory
+           UNION ALL SELECT 'inventory', 'INSERT', inventory_id + 2000000000000, {as_of} FROM d_inventory""",
     ),
     "backdate": _report(
         lambda x: mutations.backdate(

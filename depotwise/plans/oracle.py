@@ -89,11 +89,9 @@ _TABLES = {
         CASE WHEN step >= 2 THEN 'Customer Area' WHEN o_orderkey % 89 = 0 THEN NULL
              WHEN o_orderkey % 97 = 0 THEN 'Multiple hubs' ELSE w.name END AS location, steps.status,
         o_orderdate + to_days(CAST(o_orderkey % 3 + step // 2 * 2 AS INTEGER)) AS updated_time
-        FROM orders
-        JOIN (VALUES (0, 'Packed'), (1, 'In Transit'), (2, 'Out For Delivery'), (3, 'Delivered'))
-             AS steps(step, status)
-          ON step < CASE WHEN o_orderstatus = 'F' THEN 4 WHEN o_orderstatus = 'O' THEN 2
-                         WHEN o_orderpriority = '5-LOW' THEN 0 ELSE 1 END
+        FROM (SELECT *, ['Packed', 'In Transit', 'Out For Delivery', 'Delivered'][step + 1] AS status
+          FROM (SELECT o_orderkey, o_orderdate, unnest(range(CASE WHEN o_orderstatus = 'F' THEN 4 WHEN o_orderstatus = 'O' THEN 2
+                  WHEN o_orderpriority = '5-LOW' THEN 0 ELSE 1 END)) AS step FROM orders) AS s) AS steps
         JOIN d_warehouse AS w ON w.warehouse_id = o_orderkey % {h} + 1""",
     "d_audit_log": """SELECT event_id AS log_id,
         CASE user_id % 3 WHEN 0 THEN 'order' WHEN 1 THEN 'inventory' ELSE 'purchase' END AS table_name,
@@ -171,6 +169,6 @@ def with_tables(body: str, hub: str = "region", extra: dict[str, str] | None = N
     fill = lambda text: text.format(**values) if "{" in text else text
     # what is named more than once is computed once
     uses = lambda name: sum(len(re.findall(rf"\b{name}\b", text)) for text in [body, *(texts[t] for t in ordered)])
-    how = lambda name: "MATERIALIZED " if uses(name) > 1 and name not in texts[name] else ""
+    how = lambda name: "MATERIALIZED " if (uses(name) > 1 or name == "s_latest") and name not in texts[name] else ""
     ctes = ",\n".join(f"{name} AS {how(name)}({fill(texts[name])})" for name in ordered)
     return (f"WITH RECURSIVE {ctes}\n" if ctes else "") + fill(body)

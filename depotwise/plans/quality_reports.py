@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from depotwise.operators import mutations, quality
+from depotwise.plans.mutation_reports import new_campaigns
 from depotwise.plans.reports import Inputs, Report
 
 
@@ -113,8 +114,7 @@ REPORTS = {
     ),
     "capacity_breaches": Report(
         lambda x: quality.capacity_breaches(
-            x.domain, mutations.apply_deltas(x.domain["inventory"], mutations.purchase_deltas(
-                x.domain, x.domain["purchase"].where(F.col("purchase_date") >= F.lit("2001-06-01").cast("timestamp_ntz"))))
+            x.domain, mutations.apply_purchases(x.domain, x.domain["purchase"])
         ),
         """SELECT r.warehouse_id, r.product_id, f.capacity_units::BIGINT AS capacity_units, f.used::BIGINT AS used_units,
              greatest(f.capacity_units - f.used, 0)::BIGINT AS free_units, r.units::BIGINT AS added_units
@@ -123,8 +123,7 @@ REPORTS = {
         hub="supplier",
         tables={
             "t_rise": """SELECT h.warehouse_id, i.product_id, sum(i.quantity) AS units FROM d_purchase AS h
-              JOIN d_purchase_item AS i USING (purchase_id) WHERE h.purchase_date >= TIMESTAMP '2001-06-01 00:00:00'
-              GROUP BY 1, 2"""
+              JOIN d_purchase_item AS i USING (purchase_id) GROUP BY 1, 2"""
         },
     ),
     "request_rules": Report(
@@ -141,6 +140,11 @@ REPORTS = {
              UNION ALL SELECT order_item_id, 'whole cost' FROM d_order_item WHERE unit_price <> floor(unit_price)
              UNION ALL SELECT order_item_id, 'non-negative cost' FROM d_order_item WHERE unit_price < 1000) AS q""",
     ),
+    "campaign_request_rules": Report(
+        lambda x: quality.request_violations(new_campaigns(x), "campaign_id", platforms="platforms"),
+        """SELECT 'at least one platform' AS rule, 'request' AS "table", CAST(product_id + 1000000 AS VARCHAR) AS key, '' AS detail
+           FROM d_product WHERE product_id % 5 = 0""",
+    ),
     "negative_balances": Report(
         lambda x: quality.negative_balances(x.domain),
         """SELECT warehouse_id, product_id, day::VARCHAR AS day, balance::BIGINT AS balance FROM (

@@ -41,4 +41,18 @@ REPORTS = {
         """SELECT c.warehouse_id, f.name AS warehouse_name, c.on_hand::BIGINT AS on_hand, c.on_hand >= 20 AS can_fulfil
            FROM s_candidates AS c JOIN s_fill AS f USING (warehouse_id) WHERE c.product_id = 7""",
     ),
+    "sql_campaign_revenue": Report(
+        _asked("SELECT campaign_id, campaign_revenue(campaign_id) AS revenue FROM campaign_revenues UNION ALL SELECT -1, campaign_revenue(-1)"),
+        """SELECT campaign_id, sum(revenue)::DOUBLE AS revenue FROM s_link GROUP BY 1 UNION ALL SELECT -1, 0""",
+    ),
+    "sql_pick_source_warehouse": Report(
+        _asked(
+            """SELECT product_id, need, pick_source_warehouse(product_id, need) AS warehouse_id
+               FROM (SELECT product_id, CAST(product_id % 60 + 1 AS INT) AS need FROM hub_stock GROUP BY product_id)"""
+        ),
+        """SELECT product_id, product_id % 60 + 1 AS need, arg_max(warehouse_id, (surcharge, oldest, on_hand, -warehouse_id))
+             FILTER (on_hand >= product_id % 60 + 1)::DOUBLE AS warehouse_id
+           FROM s_candidates GROUP BY product_id""",
+        optional_ids=("warehouse_id",),
+    ),
 }

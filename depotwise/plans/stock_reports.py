@@ -9,10 +9,9 @@ from depotwise.plans.reports import Inputs, Report
 from depotwise.sources.star import AGE_POLICY, AS_OF, RENT_POLICY
 
 
-def _recent_purchases(x: Inputs):
+def _arrivals(x: Inputs):
     d = x.domain
-    recent = d["purchase"].where(F.col("purchase_date") >= F.lit("2001-06-01").cast("timestamp_ntz"))
-    return d["purchase_item"].join(recent, "purchase_id").select("warehouse_id", "product_id", "quantity")
+    return d["purchase_item"].join(d["purchase"], "purchase_id").select("warehouse_id", "product_id", "quantity")
 
 
 def _order_lines(x: Inputs):
@@ -196,12 +195,12 @@ REPORTS = {
            WHERE coalesce(i.quantity, 0) <> coalesce(m.units, 0)""",
     ),
     "capacity_headroom": Report(
-        lambda x: stock.capacity_headroom(x.domain, _recent_purchases(x)),
+        lambda x: stock.capacity_headroom(x.domain, _arrivals(x)),
         """SELECT f.warehouse_id, f.name, f.capacity_units::BIGINT AS capacity_units, f.used::BIGINT AS used_units,
              greatest(f.capacity_units - f.used, 0)::BIGINT AS free_units, sum(i.quantity)::BIGINT AS incoming_units,
              f.used + sum(i.quantity) <= f.capacity_units AS fits
            FROM s_fill AS f JOIN d_purchase AS h USING (warehouse_id) JOIN d_purchase_item AS i USING (purchase_id)
-           WHERE h.purchase_date >= TIMESTAMP '2001-06-01 00:00:00' GROUP BY f.warehouse_id, f.name, f.capacity_units, f.used""",
+           GROUP BY f.warehouse_id, f.name, f.capacity_units, f.used""",
         hub="supplier",
     ),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from depotwise.operators import orders, purchasing, shipping, tables
 from depotwise.plans.reports import Inputs, Report
+from depotwise.session import work_path
 from depotwise.sources.star import AS_OF
 
 
@@ -32,6 +33,40 @@ def _next_page(x: Inputs):
     return purchasing.purchase_page(x.domain, after=("2001-07-30 00:00:00", 0))
 
 
+# (sort, search, days back, last row seen, SQL of the rows that follow, SQL order)
+PAGES = {
+    "date": (
+        [("purchase_date", True)], "", None, ("2001-05-30 00:00:00", 0), "purchase_date <= TIMESTAMP '2001-05-30 00:00:00'",
+        "purchase_date DESC",
+    ),
+    "supplier": (
+        [("supplier_name", False), ("quantity", True)], "asia", 730, ("supplier#000000003", 17, 0),
+        """contains(lower(supplier_name || '|' || warehouse_name || '|' || product_name), 'asia') AND purchase_date >= {as_of} - to_days(730)
+           AND (lower(supplier_name) > 'supplier#000000003' OR lower(supplier_name) = 'supplier#000000003' AND quantity <= 17)""",
+        "lower(supplier_name), quantity DESC",
+    ),
+    "cost": (
+        [("total_cost", True), ("product_name", False)], "", 1000, ("40000.00", "M", 5),
+        """purchase_date >= {as_of} - to_days(1000) AND (total_cost < 40000 OR total_cost = 40000 AND lower(product_name) > 'm')""",
+        "total_cost DESC, lower(product_name)",
+    ),
+}
+
+
+def _page(name: str) -> Report:
+    sort, text, days, after, follows, order = PAGES[name]
+    return Report(
+        lambda x: purchasing.purchase_history_page(x.domain, AS_OF, sort, text, days, after),
+        f"SELECT * FROM t_history WHERE {follows} ORDER BY {order}, purchase_item_id LIMIT 100", tables={"t_history": HISTORY},
+    )
+
+
+def _nested(x: Inputs):
+    path = work_path(x.spark, "nested-orders")
+    orders.store_orders_with_items(x.domain, path)
+    return orders.items_of(orders.read_orders_with_items(x.spark, path))
+
+
 HISTORY = """SELECT i.purchase_item_id, i.purchase_id, h.purchase_date, s.name AS supplier_name,
     w.name AS warehouse_name, p.name AS product_name, i.quantity::BIGINT AS quantity,
     i.unit_cost::DOUBLE AS unit_cost, (i.quantity * i.unit_cost)::DOUBLE AS total_cost
@@ -57,6 +92,14 @@ REPORTS = {
            AND contains(lower(supplier_name || '|' || warehouse_name || '|' || product_name), 'asia')""",
         tables={"t_history": HISTORY},
     ),
+    **{f"purchase_history_by_{name}": _page(name) for name in PAGES},
+    "orders_with_items": Report(
+        _nested,
+        """SELECT order_id, order_date, c.name AS customer_name, sum(quantity * unit_price) OVER (PARTITION BY order_id)::DOUBLE AS total,
+             row_number() OVER (PARTITION BY order_id ORDER BY order_item_id, product_id, p.name, quantity, unit_price) - 1 AS place,
+             order_item_id, product_id, p.name AS name, quantity::BIGINT AS quantity, unit_price::DOUBLE AS unit_price
+           FROM d_order JOIN d_customer AS c USING (customer_id) JOIN d_order_item USING (order_id) JOIN d_product AS p USING (product_id)""",
+    ),
     "purchase_page": Report(
         _next_page,
         """SELECT * FROM t_history WHERE purchase_date < TIMESTAMP '2001-07-30 00:00:00'

@@ -21,8 +21,10 @@ SETTINGS = {
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A single-machine session for tests and the bench."""
+def local_session(
+    cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g", folder: str | None = None
+) -> SparkSession:
+    """A single-machine session for tests and the bench. `folder` takes the written intermediates."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("depotwise")
@@ -31,6 +33,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
+    if folder is not None:
+        builder = builder.config(CHECKPOINT_KEY, folder)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -46,14 +50,33 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="depotwise-")
-    spark.conf.set(CHECKPOINT_KEY, path)
-    return path
+    # the setting is fixed once a session runs, so the folder is kept where Spark keeps the one set at run time
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="depotwise-"))
+    return context.getCheckpointDir()
+
+
+WRITTEN: dict[str, list[str]] = {}  # paths by application
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all intermediates that this application has written; nothing made from them may be in use any more.
+    Returns how many there were."""
+    paths = WRITTEN.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = hadoop.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

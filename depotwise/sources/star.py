@@ -50,11 +50,10 @@ SCHEMAS = {
 class StarTables:
     """Column-pruned readers over one directory of the test tables."""
 
-    _counts: dict[str, int] = {}
-
     def __init__(self, spark: SparkSession, root: str, streamed: tuple[str, ...] = ()):
         self.spark, self.root, self.streamed = spark, root, streamed
         self._frames: dict[str, DataFrame] = {}
+        self._counts: dict[str, int] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}.parquet"
@@ -69,7 +68,7 @@ class StarTables:
         return self._frames[name]
 
     def count(self, name: str) -> int:
-        """Rows of a (read-only) dimension table, answered from file footers once per path. As a
+        """Rows of a (read-only) dimension table, answered from file footers. As a
         literal it folds into every expression that spreads keys over hubs or suppliers."""
         path = self.path(name)
         if path not in self._counts:

@@ -9,10 +9,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    from depotwise.session import local_session
+    from depotwise.session import local_session, release
 
     session = local_session(8, shuffle_partitions=2, memory="6g")
     yield session
+    release(session)
     session.stop()
 
 
