@@ -21,7 +21,8 @@ SHINGLE = 5
 CHUNKS, WIDTH = 21, 4
 COMPONENTS = CHUNKS * WIDTH
 RADIUS = 2 * CHUNKS - 1
-BLOCK = 512  # members of a bucket that are compared with each other in one row
+BLOCK = 512  # members of a key that are compared with each other in one row
+SLOTS = 1 << 20  # counters that order shingles by how common they are
 
 _SALTS = mix(np.arange(1, 2 * COMPONENTS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 FLIPS = (_SALTS[:COMPONENTS] >> np.uint64(32)).astype(np.uint32)
@@ -168,19 +169,69 @@ def confirmed(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(check, "a bigint, b bigint")
 
 
-def hits(x: pa.StructArray, y: pa.StructArray, start: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (smaller id, larger id) within RADIUS of members of `x` and `y`, of different components; with
-    `start` 1, `x` is `y` and each pair is met once."""
-    rows = codes(y.field("signature"))
-    ids, group = (y.field(f).to_numpy(zero_copy_only=False) for f in ("id", "component"))
-    own = codes(x.field("signature"))
-    own_ids, own_group = (x.field(f).to_numpy(zero_copy_only=False) for f in ("id", "component"))
-    for i in range(len(own_ids)):
-        skip = (i + 1) * start
-        h = (rows[skip:] != own[i]).sum(axis=1)
-        hit = np.flatnonzero((h <= RADIUS) & (group[skip:] != own_group[i])) + skip
+def rare_first(sets: DataFrame) -> np.ndarray:
+    """How many of `sets` (id, items) hold an item of each of SLOTS slots. Any order of items finds all pairs; one by
+    these counts puts what many texts share last."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, _ = byte_view(batch.column("items"))
+            slots, times = np.unique(items.view(np.uint64) % np.uint64(SLOTS), return_counts=True)
+            yield pa.record_batch([pa.array(slots.astype(np.int64)), pa.array(times)], names=["slot", "n"])
+
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    found = sets.select("items").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return counts
+
+
+def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id, size, short): the rarest items of each set of `sets` (id, items). Of two sets that reach the similarity,
+    the larger has an item among its n - ceil(p * n) + 1 rarest that the other has among its
+    n - ceil(2 * p / (1 + p) * n) + 1 rarest (`short`), since so many of its items are in the larger one."""
+    shared = sets.sparkSession.sparkContext.broadcast(rare_first(sets))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            data, offsets = byte_view(batch.column("items"))
+            items, ends = data.view(np.uint64), offsets // 8
+            keys, sizes, shorts = [], [], []
+            for start, stop in zip(ends[:-1], ends[1:], strict=True):
+                own = items[start:stop]
+                n = len(own)
+                long = n - -(-percent * n // 100) + 1
+                short = n - -(-2 * percent * n // (100 + percent)) + 1
+                keys.append(own[np.lexsort((own, counts[own % np.uint64(SLOTS)]))[:long]])
+                sizes.append(n)
+                shorts.append(np.arange(len(keys[-1])) < short)
+            times = [len(k) for k in keys]
+            ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), times)
+            keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+            shorts = np.concatenate(shorts) if shorts else np.empty(0, bool)
+            yield pa.record_batch(
+                [pa.array(keys.view(np.int64)), pa.array(ids), pa.array(np.repeat(np.array(sizes, np.int64), times)), pa.array(shorts)],
+                names=["key", "id", "size", "short"],
+            )
+
+    return sets.mapInArrow(emit, "key bigint, id bigint, size bigint, short boolean")
+
+
+def alike(members: pa.StructArray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (smaller id, larger id) of members of a key that are of different components, within RADIUS, near
+    enough in size, and share the key as its prefixes ask for."""
+    rows = codes(members.field("signature"))
+    ids, group, size, short, turn = (members.field(f).to_numpy(zero_copy_only=False) for f in ("id", "component", "size", "short", "turn"))
+    for i in range(len(ids)):
+        rest = slice(i + 1, None)
+        fits = (group[rest] != group[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
+        fits &= (short[rest] & (size[rest] <= size[i])) | (short[i] & (size[i] <= size[rest]))
+        # of two blocks only pairs between them, as each is compared with itself in a row of its own
+        fits &= (turn[rest] != turn[i]) | (turn[-1] == turn[0])
+        at = np.flatnonzero(fits) + i + 1
+        hit = at[(rows[at] != rows[i]).sum(axis=1) <= RADIUS]
         if len(hit):
-            yield np.minimum(ids[hit], own_ids[i]), np.maximum(ids[hit], own_ids[i])
+            yield np.minimum(ids[hit], ids[i]), np.maximum(ids[hit], ids[i])
 
 
 def pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -188,44 +239,32 @@ def pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-MEMBER = ("id", "component", "signature")
+MEMBER = ("turn", "id", "component", "size", "short", "signature")
 
 
-def within_buckets(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) within RADIUS among the members (key, id, component) of a key. Members are dealt to
-    blocks of about BLOCK; a row compares two blocks, and only pairs within the radius leave it."""
+def within_keys(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may be links among the members (key, id, size, short, component) of a key. Members are dealt
+    to blocks of about BLOCK; a row compares two blocks."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pair_batch([p for m in batch.column("members") for p in hits(m.values, m.values, 1)])
+            yield pair_batch([p for m in batch.column("members") for p in alike(m.values, percent)])
 
-    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y"))
+    blocks = members.groupBy("key").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y"), F.max("short").alias("any")
+    )
     dealt = (
-        members.join(blocks.where("x < y").drop("x", "y"), "key")
+        members.join(blocks.where("x < y and any").drop("x", "y", "any"), "key")
         .join(signed, "id")
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("turn", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
-    rows = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct(*MEMBER)).alias("members"))
+    rows = dealt.groupBy("key", F.least("turn", "other").alias("i"), F.greatest("turn", "other").alias("j")).agg(
+        F.sort_array(F.collect_list(F.struct(*MEMBER))).alias("members")
+    )
     return rows.select("members").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def across(outside: DataFrame, inside: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) within RADIUS of what is `outside` a component (home, id, component) and what is `inside`
-    it (home, id, component). Both sides are packed into blocks once; a row compares two blocks."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pair_batch([p for x, y in zip(batch.column("x"), batch.column("y"), strict=True) for p in hits(x.values, y.values)])
-
-    def packed(members: DataFrame, name: str) -> DataFrame:
-        sizes = members.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-        dealt = members.join(sizes, "home").join(signed, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        return dealt.groupBy("home", "block").agg(F.collect_list(F.struct(*MEMBER)).alias(name)).drop("block")
-
-    return packed(outside, "x").join(packed(inside, "y"), "home").select("x", "y").mapInArrow(compare, "a bigint, b bigint").distinct()
-
-
 @dataclass(frozen=True)
 class NearDuplicates:
     """One row per input row, and the links by which components were joined (between class representatives)."""
@@ -245,9 +284,10 @@ def near_duplicates(df: DataFrame, percent: int = 75) -> NearDuplicates:
        then on full sets, first in few coarse buckets and then, where that has not connected them, in
        those of the masked chunks. That links nearly all.
     2. Members of a bucket that are not in the component of a pivot are compared with that component
-       and with each other, on signatures in blocks; components are never compared inside.
-    No pair within the radius is missed unless both are connected already. The second step's work is the
-    product of a component and what is outside it in its buckets; no pair beyond the radius is a row.
+       and with each other, on signatures in blocks, where they share one of the rarest items of their sets as
+       every link does; components are never compared inside.
+    No link within the radius is missed. What leaves the second step are pairs that share rare items, have alike
+    sizes and are within the radius.
 
     Null or empty text: no shingles, alone. Null doc_id: a row with null component_id, kept. Rows with
     an equal doc_id count as one node. No rows: no rows. Other columns of `df` are ignored."""
@@ -281,7 +321,7 @@ def near_duplicates(df: DataFrame, percent: int = 75) -> NearDuplicates:
     found = materialise(confirmed(second, packed, percent), "links")
     links = links.union(found)
     named = materialise(connected(named, found), "named")
-    rest = materialise(remaining(apart, stars.select("a", "b"), named, signed), "rest")
+    rest = materialise(remaining(apart, stars.select("a", "b"), named, signed, packed, percent), "rest")
     found = materialise(confirmed(rest, packed, percent), "links")
     links = links.union(found)
     named = connected(named, found)
@@ -308,18 +348,23 @@ def unconnected(rows: DataFrame, named: DataFrame) -> DataFrame:
     return rows.join(named, "id").join(homes, "pivot").where(F.col("component") != F.col("home"))
 
 
-def remaining(apart: DataFrame, stars: DataFrame, named: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs within the radius that share a bucket and are not connected. apart: (key, id, pivot) that were
-    not connected when the pivots were compared; stars: (a, b) of a pivot and what it was compared with."""
+def remaining(apart: DataFrame, stars: DataFrame, named: DataFrame, signed: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
+    """Pairs that may be links and are not connected. apart: (key, id, pivot) that were
+    not connected when the pivots were compared; stars: (a, b) of a pivot and what it was compared with.
+
+    Whatever shares a bucket with a component that it is not in may still be linked to a member of it other than
+    the pivot, or to another such document. Both are met through the rarest items of their sets, so texts that
+    share a common passage only do not meet."""
     left = materialise(unconnected(stars.select(F.col("a").alias("pivot"), F.col("b").alias("id")), named), "left")
-    others = apart.select("key", "pivot", "id").join(left.select("pivot", "id", "component"), ["pivot", "id"]).select("key", "id", "component")
-    outside = left.select("home", "id", "component").distinct()
+    others = apart.select("key", "pivot", "id").join(left.select("pivot", "id"), ["pivot", "id"]).select("id")
     # a component of one has been compared with all it shares a bucket with
-    homes = outside.select(F.col("home").alias("component")).distinct()
+    homes = left.select(F.col("home").alias("component")).distinct()
     sizes = named.join(homes, "component", "left_semi").groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    inside = named.join(sizes, "component").select(F.col("component").alias("home"), "id", "component")
-    outside = outside.join(sizes.withColumnRenamed("component", "home"), "home", "left_semi")
-    return across(outside, inside, signed).union(within_buckets(others, signed)).distinct()
+    inside = named.join(sizes, "component", "left_semi").select("id")
+    asked = materialise(others.union(left.select("id")).union(inside).distinct(), "asked")
+    sets = materialise(packed.join(asked, "id", "left_semi").select("id", "items"), "asked-sets")
+    members = materialise(prefix_keys(sets, percent).join(named, "id"), "prefixes")
+    return within_keys(members, signed, percent)
 
 
 SQL = r"""
