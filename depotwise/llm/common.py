@@ -99,10 +99,28 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+SEED = np.uint64(0x5851F42D4C957F2D)
+
+
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of `data` on, as one number (what lies beyond its end is zero)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word of `data` (already in lower case) that depends on its bytes alone."""
-    hashes = PrefixHash(data).of(starts, ends - starts)
-    return mix(hashes ^ (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each word of `data` (already in lower case) that depends on its bytes alone. Eight bytes at a
+    time go through a bijection that spreads every bit, so unlike a polynomial it has no family of texts that
+    collide; two of n words do with a chance of n * n / 2**65."""
+    eights, lengths = eight_bytes(data), ends - starts
+    hashes = mix(SEED ^ (eights[starts] & LOW_BYTES[np.minimum(lengths, 8)]))
+    live, at = np.flatnonzero(lengths > 8), 8
+    while len(live):
+        left = lengths[live] - at
+        hashes[live] = mix(hashes[live] ^ (eights[starts[live] + at] & LOW_BYTES[np.minimum(left, 8)]))
+        live, at = live[left > 8], at + 8
+    return mix(hashes ^ lengths.astype(np.uint64))
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
