@@ -35,6 +35,10 @@ REPORT = frozenset("said says say called calls wrote writes quote quoted word te
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
+# Bounds of what a worker remembers, in bytes as Python keeps them.
+STEP_BYTES, WORD_BYTES, LONG_WORD = 12 << 20, 32 << 20, 64
+
+
 class Lexicon:
     """A trie of terms (whole words) and stems (beginnings of words).
 
@@ -63,6 +67,8 @@ class Lexicon:
                     self.ends[node] = (kind, sure)
         self.start = self.close({0: 0})
         self.steps: dict[tuple, tuple] = {}
+        self.states: dict[tuple, tuple] = {}
+        self.size = 0
 
     def close(self, state: dict[int, int]) -> tuple:
         """Adds the nodes that a missing letter leads to."""
@@ -99,7 +105,9 @@ class Lexicon:
             after = self.steps.get((state, c))
             if after is None:
                 after = self.step(state, c)
-                if len(self.steps) < 200_000:
+                if self.size < STEP_BYTES:
+                    self.size += 200 + (0 if after in self.states else 120 * len(after))
+                    after = self.states.setdefault(after, after)
                     self.steps[state, c] = after
             if not after:
                 return None
@@ -118,12 +126,15 @@ STRENGTH = 1.0  # of the pull towards PRIOR
 
 
 class Words:
-    """This worker's memory of which words are near a lexicon term."""
-
-    LIMIT = 400_000
+    """This worker's memory of which words are near a lexicon term, of about WORD_BYTES at most. A partition that
+    ends empties it, since the worker goes on to other work."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.known = lexicon, {}
+        self.lexicon, self.known, self.size = lexicon, {}, 0
+
+    def clear(self) -> None:
+        self.known.clear()
+        self.size = 0
 
     def look(self, words: list[str]) -> list:
         known = self.known
@@ -136,9 +147,11 @@ class Words:
                     if value == 0:
                         core = EDGES.sub("", word)
                         value = self.lexicon.match(core) if core else None
-                        if len(known) >= self.LIMIT:
-                            known.clear()
-                        known[word] = value
+                        if len(word) <= LONG_WORD:
+                            if self.size > WORD_BYTES:
+                                self.clear()
+                            known[word] = value
+                            self.size += 170 + len(word)
                     found[i] = value
         return found
 
@@ -297,6 +310,7 @@ def train(df: DataFrame, labels: DataFrame) -> Model:
         for batch in batches:
             made = [features(t, memory) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([pa.array(made, pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
+        memory.clear()
 
     sample = rows.mapInArrow(describe, "x array<double>, toxic int").collect()
     x = np.array([r["x"] for r in sample], dtype=np.float64).reshape(-1, len(FEATURES))
@@ -324,6 +338,7 @@ def score(df: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFram
             for batch in slices(whole, "text"):
                 p = probabilities(batch.column("text").to_pylist(), memory, weights)
                 yield pa.record_batch([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
+        memory.clear()
 
     scored = df.select("doc_id", "text").mapInArrow(apply, f"doc_id {kind}, score double")
     held_out = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
@@ -339,5 +354,6 @@ def without_toxic(df: DataFrame, model: Model, threshold: float = THRESHOLD) ->
             for batch in slices(whole, "text"):
                 p = probabilities(batch.column("text").to_pylist(), memory, weights)
                 yield batch.filter(pa.array(p < threshold))
+        memory.clear()
 
     return df.mapInArrow(keep, df.schema)
