@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from depotwise.plans.reports import Inputs, Report
+from depotwise.session import work_path
 from depotwise.sources.star import star_domain
 from depotwise.streaming import live, sinks
 
@@ -40,14 +41,19 @@ def _current_status(x: Inputs):
     return _updates(x, stream, "shipment-status", ["shipment_id"]).drop("status_id")
 
 
+def _open_status(x: Inputs):
+    stream = live.open_shipment_status(_streamed(x, "orders")["shipment_status"])
+    return _updates(x, stream, "open-shipments", ["shipment_id"]).drop("status_id")
+
+
 def _stock_stream(x: Inputs):
-    arrivals = _streamed(x, "lineitem")["stock_transfer"].select(
-        F.col("to_warehouse_id").alias("warehouse_id"), "product_id", F.col("quantity").alias("units")
+    moved = lambda d: d["stock_transfer"].select(
+        F.col("to_warehouse_id").alias("warehouse_id"), "product_id", F.col("quantity").cast("bigint").alias("units")
     )
-    out = sinks.run_available(arrivals, "stock-deltas", "append", live.stock_deltas)
-    schema = live.stock_deltas(x.domain["stock_transfer"].select(
-        F.col("to_warehouse_id").alias("warehouse_id"), "product_id", F.col("quantity").alias("units"))).schema
-    return live.stock_balance(x.domain["inventory"], sinks.read_batches(x.spark, out, schema))
+    schema = live.stock_deltas(moved(x.domain)).schema
+    log = sinks.DeltaLog(x.spark, work_path(x.spark, "stock-deltas"), schema, live.stock_deltas)
+    sinks.run_into(moved(_streamed(x, "lineitem")), log)
+    return live.stock_balance(x.domain["inventory"], log.read())
 
 
 def _audit_stream(x: Inputs):
@@ -74,6 +80,7 @@ REPORTS = {
     "stream_shipment_status": Report(
         _current_status, "SELECT shipment_id, updated_time, status, location FROM s_latest"
     ),
+    "stream_open_shipments": Report(_open_status, "SELECT shipment_id, updated_time, status, location FROM s_latest"),
     "stream_stock_balance": Report(
         _stock_stream,
         """SELECT warehouse_id, product_id, sum(units)::BIGINT AS quantity FROM (

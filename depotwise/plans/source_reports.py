@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depotwise.functions import columns as C
-from depotwise.operators import purchasing, tables
+from depotwise.operators import mutations, purchasing, tables
 from depotwise.plans.reports import Inputs, Report
 from depotwise.plans.trade_reports import HISTORY
 from depotwise.session import work_path
-from depotwise.sources import domain
+from depotwise.sources import domain, textindex
+from depotwise.sources.snapshots import SnapshotStore
 
 _LISTING = "purchase_item_id bigint, supplier_name string, product_name string, quantity int, total_cost decimal(21,2)"
 
@@ -43,6 +47,25 @@ def _click_log(x: Inputs):
     return log.groupBy("link_id").agg(F.count(F.lit(1)).alias("clicks"), F.min("click_id").alias("lowest_id"))
 
 
+def _indexed(x: Inputs):
+    """Customers stored in order of their names, and those among them that a contains-search through the index finds."""
+    path = work_path(x.spark, "indexed")
+    table, index, fields = f"{path}/customer", f"{path}/files", ["name", "contact"]
+    x.domain["customer"].repartitionByRange(16, "name").write.parquet(table)
+    textindex.build_index(x.spark, table, index, fields)
+    return textindex.search(x.spark, table, index, "R#000000012", fields)
+
+
+def _versions(x: Inputs):
+    """Stock of each version of a store to which two batches are committed, the second in two attempts."""
+    store, stock = SnapshotStore(x.spark, work_path(x.spark, "versions")), x.domain["inventory"]
+    first = store.commit(0, replace={"inventory": stock, "purchase": x.domain["purchase"]})
+    for _ in range(2):
+        store.commit(first, replace={"inventory": mutations.apply_purchases(x.domain, x.domain["purchase"])}, batch=("arrivals", 1))
+    at = lambda v: store.read(v)["inventory"].select(F.lit(v).alias("version"), "inventory_id", "quantity")
+    return reduce(DataFrame.unionByName, [at(v) for v in store.versions()])
+
+
 LISTED = """SELECT purchase_item_id, supplier_name || ', "' || warehouse_name || '"' AS supplier_name, product_name,
     quantity, total_cost FROM t_history"""
 
@@ -59,6 +82,16 @@ REPORTS = {
         """SELECT link_id, count(*) + count(customer_id) AS clicks, min(CASE WHEN customer_id IS NULL THEN click_id
              ELSE -click_id END) AS lowest_id FROM d_click GROUP BY link_id""",
     ),
+    "indexed_search": Report(
+        _indexed, "SELECT customer_id, name, contact FROM d_customer WHERE contains(lower(name), 'r#000000012') OR contains(contact, 'r#000000012')"
+    ),
+    "snapshot_versions": Report(
+        _versions,
+        """SELECT 1::BIGINT AS version, inventory_id, quantity::BIGINT AS quantity FROM d_inventory
+           UNION ALL SELECT 2, inventory_id, quantity + coalesce(units, 0)::BIGINT FROM d_inventory LEFT JOIN (
+             SELECT warehouse_id, product_id, sum(quantity) AS units FROM d_purchase JOIN d_purchase_item USING (purchase_id)
+             GROUP BY 1, 2) AS p USING (warehouse_id, product_id)""",
+    ),
     "row_counts": Report(
         lambda x: tables.row_count(x.domain["order_item"]),
         "SELECT count(*) AS rows FROM d_order_item",

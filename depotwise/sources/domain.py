@@ -71,8 +71,8 @@ def append(df: DataFrame, root: str, table: str, fmt: str = "parquet") -> None:
 
 
 def write_snapshot(df: DataFrame, root: str, table: str, version: int | str) -> str:
-    """Write one immutable table version. Re-running a version replaces only that version, so a
-    failed or repeated batch leaves earlier snapshots as they were."""
-    path = f"{root}/{table}/v={version}"
+    """Write one immutable table version beside the tables that ``load`` reads. Re-running a version replaces only that
+    version. ``snapshots.SnapshotStore`` versions several tables together."""
+    path = f"{root}/versions/{table}/v={version}"
     conform(df, table).write.mode("overwrite").parquet(path)
     return path

@@ -3,12 +3,16 @@ the same result) and returns the transformed one; ``sinks`` runs them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from depotwise.functions import columns as C
 from depotwise.operators.stock import STOCK_KEY
-from depotwise.policy import LIVE_REFRESH, UNKNOWN
+from depotwise.policy import LIVE_REFRESH, SHIPMENT_LIFECYCLE, UNKNOWN
 from depotwise.schema import TABLES
 from depotwise.sources.domain import conform
 
@@ -64,6 +68,53 @@ def current_shipment_status(statuses: DataFrame) -> DataFrame:
     )
 
 
+STATUS = "shipment_id bigint, updated_time timestamp, status_id bigint, status string, location string"
+
+
+class _UntilDelivered(StatefulProcessor):
+    """The newest status of a shipment, kept until it is delivered and nothing late can come for it any more."""
+
+    def __init__(self, lateness: pd.Timedelta):
+        self.lateness = lateness
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "updated_time timestamp, status_id bigint, status string, location string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.newest.get() if self.newest.exists() else None
+        best = known
+        for part in rows:
+            for row in part[["updated_time", "status_id", "status", "location"]].itertuples(index=False, name=None):
+                if best is None or row[:2] > (pd.Timestamp(best[0]), best[1]):
+                    best = row
+        if best is not known:
+            self.newest.update(best)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if best[2] == SHIPMENT_LIFECYCLE[-1]:
+                self.handle.registerTimer(int((pd.Timestamp(best[0]) + self.lateness).timestamp() * 1000))
+            yield pd.DataFrame([(key[0], *best)], columns=["shipment_id", "updated_time", "status_id", "status", "location"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.newest.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def open_shipment_status(statuses: DataFrame, lateness: str = "2 days") -> DataFrame:
+    """Like ``current_shipment_status``, with a state that ends: a delivered shipment is dropped once events are
+    `lateness` past its delivery, so the state holds open shipments only. Rows that come later than that are ignored.
+    The Python worker is asked once per shipment and batch, so this is for streams, not for loading a history."""
+    timed = statuses.select("shipment_id", F.col("updated_time").cast("timestamp").alias("updated_time"), "status_id", "status", "location")
+    kept = timed.withWatermark("updated_time", lateness).groupBy("shipment_id").transformWithStateInPandas(
+        statefulProcessor=_UntilDelivered(pd.Timedelta(lateness)), outputStructType=STATUS, outputMode="Update", timeMode="EventTime"
+    )
+    return kept.withColumn("updated_time", F.col("updated_time").cast("timestamp_ntz"))
+
+
 def stock_deltas(moves: DataFrame) -> DataFrame:
     """What one micro-batch of movements (warehouse_id, product_id, units) adds up to. Used as
     ``prepare`` of a sink: batches are logged as deltas, not as rewritten snapshots."""
