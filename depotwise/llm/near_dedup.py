@@ -22,7 +22,7 @@ CHUNKS, WIDTH = 21, 4
 COMPONENTS = CHUNKS * WIDTH
 RADIUS = 2 * CHUNKS - 1
 BLOCK = 512  # members of a key that are compared with each other in one row
-SLOTS = 1 << 20  # counters that order shingles by how common they are
+SLOTS = 1 << 18  # counters that order shingles by how common they are
 
 _SALTS = mix(np.arange(1, 2 * COMPONENTS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 FLIPS = (_SALTS[:COMPONENTS] >> np.uint64(32)).astype(np.uint32)
@@ -180,8 +180,8 @@ def rare_first(sets: DataFrame) -> np.ndarray:
             yield pa.record_batch([pa.array(slots.astype(np.int64)), pa.array(times)], names=["slot", "n"])
 
     counts = np.zeros(SLOTS, dtype=np.int64)
-    found = sets.select("items").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    found = sets.select("items").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
     return counts
 
 
