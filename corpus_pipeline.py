@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotwise.llm import decontamination, near_dedup, packing, suffix_dedup, toxicity
@@ -13,36 +13,54 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold, by a model of the labelled ones among them."""
+    """Documents whose toxicity score is below the threshold, by a model of the labelled ones among them.
+
+    Null and empty texts score like texts without matches, and stay unless the labels say that such texts are
+    toxic. Repeated rows are judged alike. Without labels the weights are prior ones. Other columns than those of documents go."""
     docs = docs.select(*COLUMNS)
     return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component, and those without an id."""
+    """The document with the smallest id of each near-duplicate component, and those without an id.
+
+    Null and empty texts are near nothing and stay. Rows that share an id are one document: they stay or go together,
+    so equal rows of an id that stays all stay."""
     docs = docs.select(*COLUMNS)
     copies = near_dedup.near_duplicates(docs).rows.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti")
 
 
+def without_cut_characters(raw: Column) -> Column:
+    """A text of UTF-8 bytes without bytes that are no whole character. Replacement characters that the text itself
+    has are set aside meanwhile, by two code points that are no characters."""
+    aside = F.replace(F.replace(raw, F.lit("\ufdd0"), F.lit("\ufdd0\ufdd1")), F.lit("\ufffd"), F.lit("\ufdd0\ufdd2"))
+    valid = F.replace(F.make_valid_utf8(aside), F.lit("\ufffd"), F.lit(""))
+    return F.replace(F.replace(valid, F.lit("\ufdd0\ufdd2"), F.lit("\ufffd")), F.lit("\ufdd0\ufdd1"), F.lit("\ufdd0"))
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without strings that occur earlier; what is left of a cut character goes too."""
+    """Every document without strings that occur earlier; what is left of a cut character goes too.
+
+    Null texts become empty ones; a text of which nothing is left stays as an empty one. Of equal texts the
+    smallest doc_id keeps its strings. `n_chars` counts what is left."""
     kept = suffix_dedup.deduplicated(docs.select(*COLUMNS), keep=("lang", "source"))
-    # a lone part of a character is no text; valid characters on either side stay as they are
-    text = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    whole = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(text)
+    raw = F.col("kept").cast("string")
+    whole = F.when(F.is_valid_utf8(raw), raw).otherwise(without_cut_characters(raw))
     return kept.select("doc_id", whole.alias("text"), "carried.lang", "carried.source").select(
         "doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars")
     )
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item. Null and empty texts hold none and stay, repeated rows too; without
+    benchmark items all stay."""
     return decontamination.uncontaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' pieces in sequences of 2048 tokens."""
+    """The places of all documents' pieces in sequences of 2048 tokens; a null or empty text is one token, and each row
+    of a repeated id has pieces of its own."""
     return packing.pack(docs)
 
 
