@@ -26,12 +26,14 @@ KINDS = {"sum": F.sum, "max": F.max}
 
 @dataclass(frozen=True)
 class Blocked:
-    """Written rows tagged with their block, and one row per block with the totals before it."""
+    """Written rows tagged with their block, and one row per block with the totals before it. `nulls` tells whether
+    keys may be null; without that, rows that are stored by their blocks are joined where they lie."""
 
     rows: DataFrame
     blocks: DataFrame
     on: tuple[str, ...]
     order: tuple[Column, ...]
+    nulls: bool = True
 
     def within(self) -> Window:
         """Window inside one block, up to and including the current row."""
@@ -45,7 +47,7 @@ class Blocked:
         """The rows with what is known of their blocks. Null keys are keys like any other."""
         names = {c: f"_of_{c}" for c in self.on}
         side = blocks.withColumnsRenamed(names)
-        same = [F.col(c).eqNullSafe(F.col(names[c])) for c in self.on]
+        same = [F.col(c).eqNullSafe(F.col(names[c])) if self.nulls else F.col(c) == F.col(names[c]) for c in self.on]
         return self.rows.join(side, same).drop(*names.values())
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotwise.functions import columns as C
-from depotwise.functions.running import BEFORE, blocked, running_total, take_in_order
+from depotwise.functions.running import BEFORE, Blocked, blocked, running_total, take_in_order
 from depotwise.policy import LOW_STOCK_THRESHOLD, AgePolicy, CapacityPolicy, RentPolicy
 from depotwise.sources.domain import Domain
 
@@ -48,13 +48,21 @@ def all_lots(d: Domain) -> DataFrame:
     return bought.unionByName(moved)
 
 
-def remaining_lots(d: Domain) -> DataFrame:
+LOT_ORDER = ["received_date", "lot_kind", "lot_id"]
+
+
+def lots_in_blocks(d: Domain) -> Blocked:
+    """All arrivals, newest first, in blocks that know how many units came after them."""
+    return blocked(all_lots(d), STOCK_KEY, LOT_ORDER, {"newer": ("sum", "quantity")}, descending=True)
+
+
+def remaining_lots(d: Domain, lots: Blocked | None = None) -> DataFrame:
     """Lots still on hand. Stock leaves oldest first, so what is left of a (hub, product) is its
-    newest ``inventory.quantity`` units.
+    newest ``inventory.quantity`` units. ``lots`` may be a stored layout of the arrivals (``sources.layout``).
 
     Blocks of lots that lie entirely behind the on-hand window are dropped on the pre-aggregated block
     totals, before any lot is joined."""
-    cut = blocked(all_lots(d), STOCK_KEY, ["received_date", "lot_kind", "lot_id"], {"newer": ("sum", "quantity")}, descending=True)
+    cut = lots or lots_in_blocks(d)
     newer = F.coalesce(F.col(f"{BEFORE}_newer"), F.lit(0))
     on_hand = d["inventory"].select(*STOCK_KEY, F.col("quantity").alias("on_hand"))
     open_blocks = (
@@ -71,11 +79,11 @@ def remaining_lots(d: Domain) -> DataFrame:
     )
 
 
-def aged_lots(d: Domain, as_of: Moment, policy: AgePolicy = AgePolicy()) -> DataFrame:
+def aged_lots(d: Domain, as_of: Moment, policy: AgePolicy = AgePolicy(), lots: Blocked | None = None) -> DataFrame:
     """Remaining lots with their age in days and rent multiplier."""
     days = F.greatest(C.whole_days("received_date", C.moment(as_of)), F.lit(0))
     return (
-        remaining_lots(d)
+        remaining_lots(d, lots)
         .withColumn("days_stored", days)
         .withColumn("rent_multiplier", C.age_multiplier("days_stored", policy))
     )
@@ -86,6 +94,7 @@ def warehouse_stock_age(
     as_of: Moment,
     age_policy: AgePolicy = AgePolicy(),
     rent_policy: RentPolicy = RentPolicy(),
+    lots: Blocked | None = None,
 ) -> DataFrame:
     """One row per lot on hand: age, age band and what it costs per day."""
     hubs = rent_rates(d, rent_policy).select(
@@ -94,7 +103,7 @@ def warehouse_stock_age(
     products = d["product"].select("product_id", F.col("name").alias("product_name"))
     rent = F.col("units") * F.col("rent_per_unit_day") * F.col("rent_multiplier")
     return (
-        aged_lots(d, as_of, age_policy)
+        aged_lots(d, as_of, age_policy, lots)
         .join(hubs, "warehouse_id")
         .join(products, "product_id")
         .select(

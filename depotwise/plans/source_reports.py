@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depotwise.functions import columns as C
-from depotwise.operators import mutations, purchasing, tables
+from depotwise.operators import mutations, purchasing, stock, tables
 from depotwise.plans.reports import Inputs, Report
 from depotwise.plans.trade_reports import HISTORY
 from depotwise.session import work_path
-from depotwise.sources import domain, textindex
+from depotwise.sources import domain, layout, textindex
 from depotwise.sources.snapshots import SnapshotStore
+from depotwise.sources.star import AGE_POLICY, AS_OF
 
 _LISTING = "purchase_item_id bigint, supplier_name string, product_name string, quantity int, total_cost decimal(21,2)"
 
@@ -56,6 +58,14 @@ def _indexed(x: Inputs):
     return textindex.search(x.spark, table, index, "R#000000012", fields)
 
 
+def _laid_out(x: Inputs):
+    """Stock age from arrivals that were stored by hub, product and block."""
+    name = f"lots_{uuid.uuid4().hex}"
+    layout.store_lots(x.domain, name, 8)
+    aged = stock.aged_lots(x.domain, AS_OF, AGE_POLICY, layout.stored_lots(x.spark, name))
+    return aged.groupBy("warehouse_id", "product_id", "days_stored").agg(F.sum("units").alias("units"))
+
+
 def _versions(x: Inputs):
     """Stock of each version of a store to which two batches are committed, the second in two attempts."""
     store, stock = SnapshotStore(x.spark, work_path(x.spark, "versions")), x.domain["inventory"]
@@ -85,6 +95,11 @@ REPORTS = {
     "indexed_search": Report(
         _indexed, "SELECT customer_id, name, contact FROM d_customer WHERE contains(lower(name), 'r#000000012') OR contains(contact, 'r#000000012')"
     ),
+    "stock_age_from_layout": Report(
+        _laid_out,
+        """SELECT warehouse_id::BIGINT AS warehouse_id, product_id, days::BIGINT AS days_stored, sum(units)::BIGINT AS units
+           FROM s_aged GROUP BY ALL""",
+    ),
     "snapshot_versions": Report(
         _versions,
         """SELECT 1::BIGINT AS version, inventory_id, quantity::BIGINT AS quantity FROM d_inventory

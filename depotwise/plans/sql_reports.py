@@ -43,7 +43,8 @@ REPORTS = {
     ),
     "sql_campaign_revenue": Report(
         _asked("SELECT campaign_id, campaign_revenue(campaign_id) AS revenue FROM campaign_revenues UNION ALL SELECT -1, campaign_revenue(-1)"),
-        """SELECT campaign_id, sum(revenue)::DOUBLE AS revenue FROM s_link GROUP BY 1 UNION ALL SELECT -1, 0""",
+        """SELECT campaign_id, coalesce(sum(revenue), 0)::DOUBLE AS revenue FROM d_campaign LEFT JOIN s_link USING (campaign_id) GROUP BY 1
+           UNION ALL SELECT -1, 0""",
     ),
     "sql_pick_source_warehouse": Report(
         _asked(
