@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from depotwise.llm import bpe, decontamination, maxent_lm, metric_tree, near_dedup, packing, passage_dedup, sharding, spelling_groups, suffix_dedup, toxicity, turn_repair, warc
 from depotwise.llm.common import table
 
@@ -72,5 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_benchmark_decontamination, op8_hilbert_sharding, op9_minhash_near_dedup,
         op10_metric_tree_search, op11_maxent_scores, op12_spelling_variants, op13_conversation_repair,
     )
-} | {"pipeline": corpus_pipeline.run}
+}
 SQL: dict[str, str] = {"op9_minhash_near_dedup": near_dedup.SQL, "op10_metric_tree_search": metric_tree.SQL}

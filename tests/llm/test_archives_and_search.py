@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from test_text_operators import components_of, documents, prose, strings_removed, word_sets
 
+import __spark_entry__
 import corpus_pipeline
 from depotwise.llm import decontamination, metric_tree, queries, toxicity, warc
 
@@ -220,6 +221,8 @@ def test_cut_characters_leave_valid_text(spark, corpus, monkeypatch):
 
 
 def test_every_operator_is_registered(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 14))
+    registered = __spark_entry__.queries()
+    assert registered["pipeline"] is corpus_pipeline.run and queries.QUERIES.items() <= registered.items()
     assert set(queries.SQL) <= set(queries.QUERIES)
     assert toxicity.THRESHOLD == 0.3 and decontamination.SEED == 5
