@@ -255,10 +255,13 @@ MUTATION_TABLES = {
           CASE WHEN turn = 0 THEN quantity // 2 WHEN product_id % 10 = 0 THEN quantity ELSE quantity // 3 END AS units
         FROM d_inventory, (VALUES (0), (1)) AS turns(turn)) AS m""",
     "v_turns": "SELECT *, row_number() OVER (ORDER BY request_id) AS n FROM v_moves WHERE bad IS NULL",
+    # a granted move changes four places of `room`: two of the product's stock rows, and the two hubs'
     "v_moved": """SELECT CAST(0 AS BIGINT) AS n, room, CAST(NULL AS VARCHAR) AS reason FROM v_room
-        UNION ALL SELECT n, CASE WHEN reason IS NOT NULL THEN room ELSE list_transform(room, lambda u, i: u + CASE
-            WHEN i = place + source OR i = size + target THEN -units WHEN i = place + target OR i = size + source THEN units ELSE 0 END) END, reason
-        FROM (SELECT t.n, s.room, t.source, t.target, t.units, z.size, (t.product_id - 1) * {h} AS place,
+        UNION ALL SELECT n, CASE WHEN reason IS NOT NULL THEN room ELSE room[1:p + a - 1] || [room[p + a] + d] || room[p + a + 1:p + b - 1]
+            || [room[p + b] - d] || room[p + b + 1:size + a - 1] || [room[size + a] - d] || room[size + a + 1:size + b - 1]
+            || [room[size + b] + d] || room[size + b + 1:len(room)] END, reason
+        FROM (SELECT t.n, s.room, z.size, (t.product_id - 1) * {h} AS p, least(t.source, t.target) AS a, greatest(t.source, t.target) AS b,
+                CASE WHEN t.source < t.target THEN -t.units ELSE t.units END AS d,
                 CASE WHEN s.room[(t.product_id - 1) * {h} + t.source] < t.units THEN 'not enough stock'
                      WHEN s.room[z.size + t.target] < t.units THEN 'destination full' END AS reason
               FROM v_moved AS s JOIN v_turns AS t ON t.n = s.n + 1, v_size AS z) AS q""",

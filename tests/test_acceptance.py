@@ -40,7 +40,7 @@ def mixed(rng, n, limits):
     return entries
 
 
-@pytest.mark.parametrize("seed, rounds", [(0, 0), (1, 1), (2, 4), (3, 2)])
+@pytest.mark.parametrize("seed, rounds", [(0, 0), (1, 1), (2, 4)])
 def test_equals_one_by_one(spark, monkeypatch, seed, rounds):
     monkeypatch.setattr(acceptance, "ROUNDS", rounds)
     rng = random.Random(seed)
