@@ -217,19 +217,40 @@ def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
     return sets.mapInArrow(emit, "key bigint, id bigint, size bigint, short boolean")
 
 
-def alike(members: pa.StructArray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (smaller id, larger id) of members of a key that are of different components, within RADIUS, near
-    enough in size, and share the key as its prefixes ask for."""
-    rows = codes(members.field("signature"))
+def shares(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many items of each of `others` are in `own`; all are arrays of 16-bit hashes, a repeat for each item."""
+    ends = np.cumsum([len(o) for o in others])
+    mask = np.zeros(1 << 16, dtype=np.int64)
+    mask[own] = 1
+    total = np.concatenate([[0], np.cumsum(mask[np.concatenate(others)])])
+    return total[ends] - total[np.concatenate([[0], ends[:-1]])]
+
+
+def alike(members: pa.StructArray, percent: int, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (smaller id, larger id) of members of a key that are of different components, near enough in size, and
+    share the key as its prefixes ask for. `nearest`: of each member the one whose signature is nearest, within RADIUS.
+    Otherwise all whose sets may be alike, counted on 16-bit hashes of their items, which lose no link."""
     ids, group, size, short, turn = (members.field(f).to_numpy(zero_copy_only=False) for f in ("id", "component", "size", "short", "turn"))
+    if nearest:
+        rows = codes(members.field("sketch"))
+    else:
+        data, offsets = byte_view(members.field("sketch"))
+        sets = [data[a:b].view(np.uint16) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     for i in range(len(ids)):
-        rest = slice(i + 1, None)
+        rest = slice(0 if nearest else i + 1, None)
         fits = (group[rest] != group[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
         fits &= (short[rest] & (size[rest] <= size[i])) | (short[i] & (size[i] <= size[rest]))
         # of two blocks only pairs between them, as each is compared with itself in a row of its own
         fits &= (turn[rest] != turn[i]) | (turn[-1] == turn[0])
-        at = np.flatnonzero(fits) + i + 1
-        hit = at[(rows[at] != rows[i]).sum(axis=1) <= RADIUS]
+        at = np.flatnonzero(fits) + rest.start
+        if not len(at):
+            continue
+        if nearest:
+            h = (rows[at] != rows[i]).sum(axis=1)
+            hit = at[np.lexsort((ids[at], h))[:1]] if h.min() <= RADIUS else at[:0]
+        else:
+            common = np.minimum(shares(sets[i], [sets[j] for j in at.tolist()]), np.minimum(size[at], size[i]))
+            hit = at[100 * common >= percent * (size[at] + size[i] - common)]
         if len(hit):
             yield np.minimum(ids[hit], ids[i]), np.maximum(ids[hit], ids[i])
 
@@ -239,23 +260,23 @@ def pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-MEMBER = ("turn", "id", "component", "size", "short", "signature")
+MEMBER = ("turn", "id", "component", "size", "short", "sketch")
 
 
-def within_keys(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that may be links among the members (key, id, size, short, component) of a key. Members are dealt
-    to blocks of about BLOCK; a row compares two blocks."""
+def within_keys(members: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) that may be links among the members (key, id, size, short, component) of a key, all or the nearest
+    one of each member, by their `sketches` (id, sketch). Members are dealt to blocks of about BLOCK; a row compares two."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pair_batch([p for m in batch.column("members") for p in alike(m.values, percent)])
+            yield pair_batch([p for m in batch.column("members") for p in alike(m.values, percent, nearest)])
 
     blocks = members.groupBy("key").agg(
         F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y"), F.max("short").alias("any")
     )
     dealt = (
         members.join(blocks.where("x < y and any").drop("x", "y", "any"), "key")
-        .join(signed, "id")
+        .join(sketches, "id")
         .withColumn("turn", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
@@ -286,8 +307,8 @@ def near_duplicates(df: DataFrame, percent: int = 75) -> NearDuplicates:
     2. Members of a bucket that are not in the component of a pivot are compared with that component
        and with each other, on signatures in blocks, where they share one of the rarest items of their sets as
        every link does; components are never compared inside.
-    No link within the radius is missed. What leaves the second step are pairs that share rare items, have alike
-    sizes and are within the radius.
+    No link within the radius is missed. What leaves the second step is the nearest partner of each member of a key,
+    as long as that joins components; then all pairs that are still apart and whose sets, on 16 bits of each item, may be alike.
 
     Null or empty text: no shingles, alone. Null doc_id: a row with null component_id, kept. Rows with
     an equal doc_id count as one node. No rows: no rows. Other columns of `df` are ignored."""
@@ -321,9 +342,19 @@ def near_duplicates(df: DataFrame, percent: int = 75) -> NearDuplicates:
     found = materialise(confirmed(second, packed, percent), "links")
     links = links.union(found)
     named = materialise(connected(named, found), "named")
-    rest = materialise(remaining(apart, stars.select("a", "b"), named, signed, packed, percent), "rest")
-    found = materialise(confirmed(rest, packed, percent), "links")
-    links = links.union(found)
+    sets = materialise(unsettled(apart, stars.select("a", "b"), named, packed), "asked-sets")
+    prefixes = materialise(prefix_keys(sets, percent), "prefixes")
+    nearest = True
+    while True:
+        sketches = signed.select("id", F.col("signature").alias("sketch")) if nearest else short_items(sets)
+        rest = materialise(within_keys(prefixes.join(named, "id"), sketches, percent, nearest), "rest")
+        found = materialise(confirmed(rest, packed, percent), "links")
+        links = links.union(found)
+        if not nearest:
+            break
+        # while members find a link to another component it joins them; what is then apart is compared in full
+        nearest = not found.isEmpty()
+        named = materialise(connected(named, found), "named") if nearest else named
     named = connected(named, found)
     # a row of an id with several texts belongs to the smallest component among them
     component = members.select("id", F.col("first").alias("c")).join(named.withColumnsRenamed({"id": "c"}), "c")
@@ -348,9 +379,23 @@ def unconnected(rows: DataFrame, named: DataFrame) -> DataFrame:
     return rows.join(named, "id").join(homes, "pivot").where(F.col("component") != F.col("home"))
 
 
-def remaining(apart: DataFrame, stars: DataFrame, named: DataFrame, signed: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
-    """Pairs that may be links and are not connected. apart: (key, id, pivot) that were
-    not connected when the pivots were compared; stars: (a, b) of a pivot and what it was compared with.
+def short_items(sets: DataFrame) -> DataFrame:
+    """(id, sketch): 16 bits of each item of `sets` (id, items)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = byte_view(batch.column("items"))
+            few = (mix(data.view(np.uint64)) >> np.uint64(48)).astype(np.uint16).tobytes()
+            ends = (offsets // 4).tolist()
+            yield pa.record_batch([batch.column("id"), pa.array([few[a:b] for a, b in zip(ends, ends[1:])], pa.binary())], names=["id", "sketch"])
+
+    return sets.mapInArrow(cut, "id bigint, sketch binary")
+
+
+def unsettled(apart: DataFrame, stars: DataFrame, named: DataFrame, packed: DataFrame) -> DataFrame:
+    """The sets (id, items) of all documents that may have links which the pivots have not shown. apart:
+    (key, id, pivot) that were not connected when the pivots were compared; stars: (a, b) of a pivot and what it was
+    compared with.
 
     Whatever shares a bucket with a component that it is not in may still be linked to a member of it other than
     the pivot, or to another such document. Both are met through the rarest items of their sets, so texts that
@@ -362,9 +407,7 @@ def remaining(apart: DataFrame, stars: DataFrame, named: DataFrame, signed: Data
     sizes = named.join(homes, "component", "left_semi").groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     inside = named.join(sizes, "component", "left_semi").select("id")
     asked = materialise(others.union(left.select("id")).union(inside).distinct(), "asked")
-    sets = materialise(packed.join(asked, "id", "left_semi").select("id", "items"), "asked-sets")
-    members = materialise(prefix_keys(sets, percent).join(named, "id"), "prefixes")
-    return within_keys(members, signed, percent)
+    return packed.join(asked, "id", "left_semi").select("id", "items")
 
 
 SQL = r"""
