@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotwise.llm.common import slices
+from depotwise.llm.common import SLICE_BYTES, slices
 from depotwise.llm.near_dedup import text_shingles
 
 FOLDS, HELD_OUT = 4, 2
@@ -241,7 +241,8 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, bool], dict[str, bool]]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            # small slices: words and beginnings as Python objects take many times the text
+            for batch in slices(whole, "text", SLICE_BYTES // 8):
                 sums = [Counter() for _ in COUNTED]
                 for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                     seen: Counter = Counter()
