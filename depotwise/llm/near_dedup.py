@@ -226,33 +226,48 @@ def shares(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return total[ends] - total[np.concatenate([[0], ends[:-1]])]
 
 
-def alike(members: pa.StructArray, percent: int, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (smaller id, larger id) of members of a key that are of different components, near enough in size, and
-    share the key as its prefixes ask for. `nearest`: of each member the one whose signature is nearest, within RADIUS.
-    Otherwise all whose sets may be alike, counted on 16-bit hashes of their items, which lose no link."""
+def alike(members: pa.StructArray, percent: int, by_sets: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member of a key the later ones of other components that are near enough in size, share the key as their
+    prefixes ask for, and look alike: by signatures within RADIUS (with the distances), or by sets, counted on
+    16-bit hashes of their items, which lose no link."""
     ids, group, size, short, turn = (members.field(f).to_numpy(zero_copy_only=False) for f in ("id", "component", "size", "short", "turn"))
-    if nearest:
-        rows = codes(members.field("sketch"))
-    else:
+    if by_sets:
         data, offsets = byte_view(members.field("sketch"))
         sets = [data[a:b].view(np.uint16) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    else:
+        rows = codes(members.field("sketch"))
     for i in range(len(ids)):
-        rest = slice(0 if nearest else i + 1, None)
+        rest = slice(i + 1, None)
         fits = (group[rest] != group[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
         fits &= (short[rest] & (size[rest] <= size[i])) | (short[i] & (size[i] <= size[rest]))
         # of two blocks only pairs between them, as each is compared with itself in a row of its own
         fits &= (turn[rest] != turn[i]) | (turn[-1] == turn[0])
-        at = np.flatnonzero(fits) + rest.start
+        at = np.flatnonzero(fits) + i + 1
         if not len(at):
             continue
-        if nearest:
-            h = (rows[at] != rows[i]).sum(axis=1)
-            hit = at[np.lexsort((ids[at], h))[:1]] if h.min() <= RADIUS else at[:0]
-        else:
+        if by_sets:
             common = np.minimum(shares(sets[i], [sets[j] for j in at.tolist()]), np.minimum(size[at], size[i]))
-            hit = at[100 * common >= percent * (size[at] + size[i] - common)]
+            hit = 100 * common >= percent * (size[at] + size[i] - common)
+            yield i, at[hit], common[hit]
+        else:
+            h = (rows[at] != rows[i]).sum(axis=1)
+            yield i, at[h <= RADIUS], h[h <= RADIUS]
+
+
+def nearest(members: pa.StructArray, percent: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Of each member that has partners by signature the pair with the nearest, and the ids of these members."""
+    ids = members.field("id").to_numpy(zero_copy_only=False)
+    best, partner = np.full(len(ids), COMPONENTS + 1), np.zeros(len(ids), np.int64)
+    for i, hit, h in alike(members, percent, False):
         if len(hit):
-            yield np.minimum(ids[hit], ids[i]), np.maximum(ids[hit], ids[i])
+            closer = hit[h < best[hit]]
+            partner[closer] = i
+            best[hit] = np.minimum(best[hit], h)
+            if h.min() < best[i]:
+                best[i], partner[i] = h.min(), hit[np.argmin(h)]
+    has = np.flatnonzero(best <= RADIUS)
+    a, b = ids[has], ids[partner[has]]
+    return [(np.minimum(a, b), np.maximum(a, b))], a
 
 
 def pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -263,14 +278,9 @@ def pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 MEMBER = ("turn", "id", "component", "size", "short", "sketch")
 
 
-def within_keys(members: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) that may be links among the members (key, id, size, short, component) of a key, all or the nearest
-    one of each member, by their `sketches` (id, sketch). Members are dealt to blocks of about BLOCK; a row compares two."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pair_batch([p for m in batch.column("members") for p in alike(m.values, percent, nearest)])
-
+def in_blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(key, members): the members (key, id, size, short, component) of each key with their `sketches` (id, sketch), dealt
+    to blocks of about BLOCK; a row holds two blocks, or one."""
     blocks = members.groupBy("key").agg(
         F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y"), F.max("short").alias("any")
     )
@@ -280,10 +290,38 @@ def within_keys(members: DataFrame, sketches: DataFrame, percent: int, nearest:
         .withColumn("turn", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
-    rows = dealt.groupBy("key", F.least("turn", "other").alias("i"), F.greatest("turn", "other").alias("j")).agg(
+    return dealt.groupBy("key", F.least("turn", "other").alias("i"), F.greatest("turn", "other").alias("j")).agg(
         F.sort_array(F.collect_list(F.struct(*MEMBER))).alias("members")
-    )
-    return rows.select("members").mapInArrow(compare, "a bigint, b bigint").distinct()
+    ).select("key", "members")
+
+
+def nearest_pairs(members: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """(key, id, a, b): the members of a key that have partners by signature, each with its nearest pair."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, row in zip(batch.column("key").to_pylist(), batch.column("members"), strict=True):
+                pairs, ids = nearest(row.values, percent)
+                if len(ids):
+                    columns = [np.full(len(ids), key), ids, *pairs[0]]
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["key", "id", "a", "b"])
+
+    sketches = signed.select("id", F.col("signature").alias("sketch"))
+    return in_blocks(members, sketches).mapInArrow(compare, "key bigint, id bigint, a bigint, b bigint")
+
+
+def pairs_by_sets(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members whose sets may be alike."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in batch.column("members"):
+                ids = row.values.field("id").to_numpy(zero_copy_only=False)
+                found += [(np.minimum(ids[hit], ids[i]), np.maximum(ids[hit], ids[i])) for i, hit, _ in alike(row.values, percent, True)]
+            yield pair_batch(found)
+
+    return in_blocks(members, sketches).select("members").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 @dataclass(frozen=True)
@@ -307,8 +345,8 @@ def near_duplicates(df: DataFrame, percent: int = 75) -> NearDuplicates:
     2. Members of a bucket that are not in the component of a pivot are compared with that component
        and with each other, on signatures in blocks, where they share one of the rarest items of their sets as
        every link does; components are never compared inside.
-    No link within the radius is missed. What leaves the second step is the nearest partner of each member of a key,
-    as long as that joins components; then all pairs that are still apart and whose sets, on 16 bits of each item, may be alike.
+    No link within the radius is missed. What leaves the second step is the nearest partner of each member of a key that has
+    one, and then all pairs of these that are still apart and whose sets, on 16 bits of each item, may be alike.
 
     Null or empty text: no shingles, alone. Null doc_id: a row with null component_id, kept. Rows with
     an equal doc_id count as one node. No rows: no rows. Other columns of `df` are ignored."""
@@ -344,17 +382,15 @@ def near_duplicates(df: DataFrame, percent: int = 75) -> NearDuplicates:
     named = materialise(connected(named, found), "named")
     sets = materialise(unsettled(apart, stars.select("a", "b"), named, packed), "asked-sets")
     prefixes = materialise(prefix_keys(sets, percent), "prefixes")
-    nearest = True
-    while True:
-        sketches = signed.select("id", F.col("signature").alias("sketch")) if nearest else short_items(sets)
-        rest = materialise(within_keys(prefixes.join(named, "id"), sketches, percent, nearest), "rest")
-        found = materialise(confirmed(rest, packed, percent), "links")
-        links = links.union(found)
-        if not nearest:
-            break
-        # while members find a link to another component it joins them; what is then apart is compared in full
-        nearest = not found.isEmpty()
-        named = materialise(connected(named, found), "named") if nearest else named
+    # the nearest partner of each member first, so that few components are left to be compared in full
+    close = materialise(nearest_pairs(prefixes.join(named, "id"), signed, percent), "close")
+    found = materialise(confirmed(close.select("a", "b").distinct(), packed, percent), "links")
+    links = links.union(found)
+    named = materialise(connected(named, found), "named")
+    asking = prefixes.join(close.select("key", "id").distinct(), ["key", "id"]).join(named, "id")
+    rest = materialise(pairs_by_sets(asking, short_items(sets), percent), "rest")
+    found = materialise(confirmed(rest, packed, percent), "links")
+    links = links.union(found)
     named = connected(named, found)
     # a row of an id with several texts belongs to the smallest component among them
     component = members.select("id", F.col("first").alias("c")).join(named.withColumnsRenamed({"id": "c"}), "c")
