@@ -14,8 +14,8 @@ def _streamed(x: Inputs, *tables: str):
     return star_domain(x.spark, x.root, streamed=tables)
 
 
-def _updates(x: Inputs, stream, name: str, keys: list[str]):
-    out = sinks.run_available(stream, name, "update")
+def _updates(x: Inputs, stream, name: str, keys: list[str], settings: dict[str, str] | None = None):
+    out = sinks.run_available(stream, name, "update", settings=settings)
     return sinks.latest_per_key(sinks.read_batches(x.spark, out, stream.schema), keys)
 
 
@@ -43,7 +43,7 @@ def _current_status(x: Inputs):
 
 def _open_status(x: Inputs):
     stream = live.open_shipment_status(_streamed(x, "orders")["shipment_status"])
-    return _updates(x, stream, "open-shipments", ["shipment_id"]).drop("status_id")
+    return _updates(x, stream, "open-shipments", ["shipment_id"], sinks.KEYED_STATE).drop("status_id")
 
 
 def _stock_stream(x: Inputs):

@@ -68,36 +68,53 @@ def current_shipment_status(statuses: DataFrame) -> DataFrame:
     )
 
 
-STATUS = "shipment_id bigint, updated_time timestamp, status_id bigint, status string, location string"
+TOGETHER = 1024  # shipments with neighbouring ids whose state is one row of lists, so that the worker is asked once for all of them
+NOTHING = -(1 << 63)  # stands for a missing number, below all others
+STATUS = "shipment_id bigint, at bigint, status_id bigint, status string, location string"
+STATUS_NAMES = [part.split()[0] for part in STATUS.split(", ")]
+STATUS_LISTS = ", ".join("{} array<{}>".format(*part.split()) for part in STATUS.split(", "))
 
 
 class _UntilDelivered(StatefulProcessor):
-    """The newest status of a shipment, kept until it is delivered and nothing late can come for it any more."""
+    """The newest statuses of up to TOGETHER shipments, each kept until it is delivered and nothing late can come for it
+    any more. The timer is that of the first to go."""
 
     def __init__(self, lateness: pd.Timedelta):
-        self.lateness = lateness
+        self.lateness = lateness // pd.Timedelta(1, "us")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", "updated_time timestamp, status_id bigint, status string, location string")
+        self.open = handle.getValueState("open", STATUS_LISTS)
+
+    def _known(self) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(STATUS_NAMES, self.open.get() or [[]] * len(STATUS_NAMES), strict=True)))
+
+    def _keep(self, newest: pd.DataFrame) -> None:
+        if len(newest):
+            self.open.update(tuple(newest[c].astype(object).where(newest[c].notna(), None).tolist() for c in STATUS_NAMES))
+        else:
+            self.open.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        ended = newest.loc[newest["status"] == SHIPMENT_LIFECYCLE[-1], "at"]
+        if len(ended):
+            self.handle.registerTimer((int(ended.min()) + self.lateness) // 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.newest.get() if self.newest.exists() else None
-        best = known
-        for part in rows:
-            for row in part[["updated_time", "status_id", "status", "location"]].itertuples(index=False, name=None):
-                if best is None or row[:2] > (pd.Timestamp(best[0]), best[1]):
-                    best = row
-        if best is not known:
-            self.newest.update(best)
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if best[2] == SHIPMENT_LIFECYCLE[-1]:
-                self.handle.registerTimer(int((pd.Timestamp(best[0]) + self.lateness).timestamp() * 1000))
-            yield pd.DataFrame([(key[0], *best)], columns=["shipment_id", "updated_time", "status_id", "status", "location"])
+        known = self._known()
+        every = pd.concat([part[STATUS_NAMES] for part in rows] + [known] * (len(known) > 0), ignore_index=True)
+        every["fresh"] = every.index < len(every) - len(known)
+        # of equals the last stays, which is what is known already
+        newest = every.sort_values(["at", "status_id"], kind="stable").drop_duplicates("shipment_id", keep="last")
+        fresh = newest.loc[newest["fresh"], STATUS_NAMES]
+        if len(fresh):
+            self._keep(newest[STATUS_NAMES])
+            yield fresh
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.newest.clear()
+        known = self._known()
+        over = (known["at"] + self.lateness) // 1000 <= expiredTimerInfo.getExpiryTimeInMs()
+        self._keep(known[~((known["status"] == SHIPMENT_LIFECYCLE[-1]) & over)])
         yield from ()
 
     def close(self) -> None:
@@ -107,12 +124,17 @@ class _UntilDelivered(StatefulProcessor):
 def open_shipment_status(statuses: DataFrame, lateness: str = "2 days") -> DataFrame:
     """Like ``current_shipment_status``, with a state that ends: a delivered shipment is dropped once events are
     `lateness` past its delivery, so the state holds open shipments only. Rows that come later than that are ignored.
-    The Python worker is asked once per shipment and batch, so this is for streams, not for loading a history."""
+    Needs ``sinks.KEYED_STATE``. The Python worker is asked once for TOGETHER ids and batch."""
     timed = statuses.select("shipment_id", F.col("updated_time").cast("timestamp").alias("updated_time"), "status_id", "status", "location")
-    kept = timed.withWatermark("updated_time", lateness).groupBy("shipment_id").transformWithStateInPandas(
+    named = timed.withWatermark("updated_time", lateness).select(
+        F.expr(f"shipment_id div {TOGETHER}").alias("group"), "shipment_id", "updated_time",
+        F.coalesce(F.unix_micros("updated_time"), F.lit(NOTHING)).alias("at"), F.coalesce("status_id", F.lit(NOTHING)).alias("status_id"), "status", "location",
+    )
+    kept = named.groupBy("group").transformWithStateInPandas(
         statefulProcessor=_UntilDelivered(pd.Timedelta(lateness)), outputStructType=STATUS, outputMode="Update", timeMode="EventTime"
     )
-    return kept.withColumn("updated_time", F.col("updated_time").cast("timestamp_ntz"))
+    at, status_id = [F.nullif(c, F.lit(NOTHING)) for c in ("at", "status_id")]
+    return kept.select("shipment_id", F.timestamp_micros(at).cast("timestamp_ntz").alias("updated_time"), status_id.alias("status_id"), "status", "location")
 
 
 def stock_deltas(moves: DataFrame) -> DataFrame:

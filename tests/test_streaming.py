@@ -86,6 +86,30 @@ def test_delivered_shipments_leave_the_state(spark):
     assert len(sizes) > 10 and max(sizes) < 40 and sizes[-1] < 20
 
 
+def test_open_shipments_run_in_a_session_with_another_state_store(spark):
+    """Three shipments of two groups, late and repeated rows; the session's own settings stay."""
+    other = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    mine = spark.conf.get(sinks.STATE_STORE)
+    at = lambda hour: dt.datetime(2026, 1, 1) + dt.timedelta(hours=hour)
+    path = work_path(spark, "stream-open")
+    for batch in (
+        [(1, 1, None, "Packed", at(0)), (2, 2, "A", "Packed", at(1))],
+        [(4, 1, "B", "Delivered", at(4)), (3, 1, "B", "Shipped", at(2)), (5, 5000, "C", "Packed", at(3)), (2, 2, "A", "Packed", at(1))],
+    ):
+        spark.createDataFrame(batch, TABLES["shipment_status"].struct).coalesce(1).write.mode("append").parquet(path)
+    stream = live.open_shipment_status(live.table_stream(spark, path, "shipment_status", files_per_batch=1))
+    spark.conf.set(sinks.STATE_STORE, other)
+    try:
+        out = sinks.run_available(stream, "open", "update", settings=sinks.KEYED_STATE)
+        assert spark.conf.get(sinks.STATE_STORE) == other
+    finally:
+        spark.conf.set(sinks.STATE_STORE, mine)
+    got = sinks.latest_per_key(sinks.read_batches(spark, out, stream.schema), ["shipment_id"])
+    assert {(r.shipment_id, r.status_id, r.status, r.location, r.updated_time) for r in got.collect()} == {
+        (1, 4, "Delivered", "B", at(4)), (2, 2, "Packed", "A", at(1)), (5000, 5, "Packed", "C", at(3)),
+    }
+
+
 def test_a_log_of_many_batches_reads_few_folders(spark):
     log = sinks.DeltaLog(spark, work_path(spark, "log"), live.stock_deltas(spark.createDataFrame([], MOVES)).schema, live.stock_deltas, every=3)
     total = 0
