@@ -5,6 +5,8 @@ one dominant key stalls the job. Here the rows are dealt to range partitions on
 once. The partition is the *block*: a key has at most one block per partition, whatever its times and
 ids look like, and a dominant key spreads over many. Block sums are pre-aggregated, a window over the few
 blocks of a key gives each block its starting value, and the row-level window runs per (key, block).
+
+``running`` takes that way for keys of many rows only; all rows of other keys go through one window.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ BLOCK = "_block"
 BEFORE = "_before"
 Totals = dict[str, tuple[Literal["sum", "max"], str]]  # name: kind and column
 KINDS = {"sum": F.sum, "max": F.max}
+FEW = 1 << 16  # rows of a key that one window takes
 
 
 @dataclass(frozen=True)
@@ -66,8 +69,7 @@ def blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: To
     return Blocked(rows, blocks.drop(*[f"_in_{name}" for name in totals]), (*keys, BLOCK), tuple(along))
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Totals, descending: bool = False) -> DataFrame:
-    """``df`` plus running sums or maxima per key, current row included."""
+def _in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Totals, descending: bool) -> DataFrame:
     cut = blocked(df, keys, order, totals, descending)
     merged = {}
     for name, (kind, c) in totals.items():
@@ -76,6 +78,26 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: To
     return cut.join(cut.blocks).withColumns(merged).drop(*[f"{BEFORE}_{name}" for name in totals], BLOCK)
 
 
+def running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Totals, descending: bool = False, stored: bool = False
+) -> DataFrame:
+    """``df`` plus running sums or maxima per key, current row included. Keys of more than FEW rows are cut into
+    blocks. ``stored`` says that `df` is read from storage, so that it need not be written to be read twice."""
+    if not keys:
+        return _in_blocks(df, keys, order, totals, descending)
+    rows = df if stored else materialise(df, "rows-to-total")
+    many = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > FEW).select(*keys), "long-keys")
+    along = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    window = Window.partitionBy(*keys).orderBy(*along).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = lambda few: few.withColumns({name: KINDS[kind](c).over(window) for name, (kind, c) in totals.items()})
+    if many.isEmpty():
+        return whole(rows)
+    side = many.withColumnsRenamed({c: f"_of_{c}" for c in keys})
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+    long = _in_blocks(rows.join(side, same, "left_semi"), keys, order, totals, descending)
+    return whole(rows.join(side, same, "left_anti")).unionByName(long)
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, descending: bool = False, out: str = "running_total"
 ) -> DataFrame:

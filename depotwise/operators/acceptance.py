@@ -45,7 +45,7 @@ def _bounded(state: DataFrame) -> tuple[DataFrame, DataFrame]:
             "fixed": F.when(undecided, 0).otherwise(units),
         }
     )
-    summed = running(parts, LIMIT, ["request_id"], {"low": ("sum", "least"), "high": ("sum", "most"), "gone": ("sum", "fixed")})
+    summed = running(parts, LIMIT, ["request_id"], {"low": ("sum", "least"), "high": ("sum", "most"), "gone": ("sum", "fixed")}, stored=True)
     now_open = summed.where(undecided).withColumn("room", F.col("room") - F.col("gone"))
     now_open = materialise(now_open.select(*state.columns, (F.col("low") - F.col("least")).alias("low"), (F.col("high") - F.col("most")).alias("high")), "open-entries")
     taking = units > 0

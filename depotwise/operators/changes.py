@@ -18,6 +18,7 @@ from depotwise.operators.checkout import Checkout
 from depotwise.operators.mutations import PurchasePlacement, Reversal
 from depotwise.operators.stock import STOCK_KEY, Moment
 from depotwise.schema import TABLES
+from depotwise.session import materialise
 from depotwise.sources.domain import Domain, conform
 
 ORDER = ["phase", "moment", "request", "step"]
@@ -74,7 +75,7 @@ def stock_moves(opening: DataFrame, closing: DataFrame, moves: DataFrame) -> Dat
 
 def feed(*changes: DataFrame, after: int = 0) -> DataFrame:
     """All changes in order, numbered from ``after + 1``."""
-    every = reduce(DataFrame.unionByName, changes)
+    every = materialise(reduce(DataFrame.unionByName, changes), "changes")
     return number_rows(every, [*ORDER, "table_name", "record_id"], F.lit(after), "change_id").select(
         "change_id", "table_name", "operation", "record_id", "before", "after", F.col("moment").alias("changed_at")
     )

@@ -44,16 +44,19 @@ def _shown(fed: DataFrame) -> DataFrame:
 
 
 def _sold(x: Inputs) -> DataFrame:
+    x = x.stored("inventory")
     made = checkout.checkout(x.domain, *order_path_reports.carts(x), AS_OF, AGE_POLICY)
     return changes.feed(*changes.of_checkout(x.domain, made))
 
 
 def _reversed(x: Inputs) -> DataFrame:
+    x = x.stored("inventory")
     made = mutations.reverse_purchases(x.domain, x.domain["purchase"])
     return changes.feed(*changes.of_reversals(x.domain, made, AS_OF))
 
 
 def _moved(x: Inputs) -> DataFrame:
+    x = x.stored("inventory")
     requests = mutation_reports.transfer_requests(x)
     made = mutations.transfer_stock(x.domain, requests, AS_OF)
     return changes.feed(*changes.of_transfers(x.domain, requests, made.rejected, made.inventory, AS_OF))

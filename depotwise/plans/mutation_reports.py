@@ -109,7 +109,13 @@ def transfer_requests(x: Inputs) -> DataFrame:
     )
 
 
+def _reversal(x: Inputs):
+    x = x.stored("inventory")
+    return mutations.reverse_purchases(x.domain, x.domain["purchase"])
+
+
 def _transfers(x: Inputs):
+    x = x.stored("inventory")
     return mutations.transfer_stock(x.domain, transfer_requests(x), AS_OF)
 
 
@@ -315,13 +321,13 @@ REPORTS = {
            UNION ALL SELECT request_id, 'hub full' FROM w_turns JOIN w_filled USING (warehouse_id, nth) WHERE NOT fits""",
     ),
     "reverse_purchases": _report(
-        lambda x: mutations.reverse_purchases(x.domain, x.domain["purchase"]).inventory,
+        lambda x: _reversal(x).inventory,
         """SELECT inventory_id, warehouse_id, product_id, (i.quantity - coalesce(b.units, 0))::BIGINT AS quantity
            FROM d_inventory AS i LEFT JOIN (SELECT warehouse_id, product_id, sum(units) AS units FROM v_bought
              JOIN v_undone USING (purchase_id) WHERE granted GROUP BY 1, 2) AS b USING (warehouse_id, product_id)""",
     ),
     "reverse_purchases_rejected": _report(
-        lambda x: mutations.reverse_purchases(x.domain, x.domain["purchase"]).rejected,
+        lambda x: _reversal(x).rejected,
         """SELECT purchase_id AS key, 'stock already sold or moved' AS reason FROM v_undone WHERE NOT granted
            UNION ALL SELECT purchase_id, 'purchase without lines' FROM d_purchase WHERE purchase_id NOT IN (SELECT purchase_id FROM v_bought)""",
     ),

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depotwise.plans.oracle import with_tables
+from depotwise.session import materialise
 from depotwise.sources.domain import Domain
 from depotwise.sources.star import star_domain
 
@@ -22,6 +23,10 @@ class Inputs:
     root: str
     domain: Domain
 
+    def stored(self, *tables: str) -> Inputs:
+        """The same with some tables written once, for jobs that read them many times."""
+        return replace(self, domain=self.domain.replace(**{t: materialise(self.domain[t], t) for t in tables}))
+
 
 @dataclass(frozen=True)
 class Report:

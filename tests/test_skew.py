@@ -145,3 +145,26 @@ def test_allocation_matches_serving_lines_one_by_one(spark, seed):
 
 def test_opening_stock_is_complete():
     assert sum(OPENING.values()) == 345
+
+
+def test_only_keys_of_many_rows_are_cut_into_blocks(spark, monkeypatch):
+    """Short keys take one window, long and missing ones the same totals through blocks."""
+    from depotwise.functions import running as module
+
+    written = []
+    write = module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, name: written.append(name) or write(df, name))
+    key = F.when(F.col("id") < 400, F.lit(1)).when(F.col("id") % 50 == 0, None).otherwise(F.col("id") % 97 + 2)
+    df = spark.range(1000).select(key.alias("k"), F.col("id").alias("at"), (F.col("id") % 7 - 3).alias("v"))
+    totals = {"s": ("sum", "v"), "m": ("max", "v")}
+    expected, state = set(), {}
+    for r in sorted(df.collect(), key=lambda r: r["at"]):
+        s, m = state.get(r["k"], (0, -99))
+        state[r["k"]] = s + r["v"], max(m, r["v"])
+        expected.add((r["k"], r["at"], *state[r["k"]]))
+    for few, blocks in ((10**6, False), (20, True), (0, True)):
+        monkeypatch.setattr(module, "FEW", few)
+        written.clear()
+        got = module.running(df, ["k"], ["at"], totals).select("k", "at", "s", "m").collect()
+        assert {tuple(r) for r in got} == expected and len(got) == 1000
+        assert ("blocks" in written) == blocks
