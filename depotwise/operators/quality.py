@@ -57,15 +57,21 @@ def row_violations(d: Domain, table: str) -> DataFrame:
     )
 
 
+GROUPS = 500_000  # rows of a table that one task looks for repeated values in
+
+
 def unique_violations(d: Domain, table: str) -> DataFrame:
-    """Key and unique-column values that occur more than once (nulls never clash)."""
+    """Key and unique-column values that occur more than once (nulls never clash). Values are dealt by their hash to
+    as many partitions as keep GROUPS rows each, before any are counted: most are different, so counting them where
+    they are read would only hold a whole split in memory."""
     t = TABLES[table]
+    parts = d[table].count() // GROUPS + 1
 
     def repeated(columns: tuple[str, ...]) -> DataFrame:
         present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
         value = F.concat_ws(", ", *[F.col(c).cast("string") for c in columns])
         return (
-            d[table].where(present).groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+            d[table].where(present).select(*columns).repartition(parts, *columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
             .select(*_violation("unique", table, value, _text(", ".join(columns) + " occurs ", F.col("n"))))
         )
 

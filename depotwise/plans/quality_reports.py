@@ -84,7 +84,7 @@ REPORTS = {
         tables=FAULTY,
     ),
     "contract_rules": Report(
-        lambda x: quality.summary(quality.violations(x.domain, ["product", "inventory", "order", "shipment_status", "click"])),
+        lambda x: quality.summary(quality.violations(x.stored("inventory").domain, ["product", "inventory", "order", "shipment_status", "click"])),
         """SELECT 'click' AS "table", 'reference' AS rule, count(*) AS violations FROM d_click AS k
            WHERE NOT EXISTS (SELECT 1 FROM d_tracking_link AS l WHERE l.link_id = k.link_id)
               OR (customer_id IS NOT NULL AND customer_id NOT IN (SELECT customer_id FROM d_customer))

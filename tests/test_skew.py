@@ -168,3 +168,17 @@ def test_only_keys_of_many_rows_are_cut_into_blocks(spark, monkeypatch):
         got = module.running(df, ["k"], ["at"], totals).select("k", "at", "s", "m").collect()
         assert {tuple(r) for r in got} == expected and len(got) == 1000
         assert ("blocks" in written) == blocks
+
+
+def test_values_to_compare_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    from depotwise.operators import quality
+    from depotwise.sources.domain import from_rows
+
+    monkeypatch.setattr(quality, "GROUPS", 10)
+    at = dt.datetime(2026, 1, 1)
+    d = from_rows(spark, {"shipment": [(i % 95, i, f"TRK{i % 90}", at) for i in range(100)]})
+    found = quality.unique_violations(d, "shipment")
+    assert found.rdd.getNumPartitions() == 22  # 11 for each of two rules
+    assert {(r.key, r.detail) for r in found.collect()} == {(str(i), "shipment_id occurs 2") for i in range(5)} | {
+        (f"TRK{i}", "tracking_code occurs 2") for i in range(10)
+    }
