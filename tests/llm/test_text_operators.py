@@ -495,3 +495,20 @@ def test_near_passages_are_not_left_to_chance(spark):
     assert all(0.75 <= len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) < 0.9 for a, b in zip(sources, copies, strict=True))
     got = {(r.doc_id, r.source_doc_id) for r in passage_dedup.near_duplicate_passages(documents(spark, sources + copies)).collect()}
     assert got == {(i + 300, i) for i in range(300)}
+
+
+def test_near_passages_whose_shingles_come_earlier_elsewhere(spark):
+    """Every shingle of the sources is in earlier documents that hold a part of them only, of some in very many."""
+    rng = random.Random(43)
+    sources = [prose(rng, 60, 90000) for _ in range(30)]
+    around = lambda words: " ".join([prose(rng, 50, 90000), *words, prose(rng, 50, 90000)])
+    parts = [around(t.split()[a : a + 24]) for i, t in enumerate(sources) for a in (0, 18, 36) for _ in range(80 if i < 2 else 2)]
+    copies = []
+    for text in sources:
+        words = text.split()
+        words[20 + rng.randrange(20)] = "changed"
+        copies.append(" ".join(words))
+    every = parts + sources + copies
+    got = {(r.doc_id, r.source_doc_id) for r in passage_dedup.near_duplicate_passages(documents(spark, every)).collect()}
+    first, n = len(parts), len(sources)
+    assert got == {(first + n + i, first + i) for i in range(n)}
