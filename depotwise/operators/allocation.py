@@ -12,7 +12,8 @@ lines of its order took, and so changes what comes after in their products. ``se
 the assumption that no order fails elsewhere, looks which orders failed where, and folds those products anew
 for which that assumption was wrong, until it is right everywhere. Decisions depend on earlier ones
 only: the first wrong one has nothing but right ones before it, so each round settles it for good, and
-what no round changes is what serving one by one gives. A round reads the products it folds, no others."""
+what no round changes is what serving one by one gives. A round folds the products for which it changes something, no
+others, and what it decides is written once: the result takes each product from the last round that folded it."""
 
 from __future__ import annotations
 
@@ -24,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from depotwise.operators.mutations import apply_deltas
 from depotwise.operators.stock import STOCK_KEY, Moment, aged_lots
 from depotwise.policy import AgePolicy
-from depotwise.session import materialise
+from depotwise.session import materialise, work_path
 from depotwise.sources.domain import Domain
 
 HUB, LOT, LINE = 0, 1, 2
@@ -263,6 +265,13 @@ def _stock(d: Domain, as_of: Moment, policy: AgePolicy) -> DataFrame:
     return hubs.unionByName(_rows(lots, LOT, warehouse_id=c("warehouse_id"), days=c("days_stored"), extra=c("extra"), units=c("units")))
 
 
+def _stock_of(d: Domain, products: DataFrame, as_of: Moment, policy: AgePolicy) -> DataFrame:
+    """``_stock`` of the given products (product_id). Lots of a product don't depend on others, so the rest goes before
+    lots are dated and aged."""
+    only = lambda table: d[table].join(products, "product_id", "left_semi")
+    return _stock(d.replace(**{table: only(table) for table in ("inventory", "purchase_item", "stock_transfer")}), as_of, policy)
+
+
 def _fold(stock: DataFrame, lines: DataFrame) -> DataFrame:
     """The hub or the refusal of every line. `whole` lines of an order are served together, and take nothing if the
     order is `held` back."""
@@ -309,8 +318,9 @@ def serve_orders(d: Domain, lines: DataFrame, as_of: Moment, policy: AgePolicy =
 
     An order of one product is decided by folding that product. Of the others each product is told which
     orders are held back by failures elsewhere; the failures of a round tell the next one."""
-    stock = materialise(_stock(d, as_of, policy), "stock-at-hubs")
     lines = materialise(lines.select(*LINE_KEY, "product_id", "quantity", F.lit(1).alias("whole")), "lines-to-serve")
+    asked = materialise(lines.select("product_id").distinct(), "asked-products")
+    stock = materialise(_stock_of(d, asked, as_of, policy), "stock-at-hubs")
     products = lines.groupBy("order_id").agg(F.min("product_id").alias("low"), F.max("product_id").alias("high"))
     tied = lines.select("order_id", "product_id").join(products.where("low <> high").select("order_id"), "order_id", "left_semi").distinct()
     tied = materialise(tied, "tied-products")
@@ -318,19 +328,34 @@ def serve_orders(d: Domain, lines: DataFrame, as_of: Moment, policy: AgePolicy =
     held_lines = lambda some, held: some.join(held.withColumn("_held", F.lit(1)), key, "left").withColumn("held", F.coalesce("_held", F.lit(0))).drop("_held")
     failed_in = lambda served: served.where(F.col("reason").isNotNull()).select(*key).distinct().join(tied, key, "left_semi")
 
-    held = tied.limit(0)
-    failures = materialise(failed_in(_fold(stock, held_lines(lines, held))), "failures")
+    spark = lines.sparkSession
+    rounds, redone = work_path(spark, "served"), work_path(spark, "redone")
+
+    def fold(n: int, stock: DataFrame, lines: DataFrame, held: DataFrame) -> DataFrame:
+        """What round `n` decides, written once."""
+        served = _fold(stock, held_lines(lines, held))
+        served.write.parquet(f"{rounds}/round={n}")
+        return spark.read.schema(served.schema).parquet(f"{rounds}/round={n}")
+
+    held, n = tied.limit(0), 0
+    served = fold(n, stock, lines, held)
+    schema = served.schema
+    failures = materialise(failed_in(served), "failures")
     while True:
         # an order is held back in a product if it fails in any other one
         where = failures.groupBy("order_id").agg(F.min("product_id").alias("low"), F.max("product_id").alias("high"))
         now = tied.join(where, "order_id").where("low <> product_id OR high <> product_id").select(*key)
         now = materialise(now, "held-back")
-        changed = now.exceptAll(held).unionByName(held.exceptAll(now)).select("product_id").distinct()
-        changed = materialise(changed, "products-to-redo")
+        n += 1
+        again = now.exceptAll(held).unionByName(held.exceptAll(now)).select("product_id").distinct()
+        again.write.parquet(f"{redone}/round={n}")
+        changed = spark.read.schema(again.schema).parquet(f"{redone}/round={n}")
         held = now
         if changed.isEmpty():
             break
         some = lambda df, only=changed: df.join(only, "product_id", "left_semi")
-        again = failed_in(_fold(some(stock), held_lines(some(lines), some(held))))
-        failures = materialise(failures.join(changed, "product_id", "left_anti").unionByName(again), "failures")
-    return _fold(stock, held_lines(lines, held))
+        found = failed_in(fold(n, some(stock), some(lines), some(held)))
+        failures = materialise(failures.join(changed, "product_id", "left_anti").unionByName(found), "failures")
+    last = spark.read.schema("product_id long, round int").parquet(redone).groupBy("product_id").agg(F.max("round").alias("_last"))
+    every = spark.read.schema(T.StructType([*schema.fields, T.StructField("round", T.IntegerType())])).parquet(rounds)
+    return every.join(last, "product_id", "left").where(F.col("round") == F.coalesce("_last", F.lit(0))).select(schema.names)

@@ -175,6 +175,24 @@ def test_nothing_to_do(spark):
     assert [df.count() for df in (got.orders, got.items, got.attributions, got.shipments, got.statuses, got.rejected, got.inventory)] == [0] * 6 + [1]
 
 
+def test_only_asked_products_are_folded_and_each_decision_is_made_once(spark, monkeypatch):
+    """No order fails in a product that another one shares, so nothing is folded twice; products without a line have no rows."""
+    folded = []
+
+    def spy(stock, lines, fold=allocation._fold):
+        folded.append((sorted(r.product_id for r in stock.select("product_id").distinct().collect()), lines.count()))
+        return fold(stock, lines)
+
+    monkeypatch.setattr(allocation, "_fold", spy)
+    d = made_domain(spark, [(h, p, 10 * p, 50) for h in range(2) for p in range(6)], {}, 6, 2)
+    requests = spark.createDataFrame([(i, 0, None, AS_OF) for i in range(4)], REQUEST)
+    lines = spark.createDataFrame([(0, 0, 1, 5), (0, 1, 4, 5), (1, 0, 4, 7), (2, 0, 1, 99), (3, 0, 1, 9)], LINE)
+    got = checkout.checkout(d, requests, lines, AS_OF)
+    assert rows(got.items, "order_id", "product_id", "quantity") == [(1, 1, 5), (1, 4, 5), (2, 4, 7), (3, 1, 9)]
+    assert rows(got.rejected) == [(2, "insufficient stock")]
+    assert folded == [([1, 4], 5)]
+
+
 def feed(hubs, lots, needs, product=1):
     rows_ = [(product, allocation.HUB, h, 0, 0, u, 0, 0, 0, 0) for h, u in hubs]
     rows_ += [(product, allocation.LOT, h, days, extra, u, 0, 0, 0, 0) for h, days, extra, u in sorted(lots, key=lambda lot: -lot[1])]
