@@ -175,6 +175,21 @@ def test_worker_cache_stays_bounded(monkeypatch):
     assert lookup.all(keys) == [len(k) for k in keys] and len(lookup.known) <= 12 and lookup.known["fixed"] == 5
 
 
+def test_a_text_is_encoded_in_one_call(monkeypatch):
+    calls, ranks = [], bpe.ranks()
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return ranks.encode_ordinary(text)
+
+    monkeypatch.setattr(bpe, "ranks", Counted)
+    text = "of words that no other test has: quobble quibble  quabble\n and quubble"
+    want = bpe.library().encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(bpe.encode_bytes(text), "<u4").tolist() == want
+    assert calls == [text]
+
+
 def test_token_counts(spark, texts, library):
     got = bpe.token_counts(documents(spark, [*texts, texts[0]], [*range(len(texts)), None]), limit=100).collect()
     want = Counter()
