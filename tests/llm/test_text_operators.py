@@ -498,6 +498,26 @@ def test_every_repeated_run_of_words_is_covered(spark, texts):
     assert due > 1000
 
 
+def test_texts_of_many_near_pairs_travel_a_few_times(spark):
+    n = 200
+    pairs = spark.createDataFrame([(x, y) for x in range(n) for y in range(x)], "x bigint, y bigint")
+    blocks = passage_dedup.dealt(pairs)
+    assert blocks.select("x", "y").exceptAll(pairs).count() == 0 and blocks.count() == pairs.count()
+    assert passage_dedup.members(blocks).count() <= 8 * n  # of 199 pairs each
+
+
+def test_repeated_lines_are_not_compared_in_all_pairs(monkeypatch):
+    rng = np.random.default_rng(5)
+    lines = [rng.integers(0, 1 << 40, 19).astype(np.uint64) for _ in range(5)]
+    x = np.concatenate([lines[i] for i in rng.integers(0, 5, 200)])
+    y = np.concatenate([lines[0], lines[1], *(rng.integers(0, 1 << 40, 1).astype(np.uint64) for _ in range(8)), lines[0]])
+    calls, counted = [], passage_dedup.distinct_common
+    monkeypatch.setattr(passage_dedup, "distinct_common", lambda a, b: calls.append(1) or counted(a, b))
+    assert passage_dedup.passages(x, x, 0.75)
+    passage_dedup.passages(x, y, 0.75)
+    assert len(calls) < 500
+
+
 def test_near_passages_are_not_left_to_chance(spark):
     rng = random.Random(41)
     sources = [prose(rng, 60, 90000) for _ in range(300)]
