@@ -506,6 +506,18 @@ def test_texts_of_many_near_pairs_travel_a_few_times(spark):
     assert passage_dedup.members(blocks).count() <= 8 * n  # of 199 pairs each
 
 
+def test_copies_that_end_in_a_common_line_are_not_compared_with_all_that_have_it(spark, monkeypatch):
+    rng = random.Random(47)
+    line, passages = prose(rng, 13, 90000), [prose(rng, 60, 90000) for _ in range(12)]
+    others = [" ".join([prose(rng, 40, 90000), line]) for _ in range(600)]
+    every = [*(" ".join([p, prose(rng, 40, 90000)]) for p in passages), *others, *(" ".join([p, line]) for p in passages)]
+    counts, dealt = [], passage_dedup.dealt
+    monkeypatch.setattr(passage_dedup, "dealt", lambda pairs: counts.append(pairs.count()) or dealt(pairs))
+    got = {(r.doc_id, r.source_doc_id) for r in passage_dedup.near_duplicate_passages(documents(spark, every)).collect()}
+    assert got == {(612 + i, i) for i in range(12)}
+    assert counts[0] < 600  # not 12 times as many
+
+
 def test_repeated_lines_are_not_compared_in_all_pairs(monkeypatch):
     rng = np.random.default_rng(5)
     lines = [rng.integers(0, 1 << 40, 19).astype(np.uint64) for _ in range(5)]
